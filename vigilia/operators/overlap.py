@@ -84,7 +84,7 @@ def _nodes(df: DataFrame, nodes: Column) -> DataFrame:
         *[c for c in df.columns if c not in ("_s", "_e")], "_n.level", "_n.node")
 
 
-def _probe(asked: DataFrame, stored: DataFrame, key: str, resource: str, unit: int, levels: int,
+def _probe(asked: DataFrame, stored: DataFrame, key: str, resource: str, levels: int,
            stored_value: Callable[[], Column], merge: Callable[[Column], Column]) -> DataFrame:
     """(key, _hit): ``merge`` over the stored intervals overlapping each asked one.
 
@@ -118,19 +118,26 @@ def overlap_counts(asked: DataFrame, stored: DataFrame, key: str, resource: str,
     levels = _levels(longest_minutes, unit)
     near = _near(stored, asked, resource, start, end, longest_minutes)
     hits = _probe(_grid(asked, start, end, unit), _grid(near, start, end, unit), key, resource,
-                  unit, levels, lambda: F.count(F.lit(1)), F.sum)
+                  levels, lambda: F.count(F.lit(1)), F.sum)
     return (asked.join(hits, key, "left")
             .withColumn(out, F.coalesce("_hit", F.lit(0)).cast("bigint")).drop("_hit"))
 
 
+def earliest_among(asked: DataFrame, others: DataFrame, key: str, resource: str, start: str,
+                   end: str, out: str, unit: int, longest_minutes: int) -> DataFrame:
+    """(key, out): lowest ``key`` among the ``others`` of the same resource
+    overlapping each asked row; rows without one are absent."""
+    levels = _levels(longest_minutes, unit)
+    columns = [key, resource, start, end]
+    return _probe(_grid(asked.select(*columns), start, end, unit),
+                  _grid(others.select(*columns), start, end, unit), key, resource, levels,
+                  lambda: F.min(key), F.min).select(key, F.col("_hit").alias(out))
+
+
 def earliest_rival(asked: DataFrame, key: str, resource: str, start: str, end: str, out: str,
                    unit: int, longest_minutes: int) -> DataFrame:
-    """(key, out): lowest ``key`` among the asked intervals of the same
-    resource overlapping each row; a row overlaps itself."""
-    levels = _levels(longest_minutes, unit)
-    grid = _grid(asked.select(key, resource, start, end), start, end, unit)
-    return _probe(grid, grid, key, resource, unit, levels, lambda: F.min(key), F.min).select(
-        key, F.col("_hit").alias(out))
+    """The same among the asked rows themselves; a row overlaps itself."""
+    return earliest_among(asked, asked, key, resource, start, end, out, unit, longest_minutes)
 
 
 def _near(stored: DataFrame, asked: DataFrame, resource: str, start: str, end: str,

@@ -64,8 +64,8 @@ def suppress(df: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet: int,
         lambda pdf: _replay(pdf, keys, gap), f"{key_ddl}, _us bigint")
 
     first = df.withColumn("_us", epoch_micros(F.col(ts))).join(fired, [*keys, "_us"], "left_semi")
-    leading = first.groupBy(*keys, "_us").agg(F.min(tie).alias(tie))
-    return first.join(leading, [*keys, "_us", tie], "left_semi").select(*df.columns)
+    return first.groupBy(*keys, "_us").agg(
+        F.min_by(F.struct(*df.columns), tie).alias("_row")).select("_row.*")
 
 
 def _timeline(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
