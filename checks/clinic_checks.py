@@ -83,12 +83,12 @@ WHERE w.activo GROUP BY w.id_profesional, profesional, w.especialidad, rol.nombr
 _WORK_TABLES = "profesional rol sesion_psicologica aplicacion_escala"
 
 _FIRED = """
-, risky AS (SELECT {key}, {ts} AS at, {columns} FROM {table} WHERE {condition})
+, risky AS (SELECT {key}, {ts} AS moment, {columns} FROM {table} WHERE {condition})
 , fired AS (
-    SELECT {key}, MIN(at) AS at FROM risky GROUP BY {key}
+    SELECT {key}, MIN(moment) AS moment FROM risky GROUP BY {key}
     UNION ALL
-    SELECT {fkey}, MIN(r.at) FROM fired f JOIN risky r ON {same}
-    WHERE r.at > f.at + INTERVAL '{hours}' HOUR GROUP BY {fkey}, f.at)
+    SELECT {fkey}, MIN(r.moment) FROM fired f JOIN risky r ON {same}
+    WHERE r.moment > f.moment + INTERVAL '{hours}' HOUR GROUP BY {fkey}, f.moment)
 """
 
 ORACLES = {
@@ -198,14 +198,14 @@ FROM dispositivo_iot v LEFT JOIN paciente p USING (id_paciente)
 WHERE v.estado = 'Activo'
   AND COALESCE({EV} - v.ultima_conexion > INTERVAL '6' HOUR, TRUE)"""),
     "feed_summary_48h": _of("paciente evento_gps evento_nfc evento_beacon", f"""
-, e AS (SELECT id_paciente, 'g' AS f, NOT dentro_zona_segura AS o, timestamp_evento AS at FROM evento_gps
+, e AS (SELECT id_paciente, 'g' AS f, NOT dentro_zona_segura AS o, timestamp_evento AS moment FROM evento_gps
         UNION ALL SELECT id_paciente, 'n', FALSE, timestamp_evento FROM evento_nfc
         UNION ALL SELECT id_paciente, 'b', FALSE, timestamp_evento FROM evento_beacon)
 SELECT p.id_paciente, {PERSON}, COUNT(*) FILTER (f = 'g') AS eventos_gps,
        COUNT(*) FILTER (o) AS salidas_zona_segura, COUNT(*) FILTER (f = 'n') AS eventos_nfc,
        COUNT(*) FILTER (f = 'b') AS eventos_beacon, COUNT(f) AS total_eventos
 FROM paciente p LEFT JOIN e ON e.id_paciente = p.id_paciente
- AND e.at >= {EV} - INTERVAL '48' HOUR
+ AND e.moment >= {EV} - INTERVAL '48' HOUR
 GROUP BY p.id_paciente, paciente"""),
     "monthly_kpi": _of("sesion_psicologica aplicacion_escala alerta_riesgo paciente", f"""
 , s AS (SELECT date_trunc('month', s.fecha_sesion) AS m, COUNT(DISTINCT s.id_sesion) AS n,
@@ -269,9 +269,9 @@ SELECT r.id_paciente, r.id_escala, r.id_aplicacion,
        'Evaluación ' || r.id_escala || ': Riesgo ' || r.nivel_riesgo AS tipo_alerta,
        r.nivel_riesgo AS nivel_severidad,
        'Generada automáticamente. Puntaje: ' || r.puntaje_total AS descripcion,
-       'Activa' AS estado_alerta, r.at AS fecha_generacion
-FROM fired JOIN risky r USING (id_paciente, id_escala, at)
-QUALIFY ROW_NUMBER() OVER (PARTITION BY r.id_paciente, r.id_escala, r.at
+       'Activa' AS estado_alerta, r.moment AS fecha_generacion
+FROM fired JOIN risky r USING (id_paciente, id_escala, moment)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY r.id_paciente, r.id_escala, r.moment
                            ORDER BY r.id_aplicacion) = 1""", recursive=True),
     "zone_exit_alerts": _of("evento_gps aplicacion_escala", _FIRED.format(
         key="id_paciente", fkey="f.id_paciente", ts="timestamp_evento",
@@ -280,10 +280,10 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY r.id_paciente, r.id_escala, r.at
 SELECT r.id_paciente, x.id_aplicacion, 'Salida de Zona Segura' AS tipo_alerta,
        'Grave' AS nivel_severidad,
        'GPS detectó al paciente fuera de zona segura en ' || r.latitud || ', ' || r.longitud
-           AS descripcion, 'Activa' AS estado_alerta, r.at AS fecha_generacion
-FROM fired JOIN risky r USING (id_paciente, at)
-LEFT JOIN aplicacion_escala x ON x.id_paciente = r.id_paciente AND x.fecha_aplicacion <= r.at
-QUALIFY ROW_NUMBER() OVER (PARTITION BY r.id_paciente, r.at
+           AS descripcion, 'Activa' AS estado_alerta, r.moment AS fecha_generacion
+FROM fired JOIN risky r USING (id_paciente, moment)
+LEFT JOIN aplicacion_escala x ON x.id_paciente = r.id_paciente AND x.fecha_aplicacion <= r.moment
+QUALIFY ROW_NUMBER() OVER (PARTITION BY r.id_paciente, r.moment
                            ORDER BY x.fecha_aplicacion DESC, x.id_aplicacion DESC) = 1""",
                            recursive=True),
     "asof_assessment": _of("alerta_riesgo aplicacion_escala", """

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import clinic_checks
+from checks import care_checks, clinic_checks
 
-_MODULES = (clinic_checks,)
+_MODULES = (care_checks, clinic_checks)
 
 
 def _in_utc(query):

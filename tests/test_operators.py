@@ -148,34 +148,28 @@ def fold(rows, quiet, closed=(), carry=None):
     timeline = [(t, 0, -1, k) for k, t in closed] + [(t, 1, i, k) for i, k, t in rows]
     for t, kind, i, k in sorted(timeline):
         if kind == 0:
-            active[k] = []
+            active[k] = [a for a in active.get(k, []) if a >= t]
         elif not any(a >= t - quiet for a in active.get(k, [])):
             fired.append(i)
             active.setdefault(k, []).append(t)
     return set(fired)
 
 
-@pytest.mark.parametrize("seed,hot,chunk,closings", [
-    (7, 0.4, None, 0), (8, 0.9, 6 * 3600, 0), (9, 0.4, 3 * 86400, 25), (10, 0.9, 3600, 60),
-    (11, 0.5, 86400, 200)])
-def test_suppress_equals_the_fold(spark, seed, hot, chunk, closings):
+@pytest.mark.parametrize("seed,hot,limit,closings,carried", [
+    (7, 0.4, 20_000, 0, True), (8, 0.9, 40, 0, True), (9, 0.4, 60, 25, False),
+    (10, 0.9, 10, 60, True), (11, 0.5, 100, 200, False)])
+def test_suppress_equals_the_fold(spark, seed, hot, limit, closings, carried):
     rows = [(i, k, ts) for i, k, ts, _ in make_events(seed, 500, hot, 400, 600)]
     rng = random.Random(seed)
     closed = [(rng.randint(0, 5), T0 + dt.timedelta(seconds=600 * rng.randint(0, 2400)))
               for _ in range(closings)]
-    carry = {0: T0 + dt.timedelta(hours=3), 2: T0 - dt.timedelta(hours=23)}
-    quiet = 86400
-    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz")
-    got = suppress(
-        df, ["k"], "ts", "id", quiet,
-        closed=spark.createDataFrame(closed, "k long, ts timestamp_ntz") if closings else None,
-        carry=spark.createDataFrame(list(carry.items()), "k long, ts timestamp_ntz"), chunk=chunk)
-    want = fold(rows, dt.timedelta(seconds=quiet), closed, carry) if closings == 0 else None
-    if closings:
-        got = suppress(df, ["k"], "ts", "id", quiet,
-                       closed=spark.createDataFrame(closed, "k long, ts timestamp_ntz"), chunk=chunk)
-        want = fold(rows, dt.timedelta(seconds=quiet), closed)
-    assert {r.id for r in got.collect()} == want
+    carry = {0: T0 + dt.timedelta(hours=3), 2: T0 - dt.timedelta(hours=23)} if carried else None
+    schema = "k long, ts timestamp_ntz"
+    fired = suppress(
+        spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz"), ["k"], "ts", "id", 86400,
+        closed=spark.createDataFrame(closed, schema) if closed else None,
+        carry=spark.createDataFrame(list(carry.items()), schema) if carry else None, limit=limit)
+    assert {r.id for r in fired.collect()} == fold(rows, dt.timedelta(days=1), closed, carry)
 
 
 def test_suppress_boundaries(spark):

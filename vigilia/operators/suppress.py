@@ -4,12 +4,13 @@ A candidate fires when no still-active alert of its key fired within the last
 ``quiet`` seconds. Suppressed candidates do not extend the quiet period, and
 closing an alert re-opens the gate.
 
-A key's timeline is cut into chunks. Pass one turns every (key, chunk) into a
-step function "last active alert on entry -> last active alert on exit",
-independently of all other chunks. Pass two composes those functions per key,
-a few rows per chunk. Pass three replays every chunk with its true entry. So a
-key holding a third of all candidates is worked on by as many tasks as it has
-chunks.
+Keys with up to ``limit`` moments, nearly all of them, are folded in the JVM
+over one sorted array each. A larger key is cut into time chunks of about
+``limit`` moments. Pass one turns every chunk into a step function "last
+active alert on entry -> last active alert on exit", independently of all
+other chunks. Pass two composes those functions per key, a few rows per chunk.
+Pass three replays every chunk with its true entry. So a key holding a third
+of all candidates is worked on by as many tasks as it has chunks.
 """
 
 from __future__ import annotations
@@ -18,61 +19,109 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilia.functions.clock import epoch_micros
 
 NEVER = int(np.iinfo(np.int64).min)
+LIMIT = 20_000
+CELL = 3_600
 
 
 def suppress(df: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet: int,
              closed: DataFrame | None = None, carry: DataFrame | None = None,
-             chunk: int | None = None) -> DataFrame:
+             limit: int = LIMIT, cell: int = CELL) -> DataFrame:
     """The rows of ``df`` that fire.
 
     ``closed`` (keys + ``ts``) ends every active alert of the key at that
     moment; a candidate at the very same moment comes after it. ``carry``
     (keys + ``ts``) gives the key's last active alert from before the batch.
     Equal candidate times are taken in ``tie`` order. Keys must not be NULL.
+    Chunk borders fall between cells of ``cell`` seconds.
     """
-    width = (chunk or max(quiet, 86_400)) * 1_000_000
     gap = quiet * 1_000_000
     keys = list(keys)
-    # Candidates at the same instant: only the first can fire, so the timeline
+    at = epoch_micros(F.col(ts)).alias("_us")
+    # Of candidates at one instant only the first can fire, so the timeline
     # needs distinct instants only.
-    moments = df.select(*keys, epoch_micros(F.col(ts)).alias("_us")).distinct().withColumn(
-        "_reset", F.lit(False))
+    moments = df.select(*keys, at, F.lit(False).alias("_reset"))
     if closed is not None:
-        moments = moments.unionByName(
-            closed.select(*keys, epoch_micros(F.col(ts)).alias("_us")).distinct()
-            .withColumn("_reset", F.lit(True)))
-    moments = moments.withColumn("_chunk", F.floor(F.col("_us") / F.lit(width)))
+        moments = moments.unionByName(closed.select(*keys, at, F.lit(True).alias("_reset")))
+    moments = moments.distinct().withColumn(
+        "_cell", F.floor(F.col("_us") / F.lit(cell * 1_000_000)))
+    starts = None if carry is None else carry.groupBy(*keys).agg(
+        F.max(epoch_micros(F.col(ts))).alias("_exit"))
+
+    moments = moments.join(_chunks(moments, keys, limit), [*keys, "_cell"], "left")
+    fired = _fold_small(moments.where(F.col("_chunk").isNull()), keys, gap, starts).unionByName(
+        _fold_large(moments.where(F.col("_chunk").isNotNull()), df, keys, gap, starts))
+    first = df.withColumn("_us", epoch_micros(F.col(ts))).join(fired, [*keys, "_us"], "left_semi")
+    return first.groupBy(*keys, "_us").agg(
+        F.min_by(F.struct(*df.columns), tie).alias("_row")).select("_row.*")
+
 
-    key_ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+def _chunks(moments: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(keys, _cell, _chunk) for the keys with more than ``limit`` moments."""
+    per_key = Window.partitionBy(*keys)
+    before = per_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        moments.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_total": F.sum("_n").over(per_key),
+                      "_before": F.coalesce(F.sum("_n").over(before), F.lit(0))})
+        .where(F.col("_total") > limit)
+        .select(*keys, "_cell", F.floor(F.col("_before") / F.lit(limit)).alias("_chunk"))
+    )
+
+
+def _fold_small(moments: DataFrame, keys: list[str], gap: int,
+                starts: DataFrame | None) -> DataFrame:
+    """(keys, _us) fired by keys that fit one array."""
+    lines = moments.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct(F.col("_us").alias("us"), (~F.col("_reset")).alias("candidate")))).alias("_line"))
+    if starts is not None:
+        lines = lines.join(starts, keys, "left")
+    else:
+        lines = lines.withColumn("_exit", F.lit(None).cast("bigint"))
+
+    def state(last: Column, fired: Column) -> Column:
+        return F.struct(last.alias("last"), fired.alias("fired"))
+
+    def step(acc: Column, x: Column) -> Column:
+        closes = ~x["candidate"] & (x["us"] > acc["last"])
+        fires = x["candidate"] & (acc["last"].isNull() | (x["us"] > acc["last"] + gap))
+        return (F.when(closes, state(F.lit(None).cast("bigint"), acc["fired"]))
+                .when(fires, state(x["us"], F.array_append(acc["fired"], x["us"])))
+                .otherwise(acc))
+
+    start = state(F.col("_exit"), F.array().cast("array<bigint>"))
+    return lines.select(*keys, F.explode(F.aggregate("_line", start, step)["fired"]).alias("_us"))
+
+
+def _fold_large(moments: DataFrame, df: DataFrame, keys: list[str], gap: int,
+                starts: DataFrame | None) -> DataFrame:
+    """(keys, _us) fired by keys cut into chunks."""
+    ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    moments = moments.select(*keys, "_us", "_reset", "_chunk")
     steps = moments.groupBy(*keys, "_chunk").applyInPandas(
         lambda pdf: _step_function(pdf, keys, gap),
-        f"{key_ddl}, _chunk bigint, _upto bigint, _exit bigint")
-    if carry is not None:
+        f"{ddl}, _chunk bigint, _upto bigint, _exit bigint")
+    if starts is not None:
         # The carried alert acts as a chunk before all others.
-        steps = steps.unionByName(carry.groupBy(*keys).agg(
-            F.lit(int(NEVER)).cast("bigint").alias("_chunk"),
-            F.lit(int(np.iinfo(np.int64).max)).cast("bigint").alias("_upto"),
-            F.max(epoch_micros(F.col(ts))).alias("_exit")))
+        known = moments.select(*keys).distinct()
+        steps = steps.unionByName(starts.join(known, keys, "left_semi").select(
+            *keys, F.lit(-1).cast("bigint").alias("_chunk"),
+            F.lit(int(np.iinfo(np.int64).max)).alias("_upto"), "_exit"))
     entries = steps.groupBy(*keys).applyInPandas(
-        lambda pdf: _compose(pdf, keys), f"{key_ddl}, _chunk bigint, _entry bigint")
-    fired = moments.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
-        lambda pdf: _replay(pdf, keys, gap), f"{key_ddl}, _us bigint")
-
-    first = df.withColumn("_us", epoch_micros(F.col(ts))).join(fired, [*keys, "_us"], "left_semi")
-    return first.groupBy(*keys, "_us").agg(
-        F.min_by(F.struct(*df.columns), tie).alias("_row")).select("_row.*")
+        lambda pdf: _compose(pdf, keys), f"{ddl}, _chunk bigint, _entry bigint")
+    return moments.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
+        lambda pdf: _replay(pdf, keys, gap), f"{ddl}, _us bigint")
 
 
 def _timeline(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Candidate instants, and for each the last reset at or before it."""
-    order = np.lexsort((~pdf["_reset"].to_numpy(bool), pdf["_us"].to_numpy(np.int64)))
-    us = pdf["_us"].to_numpy(np.int64)[order]
-    reset = pdf["_reset"].to_numpy(bool)[order]
+    us, reset = pdf["_us"].to_numpy(np.int64), pdf["_reset"].to_numpy(bool)
+    order = np.lexsort((~reset, us))
+    us, reset = us[order], reset[order]
     last_reset = np.maximum.accumulate(np.where(reset, us, NEVER))
     return us[~reset], last_reset[~reset]
 
