@@ -82,7 +82,7 @@ LEFT JOIN sesion_psicologica s ON s.id_profesional = w.id_profesional
 WHERE w.activo GROUP BY w.id_profesional, profesional, w.especialidad, rol.nombre_rol"""
 _WORK_TABLES = "profesional rol sesion_psicologica aplicacion_escala"
 
-_FIRED = """
+FIRED = """
 , risky AS (SELECT {key}, {ts} AS moment, {columns} FROM {table} WHERE {condition})
 , fired AS (
     SELECT {key}, MIN(moment) AS moment FROM risky GROUP BY {key}
@@ -260,7 +260,7 @@ FROM (SELECT COUNT(*) AS n, CAST(COALESCE(SUM(duracion_min), 0) AS BIGINT) AS mi
 SELECT id_paciente, n AS sesiones_realizadas, CAST(x AS DOUBLE) AS indice_adherencia,
        CASE WHEN x >= 80 THEN 'Alta' WHEN x >= 50 THEN 'Media' WHEN x > 0 THEN 'Baja'
             ELSE 'Nula' END AS clasificacion FROM i"""),
-    "assessment_alerts": _of("aplicacion_escala", _FIRED.format(
+    "assessment_alerts": _of("aplicacion_escala", FIRED.format(
         key="id_paciente, id_escala", fkey="f.id_paciente, f.id_escala", ts="fecha_aplicacion",
         columns="id_aplicacion, nivel_riesgo, puntaje_total", table="aplicacion_escala",
         condition="nivel_riesgo = 'Moderado' OR nivel_riesgo = 'Grave'", hours=24,
@@ -273,7 +273,7 @@ SELECT r.id_paciente, r.id_escala, r.id_aplicacion,
 FROM fired JOIN risky r USING (id_paciente, id_escala, moment)
 QUALIFY ROW_NUMBER() OVER (PARTITION BY r.id_paciente, r.id_escala, r.moment
                            ORDER BY r.id_aplicacion) = 1""", recursive=True),
-    "zone_exit_alerts": _of("evento_gps aplicacion_escala", _FIRED.format(
+    "zone_exit_alerts": _of("evento_gps aplicacion_escala", FIRED.format(
         key="id_paciente", fkey="f.id_paciente", ts="timestamp_evento",
         columns="latitud, longitud", table="evento_gps", condition="NOT dentro_zona_segura",
         hours=2, same="r.id_paciente = f.id_paciente") + """

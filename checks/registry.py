@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import care_checks, clinic_checks
+from checks import care_checks, change_checks, clinic_checks, stream_checks
 
-_MODULES = (care_checks, clinic_checks)
+_MODULES = (care_checks, clinic_checks, change_checks, stream_checks)
 
 
 def _in_utc(query):

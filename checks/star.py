@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vigilia.sources.tables import read_feed
+
 STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 # The instants reports are asked for: the star's order history and its event feed
@@ -234,13 +236,17 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 class Derived(dict):
     """Tables built on first use, so a query touches only what it needs."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, definitions: dict):
+    def __init__(self, spark: SparkSession, sf_dir: str, definitions: dict, live: bool = False):
         super().__init__()
         self.spark, self.sf_dir, self.definitions = spark, sf_dir, definitions
+        self.live = live
 
     def _source(self, name: str) -> DataFrame:
         if name != "customer_last_event":
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if self.live:
+                df = read_feed(self.spark, self.sf_dir, df.schema, glob=f"{name}.parquet")
+            return df
         last = self._source("events").groupBy("user_id").agg(F.max("ts").alias("last_ts"))
         return self._source("customer").join(
             last.withColumnRenamed("user_id", "c_custkey"), "c_custkey", "left")

@@ -1,13 +1,14 @@
 """Alert rules (S1-S5). Each takes the rows just inserted, batch or stream, and
 the reference tables; alerts carry the event's own time so that a replay gives
-the same rows. S4 and S5 need the keyed quiet period of `suppress`.
+the same rows, or ``raised_at`` to stamp them with the time of insertion. S4 and
+S5 need the keyed quiet period of `suppress`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilia.functions import values as v
+from vigilia.functions import clock, values as v
 from vigilia.operators.sequence import asof_join
 from vigilia.operators.suppress import suppress
 from vigilia.plans.views import Tables, garden_boxes, open_assignments
@@ -18,11 +19,15 @@ ALERT_LEVELS = ("Moderado", "Grave")
 DAY, TWO_HOURS = 86_400, 7_200
 
 
-def low_mood_incidents(checkins: DataFrame) -> DataFrame:
+def _stamp(event: str, raised_at) -> Column:
+    return F.col(event) if raised_at is None else clock.at(raised_at)
+
+
+def low_mood_incidents(checkins: DataFrame, raised_at=None) -> DataFrame:
     """A score of 2 or less raises an incident, severe for a 1."""
     return checkins.where(F.col("puntaje") <= 2).select(
         "id_residente", F.col("id_cuidador").alias("id_staff"),
-        F.col("fecha_registro").alias("fecha"), F.lit("Agitacion").alias("tipo"),
+        _stamp("fecha_registro", raised_at).alias("fecha"), F.lit("Agitacion").alias("tipo"),
         F.concat(F.lit("Alerta automática: puntaje de ánimo bajo ("), F.col("puntaje").cast("string"),
                  F.lit("/5) registrado por cuidador.")).alias("descripcion"),
         F.when(F.col("puntaje") == 1, "Alta").otherwise("Media").alias("severidad"))
@@ -39,14 +44,14 @@ def first_garden_box(t: Tables) -> Column:
         F.struct("lat_min", "lat_max", "lon_min", "lon_max"), "id_limite").alias("box")).scalar()
 
 
-def geofence_incidents(pings: DataFrame, t: Tables) -> DataFrame:
+def geofence_incidents(pings: DataFrame, t: Tables, raised_at=None) -> DataFrame:
     """Every ping outside the garden raises a wandering incident for the
     main caregiver, or staff 1 without one. No garden limit, no incident."""
     outside = pings.withColumn("_box", first_garden_box(t)).where(
         ~v.inside_box(F.col("latitud"), F.col("longitud"), F.col("_box")))
     return outside.join(first_main_carer(t), "id_residente", "left").select(
         "id_residente", F.coalesce("id_staff", F.lit(FALLBACK_STAFF)).alias("id_staff"),
-        F.col("registrado_en").alias("fecha"), F.lit("Deambulacion").alias("tipo"),
+        _stamp("registrado_en", raised_at).alias("fecha"), F.lit("Deambulacion").alias("tipo"),
         F.concat(F.lit("Alerta GPS: residente detectado fuera del perímetro del jardín. Coords: ("),
                  F.col("latitud").cast("string"), F.lit(", "), F.col("longitud").cast("string"),
                  F.lit(").")).alias("descripcion"),
