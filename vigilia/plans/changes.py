@@ -427,7 +427,7 @@ def book_sessions(t: Tables, requests: DataFrame, as_of) -> Result:
         & (F.col("conflictos_sala") == 0)
     ).select("change_id", "id_terapeuta", "id_sala", "fecha_sesion", "duracion_min")).drop(
         "duracion_min")
-    unit = overlap.time_unit((live, "fecha_sesion", "_end"))
+    unit = overlap.time_unit((_spans(rows), "fecha_sesion", "_end"))
     window = ("fecha_sesion", "_end")
 
     def earliest(pending: DataFrame) -> DataFrame:
@@ -446,13 +446,19 @@ def book_sessions(t: Tables, requests: DataFrame, as_of) -> Result:
 
     accepted_ids = accept_in_order(live, "change_id", earliest, blocked)
     accepted = live.join(accepted_ids, "change_id", "left_semi")
-    rivals = _lost_to(live.join(accepted_ids, "change_id", "left_anti"), accepted, unit, window)
-    rows = rows.join(rivals, "change_id", "left")
-    failure = F.coalesce(
-        F.when(F.col("conflictos_terapeuta") > 0, F.lit(THERAPIST_BUSY)),
-        F.when(F.col("conflictos_sala") > 0, F.lit(ROOM_BUSY)),
-        F.col("_lost"), F.col("_error"))
-    rows = rows.withColumn("_failure", failure)
+    refused = _spans(rows.join(accepted_ids, "change_id", "left_anti"))
+    # Accepted requests are in the way of later ones whatever else is wrong
+    # with those; the lowest overlapping key tells whether it came earlier.
+    for resource in ("id_terapeuta", "id_sala"):
+        first = overlap.earliest_among(refused, accepted, "change_id", resource, *window,
+                                       f"_by_{resource}", unit, LONGEST_SESSION)
+        rows = rows.join(first, "change_id", "left")
+    rows = rows.withColumn("_failure", F.coalesce(
+        F.when((F.col("conflictos_terapeuta") > 0)
+               | (F.col("_by_id_terapeuta") < F.col("change_id")), F.lit(THERAPIST_BUSY)),
+        F.when((F.col("conflictos_sala") > 0)
+               | (F.col("_by_id_sala") < F.col("change_id")), F.lit(ROOM_BUSY)),
+        F.col("_error")))
     booked = rows.where(F.col("_failure").isNull()).withColumns({
         "asistio": F.lit(True), "notas": F.lit(None).cast("string")})
     added = dense_ids(booked, "change_id", "id_sesion", highest(stored, "id_sesion")).select(
@@ -462,20 +468,6 @@ def book_sessions(t: Tables, requests: DataFrame, as_of) -> Result:
                   created={"sesion_terapia": added})
 
 
-def _lost_to(losers: DataFrame, accepted: DataFrame, unit: int, window) -> DataFrame:
-    """Why a request lost: an accepted *earlier* request holds its therapist,
-    or else its room. Accepted requests on one resource never overlap each
-    other, so the earliest overlapping one decides."""
-    grid = losers.select("change_id")
-    for resource, message in (("id_terapeuta", THERAPIST_BUSY), ("id_sala", ROOM_BUSY)):
-        first = overlap.earliest_among(losers, accepted, "change_id", resource, *window,
-                                       f"_by_{resource}", unit, LONGEST_SESSION)
-        grid = grid.join(first, "change_id", "left")
-    return grid.select("change_id", F.when(
-        F.col("_by_id_terapeuta") < F.col("change_id"), F.lit(THERAPIST_BUSY)
-    ).otherwise(F.lit(ROOM_BUSY)).alias("_lost"))
-
-
 # --- C8: medication by tag scan --------------------------------------------
 
 UNKNOWN_TAG = "Tag NFC no registrado."
