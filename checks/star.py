@@ -16,7 +16,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilia.sources.tables import read_feed
 
-STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+STAR_TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+}
 
 # The instants reports are asked for: the star's order history and its event feed
 # end at different times.
@@ -229,10 +244,6 @@ LAST_EVENT_SQL = ("(SELECT c.*, e.last_ts FROM customer c LEFT JOIN (SELECT user
                   "last_ts FROM events GROUP BY user_id) e ON e.user_id = c.c_custkey)")
 
 
-def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in STAR_TABLES}
-
-
 class Derived(dict):
     """Tables built on first use, so a query touches only what it needs."""
 
@@ -243,10 +254,11 @@ class Derived(dict):
 
     def _source(self, name: str) -> DataFrame:
         if name != "customer_last_event":
-            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             if self.live:
-                df = read_feed(self.spark, self.sf_dir, df.schema, glob=f"{name}.parquet")
-            return df
+                return read_feed(self.spark, self.sf_dir, STAR_TABLES[name],
+                                 glob=f"{name}.parquet")
+            return self.spark.read.schema(STAR_TABLES[name]).parquet(
+                f"{self.sf_dir}/{name}.parquet")
         last = self._source("events").groupBy("user_id").agg(F.max("ts").alias("last_ts"))
         return self._source("customer").join(
             last.withColumnRenamed("user_id", "c_custkey"), "c_custkey", "left")

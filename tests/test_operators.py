@@ -50,10 +50,11 @@ def test_top_k_cuts_before_the_shuffle(spark, events):
 
 
 @pytest.mark.parametrize("step", [-1, 1])
-def test_shifted_equals_plain_window(spark, events, step):
+@pytest.mark.parametrize("limit", [20, 100, 20_000])
+def test_shifted_equals_plain_window(spark, events, step, limit):
     rows, df = events
     got = {r.id: r.o for r in sequence.shifted(
-        df, ["k"], "ts", "id", "v", "o", step, 6 * 3600).collect()}
+        df, ["k"], "ts", "id", "v", "o", step, 6 * 3600, limit).collect()}
     want = {}
     for key in {r[1] for r in rows}:
         mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
@@ -63,13 +64,14 @@ def test_shifted_equals_plain_window(spark, events, step):
     assert got == want
 
 
-def test_asof_join(spark, events):
+@pytest.mark.parametrize("limit", [30, 20_000])
+def test_asof_join(spark, events, limit):
     rows, _ = events
     lefts = make_events(2, n=200)
     left = spark.createDataFrame(lefts, "lid long, k long, lts timestamp_ntz, lv int")
     right = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v int")
     got = {r.lid: (r.id, r.v) for r in sequence.asof_join(
-        left, right, ["k"], "lts", "ts", "id", ["id", "v"], 12 * 3600).collect()}
+        left, right, ["k"], "lts", "ts", "id", ["id", "v"], 12 * 3600, limit).collect()}
     want = {}
     for lid, key, ts, _v in lefts:
         past = [r for r in rows if r[1] == key and r[2] <= ts]
@@ -116,11 +118,15 @@ def test_overlap_counts(spark, seconds, unit):
     asked, stored = intervals(4, 120, 5, seconds), intervals(5, 200, 5, seconds)
     schema = "id long, res long, s timestamp_ntz, e timestamp_ntz"
     a, b = spark.createDataFrame(asked, schema), spark.createDataFrame(stored, schema)
-    assert overlap.time_unit((a, "s", "e"), (b, "s", "e")) == unit
+    assert overlap.time_unit(a.unionByName(b), "s", "e") == unit
     got = {r.id: r.n for r in overlap.overlap_counts(
-        a, b, "id", "res", "s", "e", "n", unit, 480).collect()}
+        a, b, "id", "res", "s", "e", "n", 480).collect()}
     assert got == {i: sum(r == r2 and s2 < e and e2 > s for _, r2, s2, e2 in stored)
                    for i, r, s, e in asked}
+    first = {r.id: r.n for r in overlap.earliest_among(
+        a, b, "id", "res", "s", "e", "n", unit, 480).collect()}
+    assert first == {i: min(hits) for i, r, s, e in asked if (
+        hits := [j for j, r2, s2, e2 in stored if r == r2 and s2 < e and e2 > s])}
 
 
 def test_first_come_rounds(spark):
@@ -131,7 +137,7 @@ def test_first_come_rounds(spark):
         return overlap.earliest_rival(pending, "id", "res", "s", "e", "rival", 60_000_000, 480)
 
     def blocked(pending, taken):
-        return overlap.overlap_counts(pending, taken, "id", "res", "s", "e", "n", 60_000_000,
+        return overlap.overlap_counts(pending, taken, "id", "res", "s", "e", "n",
                                       480).where("n > 0").select("id")
 
     got = {r.id for r in accept_in_order(df, "id", earliest, blocked).collect()}

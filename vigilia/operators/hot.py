@@ -1,0 +1,37 @@
+"""Telling apart the few keys too large for one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+from vigilia.sources.work import materialise
+
+LIMIT = 20_000
+MOST = 1_000_000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = LIMIT) -> DataFrame | None:
+    """Keys holding more than ``limit`` rows and more than a millionth of the
+    table, or None. There are never more than a million of them, however large
+    the table is: the bound that lets `without` and `only` broadcast them.
+
+    This counts rows per key right away, one narrow aggregation, because the
+    plan for a table without hot keys is much simpler.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts.where(F.col("_n") > limit).isEmpty():
+        return None
+    least = max(limit, df.count() // MOST)
+    return materialise(counts.where(F.col("_n") > least).select(*keys))
+
+
+def without(df: DataFrame, hot: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Rows of the ordinary keys, filtered before any shuffle."""
+    return df if hot is None else df.join(F.broadcast(hot), list(keys), "left_anti")
+
+
+def only(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the hot keys."""
+    return df.join(F.broadcast(hot), list(keys), "left_semi")

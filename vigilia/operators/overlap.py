@@ -1,70 +1,64 @@
 """Interval overlap per resource without forming pairs.
 
-Half-open intervals A and B overlap exactly when A covers B's start or A
-starts inside B. Time is cut into dyadic nodes: (level k, n) is
-``[n * 2^k, (n + 1) * 2^k)``. Every interval is a disjoint union of a few
-nodes (its cover) and every point lies in one node per level (its path), so
-both questions become equi-joins on (resource, node) against one aggregated
-row per node. A resource holding a third of all intervals therefore costs a
-third of the aggregate input, never its square.
+Counting: the stored intervals overlapping ``[s, e)`` number "starts before e"
+minus "ends by s". Both are running counts over one time-ordered union, taken
+per (resource, day) and offset by the days before, so a resource holding a
+third of all intervals is spread over as many tasks as it has days.
+
+Lowest key: a minimum cannot be subtracted, so time is cut into dyadic nodes,
+(level k, n) being ``[n * 2^k, (n + 1) * 2^k)``. Every interval is a disjoint
+union of a few nodes (its cover) and every point lies in one node per level
+(its path). A and B overlap when A covers B's start or A starts inside B; both
+become equi-joins on (resource, node) against one aggregated row per node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilia.functions.clock import epoch_micros
 
 _UNITS = (60_000_000, 1_000_000, 1_000, 1)
 
 
-def _pow2(level: Column) -> Column:
-    return F.pow(F.lit(2.0), level).cast("bigint")
-
+def _by_level(df: DataFrame, levels: int) -> tuple[DataFrame, Column]:
+    """Every row once per level, and the width of its level's nodes."""
+    leveled = df.withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(levels)])))
+    return leveled, F.pow(F.lit(2.0), F.col("level"))
 
-def cover(start: Column, end: Column, levels: int) -> Column:
-    """Array of (level, node) whose disjoint union is ``[start, end)``."""
 
-    def at_level(level: Column) -> Column:
-        width = _pow2(level)
-        low = F.ceil(start / width).cast("bigint")
-        high = F.floor(end / width).cast("bigint")
-        top = level == F.lit(levels - 1)
-        node = lambda n: F.struct(level.cast("int").alias("level"), n.alias("node"))
-        inside = F.when(top & (low < high), F.transform(F.sequence(low, high - 1), node))
-        left = F.when(~top & (low < high) & (low % 2 != 0), F.array(node(low)))
-        right = F.when(~top & (low < high) & (high % 2 != 0), F.array(node(high - 1)))
-        empty = F.array().cast("array<struct<level:int,node:bigint>>")
-        return F.concat(*[F.coalesce(x, empty) for x in (inside, left, right)])
+def cover(df: DataFrame, start: Column, end: Column, levels: int, keep: list[str]) -> DataFrame:
+    """(keep, level, node): the disjoint nodes making up ``[start, end)``.
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at_level))
+    Below the top level at most one node sticks out on either side; the top
+    level takes whatever is left, so any length is covered exactly.
+    """
+    leveled, width = _by_level(df.withColumns({"_from": start, "_to": end}), levels)
+    low = F.ceil(F.col("_from") / width).cast("bigint")
+    high = F.floor(F.col("_to") / width).cast("bigint")
+    leveled = leveled.withColumns({"_low": low, "_high": high}).where("_low < _high")
+    low, high = F.col("_low"), F.col("_high")
+    sides = F.array_compact(F.array(F.when(low % 2 != 0, low), F.when(high % 2 != 0, high - 1)))
+    nodes = F.when(F.col("level") == levels - 1, F.sequence(low, high - 1)).otherwise(sides)
+    return leveled.select(*keep, "level", F.explode(nodes).alias("node"))
 
 
-def path(point: Column, levels: int) -> Column:
-    """Array of (level, node) holding ``point``, one per level."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(levels - 1)),
-        lambda level: F.struct(level.cast("int").alias("level"),
-                               F.floor(point / _pow2(level)).cast("bigint").alias("node")),
-    )
+def path(df: DataFrame, point: Column, levels: int, keep: list[str]) -> DataFrame:
+    """(keep, level, node): the node holding ``point`` on every level."""
+    leveled, width = _by_level(df.withColumn("_from", point), levels)
+    return leveled.select(*keep, "level", F.floor(F.col("_from") / width).cast("bigint").alias("node"))
 
 
-def time_unit(*frames: tuple[DataFrame, str, str]) -> int:
+def time_unit(df: DataFrame, start: str, end: str) -> int:
     """Coarsest unit (in microseconds) that expresses every bound exactly.
 
-    One scalar per frame reaches the driver. Whole minutes, the usual case,
-    need 9 levels for an eight-hour interval instead of 35.
+    One scalar row reaches the driver. Whole minutes, the usual case, need 9
+    levels for an eight-hour interval instead of 35.
     """
-    exact = [True] * len(_UNITS)
-    for df, start, end in frames:
-        row = df.agg(*[
-            F.coalesce(F.bool_and((epoch_micros(F.col(start)) % u == 0)
-                                  & (epoch_micros(F.col(end)) % u == 0)), F.lit(True))
-            for u in _UNITS
-        ]).first()
-        exact = [a and b for a, b in zip(exact, row)]
+    exact = df.agg(*[
+        F.coalesce(F.bool_and((epoch_micros(F.col(start)) % u == 0)
+                              & (epoch_micros(F.col(end)) % u == 0)), F.lit(True)) for u in _UNITS
+    ]).first()
     return next(u for u, ok in zip(_UNITS, exact) if ok)
 
 
@@ -79,48 +73,80 @@ def _grid(df: DataFrame, start: str, end: str, unit: int) -> DataFrame:
     })
 
 
-def _nodes(df: DataFrame, nodes: Column) -> DataFrame:
-    return df.withColumn("_n", F.explode(nodes)).select(
-        *[c for c in df.columns if c not in ("_s", "_e")], "_n.level", "_n.node")
-
-
-def _probe(asked: DataFrame, stored: DataFrame, key: str, resource: str, levels: int,
-           stored_value: Callable[[], Column], merge: Callable[[Column], Column]) -> DataFrame:
-    """(key, _hit): ``merge`` over the stored intervals overlapping each asked one.
+def _probe(asked: DataFrame, stored: DataFrame, key: str, resource: str, levels: int) -> DataFrame:
+    """(key, _hit): lowest key of the stored intervals overlapping each asked one.
 
     ``_s``/``_e`` must be set on both sides. A stored interval that covers the
     asked start strictly is found on the asked start's path; one that starts
     inside the asked interval is found on the asked cover.
     """
     node = [resource, "level", "node"]
-    covering = _nodes(stored.where(F.col("_e") > F.col("_s") + 1),
-                      cover(F.col("_s") + 1, F.col("_e"), levels))
-    covering = covering.groupBy(*node).agg(stored_value().alias("_v"))
-    starting = _nodes(stored, path(F.col("_s"), levels))
-    starting = starting.groupBy(*node).agg(stored_value().alias("_v"))
-    narrow = asked.select(key, resource, "_s", "_e")
-    on_path = _nodes(narrow, path(F.col("_s"), levels)).join(covering, node)
-    in_cover = _nodes(narrow, cover(F.col("_s"), F.col("_e"), levels)).join(starting, node)
+    held = [resource, key]
+    covering = cover(stored.where(F.col("_e") > F.col("_s") + 1), F.col("_s") + 1, F.col("_e"),
+                     levels, held).groupBy(*node).agg(F.min(key).alias("_v"))
+    starting = path(stored, F.col("_s"), levels, held).groupBy(*node).agg(
+        F.min(key).alias("_v"))
+    narrow = [key, resource]
+    on_path = path(asked, F.col("_s"), levels, narrow).join(covering, node)
+    in_cover = cover(asked, F.col("_s"), F.col("_e"), levels, narrow).join(starting, node)
     return (
         on_path.select(key, "_v").unionByName(in_cover.select(key, "_v"))
-        .groupBy(key).agg(merge(F.col("_v")).alias("_hit"))
+        .groupBy(key).agg(F.min("_v").alias("_hit"))
     )
 
 
-def overlap_counts(asked: DataFrame, stored: DataFrame, key: str, resource: str, start: str,
-                   end: str, out: str, unit: int, longest_minutes: int) -> DataFrame:
-    """``asked`` plus the number of ``stored`` intervals of the same resource
-    overlapping each row. ``key`` identifies an asked row.
+def overlap_hits(asked: DataFrame, stored: DataFrame, key: str, resource: str, start: str,
+                 end: str, out: str, longest_minutes: int) -> DataFrame:
+    """(key, out): number of ``stored`` intervals of the same resource
+    overlapping each asked row; rows without one are absent.
 
     Stored rows are first cut to the (resource, day) cells some request
     touches, so a large history is read once and mostly dropped.
     """
-    levels = _levels(longest_minutes, unit)
-    near = _near(stored, asked, resource, start, end, longest_minutes)
-    hits = _probe(_grid(asked, start, end, unit), _grid(near, start, end, unit), key, resource,
-                  levels, lambda: F.count(F.lit(1)), F.sum)
-    return (asked.join(hits, key, "left")
-            .withColumn(out, F.coalesce("_hit", F.lit(0)).cast("bigint")).drop("_hit"))
+    asked = asked.select(key, resource, start, end)
+    near = _near(stored.select(resource, start, end), asked, resource, start, end, longest_minutes)
+    nobody = F.lit(None).cast(asked.schema[key].dataType)
+
+    def points(df: DataFrame, ts: str, rank: int, who: Column, starts: int, ends: int) -> DataFrame:
+        # At one instant: ends, then questions, then starts.
+        return df.select(
+            resource, F.col(ts).alias("_t"), F.lit(rank).alias("_rank"), who.alias(key),
+            F.lit(starts).alias("_starts"), F.lit(ends).alias("_ends"),
+            F.lit(ts == end).alias("_closing"))
+
+    line = (
+        points(near, start, 2, nobody, 1, 0).unionByName(points(near, end, 0, nobody, 0, 1))
+        .unionByName(points(asked, start, 1, F.col(key), 0, 0))
+        .unionByName(points(asked, end, 1, F.col(key), 0, 0))
+        .withColumn("_day", F.to_date("_t"))
+    )
+    days_before = Window.partitionBy(resource).orderBy("_day").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = (
+        line.groupBy(resource, "_day").agg(F.sum("_starts").alias("_s"), F.sum("_ends").alias("_e"))
+        .select(resource, "_day",
+                F.coalesce(F.sum("_s").over(days_before), F.lit(0)).alias("_starts_before"),
+                F.coalesce(F.sum("_e").over(days_before), F.lit(0)).alias("_ends_before"))
+    )
+    so_far = Window.partitionBy(resource, "_day").orderBy("_t", "_rank").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    answered = (
+        line.withColumns({"_starts": F.sum("_starts").over(so_far),
+                          "_ends": F.sum("_ends").over(so_far)})
+        .where(F.col("_rank") == 1).join(offsets, [resource, "_day"])
+    )
+    started = F.when(F.col("_closing"), F.col("_starts") + F.col("_starts_before"))
+    ended = F.when(~F.col("_closing"), F.col("_ends") + F.col("_ends_before"))
+    return answered.groupBy(key).agg((F.sum(started) - F.sum(ended)).alias(out)).where(
+        F.col(out) > 0)
+
+
+def overlap_counts(asked: DataFrame, stored: DataFrame, key: str, resource: str, start: str,
+                   end: str, out: str, longest_minutes: int) -> DataFrame:
+    """``asked`` plus the number of stored intervals overlapping each row."""
+    hits = overlap_hits(asked, stored, key, resource, start, end, out, longest_minutes)
+    return asked.join(hits, key, "left").withColumn(
+        out, F.coalesce(out, F.lit(0)).cast("bigint"))
 
 
 def earliest_among(asked: DataFrame, others: DataFrame, key: str, resource: str, start: str,
@@ -130,8 +156,8 @@ def earliest_among(asked: DataFrame, others: DataFrame, key: str, resource: str,
     levels = _levels(longest_minutes, unit)
     columns = [key, resource, start, end]
     return _probe(_grid(asked.select(*columns), start, end, unit),
-                  _grid(others.select(*columns), start, end, unit), key, resource, levels,
-                  lambda: F.min(key), F.min).select(key, F.col("_hit").alias(out))
+                  _grid(others.select(*columns), start, end, unit), key, resource,
+                  levels).select(key, F.col("_hit").alias(out))
 
 
 def earliest_rival(asked: DataFrame, key: str, resource: str, start: str, end: str, out: str,

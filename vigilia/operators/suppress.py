@@ -4,13 +4,13 @@ A candidate fires when no still-active alert of its key fired within the last
 ``quiet`` seconds. Suppressed candidates do not extend the quiet period, and
 closing an alert re-opens the gate.
 
-Keys with up to ``limit`` moments, nearly all of them, are folded in the JVM
-over one sorted array each. A larger key is cut into time chunks of about
-``limit`` moments. Pass one turns every chunk into a step function "last
-active alert on entry -> last active alert on exit", independently of all
-other chunks. Pass two composes those functions per key, a few rows per chunk.
-Pass three replays every chunk with its true entry. So a key holding a third
-of all candidates is worked on by as many tasks as it has chunks.
+Ordinary keys are folded in the JVM over one sorted array each. A hot key (see
+`hot_keys`) is cut into time chunks of about ``limit`` moments. Pass one turns
+every chunk into a step function "last active alert on entry -> last active
+alert on exit", independently of all other chunks. Pass two composes those
+functions per key, a few rows per chunk. Pass three replays every chunk with
+its true entry. So a key holding a third of all candidates is worked on by as
+many tasks as it has chunks.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilia.functions.clock import epoch_micros
+from vigilia.operators.hot import LIMIT, hot_keys, only, without
 
 NEVER = int(np.iinfo(np.int64).min)
-LIMIT = 20_000
 CELL = 3_600
 
 
@@ -37,10 +37,65 @@ def suppress(df: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet: int,
     moment; a candidate at the very same moment comes after it. ``carry``
     (keys + ``ts``) gives the key's last active alert from before the batch.
     Equal candidate times are taken in ``tie`` order. Keys must not be NULL.
-    Chunk borders fall between cells of ``cell`` seconds.
+    Chunk borders of hot keys fall between cells of ``cell`` seconds.
     """
     gap = quiet * 1_000_000
     keys = list(keys)
+    starts = None if carry is None else carry.groupBy(*keys).agg(
+        F.max(epoch_micros(F.col(ts))).alias("_exit"))
+    moments = df.select(*keys, ts)
+    if closed is not None:
+        moments = moments.unionByName(closed.select(*keys, ts))
+    hot = hot_keys(moments, keys, limit)
+    ordinary = _fold(
+        without(df, hot, keys), None if closed is None else without(closed, hot, keys),
+        keys, ts, tie, gap, starts)
+    if hot is None:
+        return ordinary
+    large = _fold_chunks(
+        only(df, hot, keys), None if closed is None else only(closed, hot, keys),
+        keys, ts, tie, gap, starts, limit, cell)
+    return ordinary.unionByName(large)
+
+
+def _fold(df: DataFrame, closed: DataFrame | None, keys: list[str], ts: str, tie: str, gap: int,
+          starts: DataFrame | None) -> DataFrame:
+    """Fired rows of keys that fit one array."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    line = df.select(*keys, F.struct(
+        epoch_micros(F.col(ts)).alias("us"), F.lit(True).alias("candidate"),
+        F.col(tie).alias("tie"), row.alias("row")).alias("_x"))
+    if closed is not None:
+        kind = line.schema["_x"].dataType
+        line = line.unionByName(closed.select(*keys, F.struct(
+            epoch_micros(F.col(ts)).alias("us"), F.lit(False).alias("candidate"),
+            F.lit(None).cast(kind["tie"].dataType).alias("tie"),
+            F.lit(None).cast(kind["row"].dataType).alias("row")).alias("_x")))
+    lines = line.groupBy(*keys).agg(F.array_sort(F.collect_list("_x")).alias("_line"))
+    if starts is not None:
+        lines = lines.join(starts, keys, "left")
+    else:
+        lines = lines.withColumn("_exit", F.lit(None).cast("bigint"))
+
+    def state(last: Column, fired: Column) -> Column:
+        return F.struct(last.alias("last"), fired.alias("fired"))
+
+    def step(acc: Column, x: Column) -> Column:
+        closes = ~x["candidate"] & (x["us"] > acc["last"])
+        fires = x["candidate"] & (acc["last"].isNull() | (x["us"] > acc["last"] + gap))
+        return (F.when(closes, state(F.lit(None).cast("bigint"), acc["fired"]))
+                .when(fires, state(x["us"], F.array_append(acc["fired"], x["row"])))
+                .otherwise(acc))
+
+    none_yet = F.filter(F.transform("_line", lambda x: x["row"]), lambda _: F.lit(False))
+    start = state(F.col("_exit"), none_yet)
+    return lines.select(F.explode(F.aggregate("_line", start, step)["fired"]).alias("_row")).select(
+        "_row.*")
+
+
+def _fold_chunks(df: DataFrame, closed: DataFrame | None, keys: list[str], ts: str, tie: str,
+                 gap: int, starts: DataFrame | None, limit: int, cell: int) -> DataFrame:
+    """Fired rows of hot keys."""
     at = epoch_micros(F.col(ts)).alias("_us")
     # Of candidates at one instant only the first can fire, so the timeline
     # needs distinct instants only.
@@ -49,54 +104,23 @@ def suppress(df: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet: int,
         moments = moments.unionByName(closed.select(*keys, at, F.lit(True).alias("_reset")))
     moments = moments.distinct().withColumn(
         "_cell", F.floor(F.col("_us") / F.lit(cell * 1_000_000)))
-    starts = None if carry is None else carry.groupBy(*keys).agg(
-        F.max(epoch_micros(F.col(ts))).alias("_exit"))
-
-    moments = moments.join(_chunks(moments, keys, limit), [*keys, "_cell"], "left")
-    fired = _fold_small(moments.where(F.col("_chunk").isNull()), keys, gap, starts).unionByName(
-        _fold_large(moments.where(F.col("_chunk").isNotNull()), df, keys, gap, starts))
+    moments = moments.join(_chunks(moments, keys, limit), [*keys, "_cell"])
+    fired = _fold_large(moments, df, keys, gap, starts)
     first = df.withColumn("_us", epoch_micros(F.col(ts))).join(fired, [*keys, "_us"], "left_semi")
     return first.groupBy(*keys, "_us").agg(
         F.min_by(F.struct(*df.columns), tie).alias("_row")).select("_row.*")
 
 
 def _chunks(moments: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """(keys, _cell, _chunk) for the keys with more than ``limit`` moments."""
-    per_key = Window.partitionBy(*keys)
-    before = per_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    """(keys, _cell, _chunk): cells in time order, about ``limit`` moments a chunk."""
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     return (
         moments.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_total": F.sum("_n").over(per_key),
-                      "_before": F.coalesce(F.sum("_n").over(before), F.lit(0))})
-        .where(F.col("_total") > limit)
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .select(*keys, "_cell", F.floor(F.col("_before") / F.lit(limit)).alias("_chunk"))
     )
 
 
-def _fold_small(moments: DataFrame, keys: list[str], gap: int,
-                starts: DataFrame | None) -> DataFrame:
-    """(keys, _us) fired by keys that fit one array."""
-    lines = moments.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("_us").alias("us"), (~F.col("_reset")).alias("candidate")))).alias("_line"))
-    if starts is not None:
-        lines = lines.join(starts, keys, "left")
-    else:
-        lines = lines.withColumn("_exit", F.lit(None).cast("bigint"))
-
-    def state(last: Column, fired: Column) -> Column:
-        return F.struct(last.alias("last"), fired.alias("fired"))
-
-    def step(acc: Column, x: Column) -> Column:
-        closes = ~x["candidate"] & (x["us"] > acc["last"])
-        fires = x["candidate"] & (acc["last"].isNull() | (x["us"] > acc["last"] + gap))
-        return (F.when(closes, state(F.lit(None).cast("bigint"), acc["fired"]))
-                .when(fires, state(x["us"], F.array_append(acc["fired"], x["us"])))
-                .otherwise(acc))
-
-    start = state(F.col("_exit"), F.array().cast("array<bigint>"))
-    return lines.select(*keys, F.explode(F.aggregate("_line", start, step)["fired"]).alias("_us"))
-
-
 def _fold_large(moments: DataFrame, df: DataFrame, keys: list[str], gap: int,
                 starts: DataFrame | None) -> DataFrame:
     """(keys, _us) fired by keys cut into chunks."""

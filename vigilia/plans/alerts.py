@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigilia.functions import clock, values as v
 from vigilia.operators.sequence import asof_join
 from vigilia.operators.suppress import suppress
-from vigilia.plans.views import Tables, garden_boxes, open_assignments
+from vigilia.plans.views import Tables, open_assignments
+from vigilia.sources.work import materialise
 
 FALLBACK_STAFF = 1
 ZONE_EXIT = "Salida de Zona Segura"
@@ -107,7 +108,8 @@ def zone_exit_alerts(gps: DataFrame, t: Tables, closed: DataFrame | None = None,
                      active: DataFrame | None = None) -> DataFrame:
     """Severe alert on leaving the safe zone, linked to the patient's latest
     assessment at that time, with the coordinates."""
-    fired = zone_exits(gps, closed, active)
+    # Few rows, looked at more than once by the join: worked out once.
+    fired = materialise(zone_exits(gps, closed, active))
     linked = asof_join(fired, t["aplicacion_escala"], ["id_paciente"], "timestamp_evento",
                        "fecha_aplicacion", "id_aplicacion", ["id_aplicacion"], 30 * DAY)
     return linked.select(

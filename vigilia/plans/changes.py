@@ -407,11 +407,14 @@ def booking_conflicts(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     (``conflictos_terapeuta``) and per room (``conflictos_sala``)."""
     asked = _spans(requests)
     stored = _spans(sessions.select("id_terapeuta", "id_sala", "fecha_sesion", "duracion_min"))
-    unit = overlap.time_unit((asked, "fecha_sesion", "_end"), (stored, "fecha_sesion", "_end"))
-    for resource, out in (("id_terapeuta", "conflictos_terapeuta"), ("id_sala", "conflictos_sala")):
-        asked = overlap.overlap_counts(asked, stored, "change_id", resource, "fecha_sesion",
-                                       "_end", out, unit, LONGEST_SESSION)
-    return asked.drop("_end")
+    out = requests
+    for resource, name in (("id_terapeuta", "conflictos_terapeuta"),
+                           ("id_sala", "conflictos_sala")):
+        hits = overlap.overlap_hits(asked, stored, "change_id", resource, "fecha_sesion", "_end",
+                                    name, LONGEST_SESSION)
+        out = out.join(hits, "change_id", "left").withColumn(
+            name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    return out
 
 
 def book_sessions(t: Tables, requests: DataFrame, as_of) -> Result:
@@ -427,7 +430,7 @@ def book_sessions(t: Tables, requests: DataFrame, as_of) -> Result:
         & (F.col("conflictos_sala") == 0)
     ).select("change_id", "id_terapeuta", "id_sala", "fecha_sesion", "duracion_min")).drop(
         "duracion_min")
-    unit = overlap.time_unit((_spans(rows), "fecha_sesion", "_end"))
+    unit = overlap.time_unit(_spans(rows), "fecha_sesion", "_end")
     window = ("fecha_sesion", "_end")
 
     def earliest(pending: DataFrame) -> DataFrame:
@@ -437,8 +440,8 @@ def book_sessions(t: Tables, requests: DataFrame, as_of) -> Result:
             F.min("rival").alias("rival"))
 
     def hits(pending: DataFrame, taken: DataFrame, resource: str) -> DataFrame:
-        return overlap.overlap_counts(pending, taken, "change_id", resource, *window, "_n", unit,
-                                      LONGEST_SESSION).where(F.col("_n") > 0).select("change_id")
+        return overlap.overlap_hits(pending, taken, "change_id", resource, *window, "_n",
+                                    LONGEST_SESSION).select("change_id")
 
     def blocked(pending: DataFrame, taken: DataFrame) -> DataFrame:
         return hits(pending, taken, "id_terapeuta").unionByName(
