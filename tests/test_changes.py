@@ -50,11 +50,12 @@ def test_booking_cases(spark, t):
                    7: (0, "Error: duracion_rango")}
 
 
-def test_booking_equals_one_by_one(spark):
+@pytest.mark.parametrize("small", [0, 30, 50_000])
+def test_booking_equals_one_by_one(spark, small):
     t = Derived(spark, SMALL, change_checks.ALL)
     t["staff"] = spark.range(1, 95).withColumnRenamed("id", "id_staff")
     t["sala"] = spark.range(1, 95).withColumnRenamed("id", "id_sala")
-    got = said(changes.book_sessions(t, t["booking"], EVENTS_NOW))
+    got = said(changes.book_sessions(t, t["booking"], EVENTS_NOW, small))
 
     def spans(df):
         return [(r.id_terapeuta, r.id_sala, r.fecha_sesion,
@@ -81,9 +82,10 @@ def test_booking_equals_one_by_one(spark):
     assert got == want and sum(ok for ok, _ in want.values()) > 10
 
 
-def test_hiring_equals_one_by_one(spark):
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_hiring_equals_one_by_one(spark, small):
     t = Derived(spark, SMALL, change_checks.ALL)
-    result = changes.hire_staff(t, t["new_staff"], EVENTS_NOW)
+    result = changes.hire_staff(t, t["new_staff"], EVENTS_NOW, small)
     emails = {r.email for r in t["staff"].collect()}
     names = {r.username for r in t["usuario_sistema"].collect()}
     roles = {r.id_rol for r in t["rol"].collect()}

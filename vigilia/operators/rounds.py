@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from vigilia.sources.work import materialise
 
-MAX_ROUNDS = 1_000
+SMALL = 50_000
 
 
 def accept_in_order(
@@ -16,29 +17,32 @@ def accept_in_order(
     key: str,
     earliest: Callable[[DataFrame], DataFrame],
     blocked: Callable[[DataFrame, DataFrame], DataFrame],
+    one_by_one: Callable[[pd.DataFrame], list],
+    small: int = SMALL,
 ) -> DataFrame:
-    """(key, accepted) as if the requests had been handled one by one by ``key``.
+    """(key) of the requests accepted, as if handled one by one in key order.
 
     ``earliest(pending)`` gives (key, rival): the lowest pending key in
     conflict with each row, itself included. ``blocked(pending, accepted)``
     gives the keys of pending rows in conflict with accepted ones. Each round
     settles every request without an earlier live rival, for all resources at
-    once; the number of rounds is the longest chain of conflicts, not the
-    batch size.
+    once, so rounds follow the longest chain of conflicts and not the batch
+    size. Once at most ``small`` requests are left, a counted bound, one task
+    finishes them with ``one_by_one`` (rows sorted by key -> accepted keys), which
+    also ends long chains.
     """
     pending = materialise(requests)
-    settled: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        if pending.isEmpty():
-            break
+    settled = []
+    while (left := pending.count()) > max(small, 0):
         winners = materialise(
             earliest(pending).where(F.col("rival") == F.col(key)).select(key))
         settled.append(winners)
         rest = pending.join(winners, key, "left_anti")
         taken = pending.join(winners, key, "left_semi")
         pending = materialise(rest.join(blocked(rest, taken), key, "left_anti"))
-    else:
-        raise RuntimeError(f"requests still unsettled after {MAX_ROUNDS} rounds")
+    if left:
+        settled.append(pending.groupBy().applyInPandas(
+            lambda pdf: pd.DataFrame({key: one_by_one(pdf.sort_values(key))}), f"{key} bigint"))
     accepted = requests.select(key).where(F.lit(False))
     for winners in settled:
         accepted = accepted.unionByName(winners)

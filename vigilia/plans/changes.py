@@ -12,15 +12,17 @@ Identity columns of new rows are not requested; defaults of the tables
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilia.functions import clock
 from vigilia.operators import checks, overlap
 from vigilia.operators.numbering import dense_ids, highest
 from vigilia.operators.ranking import latest_per_key
-from vigilia.operators.rounds import accept_in_order
+from vigilia.operators.rounds import SMALL, accept_in_order
 from vigilia.operators.sequence import nearest_daily
 from vigilia.plans.views import Tables
 from vigilia.sources.work import materialise
@@ -177,7 +179,18 @@ def admit_residents(t: Tables, requests: DataFrame, as_of) -> Result:
                   outcome, created={"residente": residents, "asignacion": carers})
 
 
-def hire_staff(t: Tables, requests: DataFrame, as_of) -> Result:
+def _free_names(pdf: pd.DataFrame) -> list:
+    seen: tuple[set, set] = (set(), set())
+    accepted = []
+    for change_id, *names in zip(pdf["change_id"], pdf["email"], pdf["username"]):
+        if not any(name in used for name, used in zip(names, seen)):
+            accepted.append(change_id)
+            for name, used in zip(names, seen):
+                used.add(name)
+    return accepted
+
+
+def hire_staff(t: Tables, requests: DataFrame, as_of, small: int = SMALL) -> Result:
     """New staff with a user each; email and username must be free, counting
     requests accepted earlier in the batch."""
     rows = requests.withColumns({"activo": F.lit(True), "fecha_alta": clock.day(as_of)})
@@ -205,8 +218,8 @@ def hire_staff(t: Tables, requests: DataFrame, as_of) -> Result:
                 .unionByName(pending.join(taken.select("username"), "username", "left_semi")
                              .select("change_id")).distinct())
 
-    winners = accept_in_order(valid, "change_id", earliest, blocked).withColumn(
-        "_won", F.lit(True))
+    winners = accept_in_order(valid, "change_id", earliest, blocked, _free_names,
+                              small).withColumn("_won", F.lit(True))
     rows = rows.join(winners, "change_id", "left").withColumn("_error", F.coalesce(
         "_error", F.when(F.col("_won").isNull(), F.lit(ERROR + "email_o_username_unico"))))
     accepted = dense_ids(rows.where(F.col("_error").isNull()), "change_id", "id_staff",
@@ -417,7 +430,24 @@ def booking_conflicts(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     return out
 
 
-def book_sessions(t: Tables, requests: DataFrame, as_of) -> Result:
+def _free_slots(pdf: pd.DataFrame) -> list:
+    """Accepted intervals of one resource never overlap, so only the held
+    interval starting last before a request's end can be in its way."""
+    held: dict = {}
+    accepted = []
+    for change_id, therapist, room, start, end in zip(
+            pdf["change_id"], pdf["id_terapeuta"], pdf["id_sala"], pdf["fecha_sesion"],
+            pdf["_end"]):
+        lines = [held.setdefault(r, []) for r in (("t", therapist), ("s", room))]
+        spots = [bisect.bisect_left(line, (end,)) for line in lines]
+        if all(i == 0 or line[i - 1][1] <= start for line, i in zip(lines, spots)):
+            accepted.append(change_id)
+            for line, i in zip(lines, spots):
+                line.insert(i, (start, end))
+    return accepted
+
+
+def book_sessions(t: Tables, requests: DataFrame, as_of, small: int = SMALL) -> Result:
     """Reserve sessions in request order; the therapist is checked before the
     room, against stored sessions and against earlier accepted requests."""
     stored = t["sesion_terapia"]
@@ -447,7 +477,7 @@ def book_sessions(t: Tables, requests: DataFrame, as_of) -> Result:
         return hits(pending, taken, "id_terapeuta").unionByName(
             hits(pending, taken, "id_sala")).distinct()
 
-    accepted_ids = accept_in_order(live, "change_id", earliest, blocked)
+    accepted_ids = accept_in_order(live, "change_id", earliest, blocked, _free_slots, small)
     accepted = live.join(accepted_ids, "change_id", "left_semi")
     refused = _spans(rows.join(accepted_ids, "change_id", "left_anti"))
     # Accepted requests are in the way of later ones whatever else is wrong
