@@ -120,7 +120,7 @@ def test_overlap_counts(spark, seconds, unit):
     a, b = spark.createDataFrame(asked, schema), spark.createDataFrame(stored, schema)
     assert overlap.time_unit(a.unionByName(b), "s", "e") == unit
     got = {r.id: r.n for r in overlap.overlap_counts(
-        a, b, "id", "res", "s", "e", "n", 480).collect()}
+        a, b, "id", {"n": "res"}, "s", "e", 480).collect()}
     assert got == {i: sum(r == r2 and s2 < e and e2 > s for _, r2, s2, e2 in stored)
                    for i, r, s, e in asked}
     first = {r.id: r.n for r in overlap.earliest_among(
@@ -137,7 +137,7 @@ def test_first_come_rounds(spark):
         return overlap.earliest_rival(pending, "id", "res", "s", "e", "rival", 60_000_000, 480)
 
     def blocked(pending, taken):
-        return overlap.overlap_counts(pending, taken, "id", "res", "s", "e", "n",
+        return overlap.overlap_counts(pending, taken, "id", {"n": "res"}, "s", "e",
                                       480).where("n > 0").select("id")
 
     got = {r.id for r in accept_in_order(df, "id", earliest, blocked, list, small=0).collect()}

@@ -14,6 +14,8 @@ become equi-joins on (resource, node) against one aggregated row per node.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilia.functions.clock import epoch_micros
@@ -95,58 +97,71 @@ def _probe(asked: DataFrame, stored: DataFrame, key: str, resource: str, levels:
     )
 
 
-def overlap_hits(asked: DataFrame, stored: DataFrame, key: str, resource: str, start: str,
-                 end: str, out: str, longest_minutes: int) -> DataFrame:
-    """(key, out): number of ``stored`` intervals of the same resource
-    overlapping each asked row; rows without one are absent.
+def overlap_hits(asked: DataFrame, stored: DataFrame, key: str, resources: Mapping[str, str],
+                 start: str, end: str, longest_minutes: int) -> DataFrame:
+    """(key, one column per entry): how many ``stored`` intervals overlap each
+    asked row on each resource; ``resources`` maps the result column to the
+    resource column. Rows in nobody's way are absent.
 
-    Stored rows are first cut to the (resource, day) cells some request
-    touches, so a large history is read once and mostly dropped.
+    All resources share one pass. Stored rows are first cut to the (resource,
+    day) cells some request touches, so a large history is mostly dropped
+    before the shuffle.
     """
-    asked = asked.select(key, resource, start, end)
-    near = _near(stored.select(resource, start, end), asked, resource, start, end, longest_minutes)
-    nobody = F.lit(None).cast(asked.schema[key].dataType)
+    place = ["_kind", "_resource"]
+
+    def located(df: DataFrame, *columns: str) -> DataFrame:
+        places = F.array(*[
+            F.struct(F.lit(i).alias("_kind"), F.col(r).alias("_resource"))
+            for i, r in enumerate(resources.values())])
+        return df.select(*columns, start, end, F.explode(places).alias("_p")).select(
+            *columns, start, end, "_p.*")
 
-    def points(df: DataFrame, ts: str, rank: int, who: Column, starts: int, ends: int) -> DataFrame:
+    def points(df: DataFrame, opening: int, closing: int, who, weight: int) -> DataFrame:
         # At one instant: ends, then questions, then starts.
-        return df.select(
-            resource, F.col(ts).alias("_t"), F.lit(rank).alias("_rank"), who.alias(key),
-            F.lit(starts).alias("_starts"), F.lit(ends).alias("_ends"),
-            F.lit(ts == end).alias("_closing"))
-
-    line = (
-        points(near, start, 2, nobody, 1, 0).unionByName(points(near, end, 0, nobody, 0, 1))
-        .unionByName(points(asked, start, 1, F.col(key), 0, 0))
-        .unionByName(points(asked, end, 1, F.col(key), 0, 0))
-        .withColumn("_day", F.to_date("_t"))
-    )
-    days_before = Window.partitionBy(resource).orderBy("_day").rowsBetween(
+        def point(ts: str, rank: int, is_end: bool):
+            return F.struct(F.col(ts).alias("_t"), F.lit(rank).alias("_rank"),
+                            F.lit(is_end).alias("_end"))
+        both = F.array(point(start, opening, False), point(end, closing, True))
+        return df.select(*place, who.alias(key), F.lit(weight).alias("_w"),
+                         F.explode(both).alias("_x")).select(*place, key, "_w", "_x.*")
+
+    asked = located(asked, key)
+    near = _near(located(stored), asked, place, start, end, longest_minutes)
+    nobody = F.lit(None).cast(asked.schema[key].dataType)
+    line = points(near, 2, 0, nobody, 1).unionByName(points(asked, 1, 1, F.col(key), 0)).select(
+        *place, key, "_t", "_rank", "_end", F.to_date("_t").alias("_day"),
+        F.when(F.col("_end"), 0).otherwise(F.col("_w")).alias("_starts"),
+        F.when(F.col("_end"), F.col("_w")).otherwise(0).alias("_ends"))
+    days_before = Window.partitionBy(*place).orderBy("_day").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = (
-        line.groupBy(resource, "_day").agg(F.sum("_starts").alias("_s"), F.sum("_ends").alias("_e"))
-        .select(resource, "_day",
+        line.groupBy(*place, "_day").agg(F.sum("_starts").alias("_s"), F.sum("_ends").alias("_e"))
+        .select(*place, "_day",
                 F.coalesce(F.sum("_s").over(days_before), F.lit(0)).alias("_starts_before"),
                 F.coalesce(F.sum("_e").over(days_before), F.lit(0)).alias("_ends_before"))
     )
-    so_far = Window.partitionBy(resource, "_day").orderBy("_t", "_rank").rowsBetween(
+    so_far = Window.partitionBy(*place, "_day").orderBy("_t", "_rank").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     answered = (
         line.withColumns({"_starts": F.sum("_starts").over(so_far),
                           "_ends": F.sum("_ends").over(so_far)})
-        .where(F.col("_rank") == 1).join(offsets, [resource, "_day"])
+        .where(F.col("_rank") == 1).join(offsets, [*place, "_day"])
     )
-    started = F.when(F.col("_closing"), F.col("_starts") + F.col("_starts_before"))
-    ended = F.when(~F.col("_closing"), F.col("_ends") + F.col("_ends_before"))
-    return answered.groupBy(key).agg((F.sum(started) - F.sum(ended)).alias(out)).where(
-        F.col(out) > 0)
+    # Asked at its end: starts so far. Asked at its start: ends so far.
+    count = F.when(F.col("_end"), F.col("_starts") + F.col("_starts_before")).otherwise(
+        -F.col("_ends") - F.col("_ends_before"))
+    totals = [F.sum(F.when(F.col("_kind") == i, count).otherwise(0)).alias(out)
+              for i, out in enumerate(resources)]
+    return answered.groupBy(key).agg(*totals).where(
+        F.greatest(*[F.col(c) for c in resources], F.lit(0)) > 0)
 
 
-def overlap_counts(asked: DataFrame, stored: DataFrame, key: str, resource: str, start: str,
-                   end: str, out: str, longest_minutes: int) -> DataFrame:
+def overlap_counts(asked: DataFrame, stored: DataFrame, key: str, resources: Mapping[str, str],
+                   start: str, end: str, longest_minutes: int) -> DataFrame:
     """``asked`` plus the number of stored intervals overlapping each row."""
-    hits = overlap_hits(asked, stored, key, resource, start, end, out, longest_minutes)
-    return asked.join(hits, key, "left").withColumn(
-        out, F.coalesce(out, F.lit(0)).cast("bigint"))
+    hits = overlap_hits(asked, stored, key, resources, start, end, longest_minutes)
+    return asked.join(hits, key, "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in resources})
 
 
 def earliest_among(asked: DataFrame, others: DataFrame, key: str, resource: str, start: str,
@@ -166,11 +181,11 @@ def earliest_rival(asked: DataFrame, key: str, resource: str, start: str, end: s
     return earliest_among(asked, asked, key, resource, start, end, out, unit, longest_minutes)
 
 
-def _near(stored: DataFrame, asked: DataFrame, resource: str, start: str, end: str,
+def _near(stored: DataFrame, asked: DataFrame, place: list[str], start: str, end: str,
           longest_minutes: int) -> DataFrame:
     """Stored rows whose start day could reach into a requested day."""
     back = -(-longest_minutes // 1440)
     asked_days = F.sequence(F.date_sub(F.to_date(F.col(start)), back), F.to_date(F.col(end)))
-    cells = asked.select(resource, F.explode(asked_days).alias("_day")).distinct()
+    cells = asked.select(*place, F.explode(asked_days).alias("_day")).distinct()
     return (stored.withColumn("_day", F.to_date(F.col(start)))
-            .join(cells, [resource, "_day"], "left_semi").drop("_day"))
+            .join(cells, [*place, "_day"], "left_semi").drop("_day"))

@@ -418,16 +418,11 @@ def _spans(df: DataFrame) -> DataFrame:
 def booking_conflicts(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Requests with the number of stored sessions in the way, per therapist
     (``conflictos_terapeuta``) and per room (``conflictos_sala``)."""
-    asked = _spans(requests)
     stored = _spans(sessions.select("id_terapeuta", "id_sala", "fecha_sesion", "duracion_min"))
-    out = requests
-    for resource, name in (("id_terapeuta", "conflictos_terapeuta"),
-                           ("id_sala", "conflictos_sala")):
-        hits = overlap.overlap_hits(asked, stored, "change_id", resource, "fecha_sesion", "_end",
-                                    name, LONGEST_SESSION)
-        out = out.join(hits, "change_id", "left").withColumn(
-            name, F.coalesce(name, F.lit(0)).cast("bigint"))
-    return out
+    return overlap.overlap_counts(
+        _spans(requests), stored, "change_id",
+        {"conflictos_terapeuta": "id_terapeuta", "conflictos_sala": "id_sala"}, "fecha_sesion",
+        "_end", LONGEST_SESSION).drop("_end")
 
 
 def _free_slots(pdf: pd.DataFrame) -> list:
@@ -469,13 +464,10 @@ def book_sessions(t: Tables, requests: DataFrame, as_of, small: int = SMALL) ->
         return first[0].unionByName(first[1]).groupBy("change_id").agg(
             F.min("rival").alias("rival"))
 
-    def hits(pending: DataFrame, taken: DataFrame, resource: str) -> DataFrame:
-        return overlap.overlap_hits(pending, taken, "change_id", resource, *window, "_n",
-                                    LONGEST_SESSION).select("change_id")
-
     def blocked(pending: DataFrame, taken: DataFrame) -> DataFrame:
-        return hits(pending, taken, "id_terapeuta").unionByName(
-            hits(pending, taken, "id_sala")).distinct()
+        return overlap.overlap_hits(pending, taken, "change_id",
+                                    {"_t": "id_terapeuta", "_s": "id_sala"}, *window,
+                                    LONGEST_SESSION).select("change_id")
 
     accepted_ids = accept_in_order(live, "change_id", earliest, blocked, _free_slots, small)
     accepted = live.join(accepted_ids, "change_id", "left_semi")

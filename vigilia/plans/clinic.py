@@ -2,7 +2,8 @@
 
 Facts are aggregated per key before they meet a dimension, so what is shuffled
 for a join is one row per key and a key with a large share of the facts is
-reduced map-side first.
+reduced map-side first. Keys are never NULL, so counting rows counts keys
+without reading the key column.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def mood_trend(t: Tables, ordered: bool = True) -> DataFrame:
     s = t["sesion_psicologica"].where(
         F.col("estado_emoc_inicio").isNotNull() & F.col("estado_emoc_fin").isNotNull())
     monthly = s.groupBy("id_paciente", clock.month_start(F.col("fecha_sesion")).alias("_m")).agg(
-        F.count("id_sesion").alias("total_sesiones"),
+        F.count(F.lit(1)).alias("total_sesiones"),
         v.mean(F.col("estado_emoc_inicio"), 2).alias("promedio_emoc_inicio"),
         v.mean(F.col("estado_emoc_fin"), 2).alias("promedio_emoc_fin"),
         v.mean(F.col("estado_emoc_fin") - F.col("estado_emoc_inicio"), 2).alias("mejora_promedio"),
@@ -85,7 +86,7 @@ def unattended_severe_alerts(t: Tables, as_of, ordered: bool = True) -> DataFram
         (F.col("nivel_severidad") == "Grave") & (F.col("estado_alerta") == OPEN)
         & F.col("id_prof_atiende").isNull())
     per_patient = waiting.groupBy("id_paciente").agg(
-        F.count("id_alerta").alias("alertas_graves_sin_atender"),
+        F.count(F.lit(1)).alias("alertas_graves_sin_atender"),
         F.min("fecha_generacion").alias("alerta_mas_antigua"),
         F.max("fecha_generacion").alias("alerta_mas_reciente"),
     ).where(F.col("alertas_graves_sin_atender") > 0)
@@ -101,7 +102,7 @@ def unattended_severe_alerts(t: Tables, as_of, ordered: bool = True) -> DataFram
 def visit_regularity(t: Tables, as_of, ordered: bool = True) -> DataFrame:
     """Q4: sessions per patient, mean days between them, days since the last."""
     per_patient = t["sesion_psicologica"].groupBy("id_paciente").agg(
-        F.count("id_sesion").alias("_n"),
+        F.count(F.lit(1)).alias("_n"),
         F.min("fecha_sesion").alias("primera_sesion"),
         F.max("fecha_sesion").alias("ultima_sesion"))
     out = _patients(t, "diagnostico_principal").join(per_patient, "id_paciente", "left").select(
@@ -121,12 +122,12 @@ def workload(t: Tables, ordered: bool = True, dedup: bool = False) -> DataFrame:
     plain sum. Either way the facts are aggregated separately.
     """
     sessions = t["sesion_psicologica"].groupBy("id_profesional").agg(
-        F.count("id_sesion").alias("_sessions"),
+        F.count(F.lit(1)).alias("_sessions"),
         F.count_distinct("id_paciente").alias("_patients"),
         F.sum("duracion_min").alias("_minutes"),
         v.mean(F.col("duracion_min"), 1).alias("duracion_promedio_min"))
     scales = t["aplicacion_escala"].groupBy("id_profesional").agg(
-        F.count("id_aplicacion").alias("_scales"))
+        F.count(F.lit(1)).alias("_scales"))
     copies = F.lit(1) if dedup else F.greatest(v.zero(F.col("_scales")), F.lit(1))
     staff = t["profesional"].where(F.col("activo")).join(t["rol"], "id_rol").select(
         "id_profesional", v.full_name(F.col("nombre"), F.col("apellidos")).alias("profesional"),
@@ -151,7 +152,7 @@ def alert_resolution(t: Tables, ordered: bool = True) -> DataFrame:
         F.col("fecha_generacion"), F.col("fecha_resolucion")))
     per_staff = a.where(F.col("id_prof_atiende").isNotNull()).groupBy(
         F.col("id_prof_atiende").alias("id_profesional")).agg(
-        F.count("id_alerta").alias("alertas_atendidas"),
+        F.count(F.lit(1)).alias("alertas_atendidas"),
         v.sum_if(state == CLOSED).alias("cerradas"),
         v.sum_if(state == REVIEWED).alias("revisadas"),
         v.sum_if(state == OPEN).alias("aun_activas"),
@@ -283,14 +284,14 @@ def monthly_kpis(t: Tables, ordered: bool = True, dedup: bool = False) -> DataFr
     that had sessions. Minutes repeat a session per assessment made in it
     (``dedup`` for the plain sum)."""
     scales = t["aplicacion_escala"].where(F.col("id_sesion").isNotNull()).groupBy(
-        "id_sesion").agg(F.count("id_aplicacion").alias("_scales"))
+        "id_sesion").agg(F.count(F.lit(1)).alias("_scales"))
     copies = F.lit(1) if dedup else F.greatest(v.zero(F.col("_scales")), F.lit(1))
     month = clock.month_start
     sessions = (
         t["sesion_psicologica"].select("id_sesion", "fecha_sesion", "duracion_min")
         .join(scales, "id_sesion", "left")
         .groupBy(month(F.col("fecha_sesion")).alias("_m")).agg(
-            F.count("id_sesion").alias("total_sesiones"),
+            F.count(F.lit(1)).alias("total_sesiones"),
             F.sum(F.col("duracion_min") * copies).alias("minutos_atencion"),
             v.zero(F.sum("_scales")).alias("escalas_aplicadas"))
     )
@@ -313,7 +314,7 @@ def scale_distribution(t: Tables, ordered: bool = True) -> DataFrame:
     """Q14: use of each scale and how its results spread over the risk levels."""
     risk = F.col("nivel_riesgo")
     used = t["aplicacion_escala"].groupBy("id_escala").agg(
-        F.count("id_aplicacion").alias("_n"),
+        F.count(F.lit(1)).alias("_n"),
         v.mean(F.col("puntaje_total"), 2).alias("puntaje_promedio"),
         *[v.count_if(risk == level).alias(level.lower()) for level in LEVELS])
     out = t["escala_clinica"].join(used, "id_escala", "left").select(
