@@ -94,8 +94,15 @@ def week_start(as_of) -> Column:
     return F.trunc(day(as_of), "week")
 
 
-def second_of_day(ts: Column) -> Column:
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+def seconds_of_day(ts: Column) -> Column:
+    """Second of the day with its fraction, exact."""
+    micros = F.pmod(epoch_micros(ts), F.lit(86_400_000_000))
+    return (micros.cast("decimal(14,0)") / F.lit(1_000_000)).cast("decimal(14,6)")
+
+
+def minute_label(minute: Column) -> Column:
+    """Minute of the day as HH:MM."""
+    return F.format_string("%02d:%02d", F.floor(minute / 60), minute % 60)
 
 
 def epoch_seconds(ts: Column) -> Column:
@@ -108,7 +115,6 @@ def epoch_micros(ts: Column) -> Column:
 
 # Text forms of dates and times (fixed values).
 CLOCK = "hh:mm a"
-CLOCK_24 = "HH:mm"
 DAY_LABEL = "dd MMM yyyy"
 DAY_CLOCK = "dd MMM yyyy hh:mm a"
 SHORT_DAY_CLOCK = "dd MMM hh:mm a"

@@ -10,7 +10,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilia.functions import clock
 
 # Row rules (fixed values): table -> {rule: condition that must not be false}.
 ROW_RULES = {

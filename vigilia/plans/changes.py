@@ -505,9 +505,7 @@ def confirm_medication(t: Tables, scans: DataFrame, as_of, wrap: bool = True) ->
     time of day. ``wrap`` lets 23:45 and 00:30 meet."""
     tags = t["nfc_tag"].select("codigo_tag", "id_tag", "id_residente")
     rows = scans.join(tags, "codigo_tag", "left")
-    micros = F.pmod(clock.epoch_micros(F.col("escaneado_en")), F.lit(86_400_000_000))
-    rows = rows.withColumn("_second", (micros.cast("decimal(14,0)") / F.lit(1_000_000)).cast(
-        "decimal(14,6)"))
+    rows = rows.withColumn("_second", clock.seconds_of_day(F.col("escaneado_en")))
     schedules = t["horario_medicamento"].where(F.col("activo")).select(
         "id_residente", "id_horario", "hora_programada")
     rows = nearest_daily(rows, schedules, "id_residente", "_second", "hora_programada",

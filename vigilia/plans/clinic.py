@@ -326,18 +326,20 @@ def scale_distribution(t: Tables, ordered: bool = True) -> DataFrame:
 
 def audit_activity(t: Tables, ordered: bool = True) -> DataFrame:
     """Q15: audit operations per user, operation and table: hours and IPs."""
-    clock_text = F.date_format("timestamp_operacion", clock.CLOCK_24)
+    # Minutes of the day order like their text and aggregate without sorting.
+    minute = F.hour("timestamp_operacion") * 60 + F.minute("timestamp_operacion")
     used = t["log_auditoria"].groupBy("id_usuario", "operacion", "tabla_afectada").agg(
         F.count(F.lit(1)).alias("total_operaciones"),
-        F.min(clock_text).alias("hora_min"), F.max(clock_text).alias("hora_max"),
+        F.min(minute).alias("_first"), F.max(minute).alias("_last"),
         F.count_distinct("ip_origen").alias("ips_distintas"),
     ).where(F.col("total_operaciones") > 0)
     staff = t["profesional"].join(t["rol"], "id_rol").select(
         F.col("id_profesional").alias("id_usuario"),
         v.full_name(F.col("nombre"), F.col("apellidos")).alias("usuario"), "nombre_rol")
     out = used.join(staff, "id_usuario").select(
-        "usuario", "nombre_rol", "operacion", "tabla_afectada", "total_operaciones", "hora_min",
-        "hora_max", "ips_distintas")
+        "usuario", "nombre_rol", "operacion", "tabla_afectada", "total_operaciones",
+        clock.minute_label(F.col("_first")).alias("hora_min"),
+        clock.minute_label(F.col("_last")).alias("hora_max"), "ips_distintas")
     return _sorted(out, ordered, F.desc("total_operaciones"), F.asc("operacion"))
 
 
