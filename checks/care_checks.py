@@ -65,8 +65,8 @@ def _bands(s, d):
     return mood.unionByName(mobility).unionByName(severity).unionByName(adherence)
 
 
-def _detections(s, d):
-    """Result counts by attribute, the badge counters of the access page."""
+def _severity_counts(s, d):
+    """The counters above the incident list; a label nobody uses counts 0."""
     return counts_by(lists.all_incidents(care(s, d), ordered=False), "severidad",
                      ["Alta", "Media", "Baja", "Ninguna"])
 
@@ -160,7 +160,7 @@ QUERIES = {
     # Result transforms and checks
     "text_search": _text_search,
     "bands": _bands,
-    "severity_counts": _detections,
+    "severity_counts": _severity_counts,
     "pending_head": lambda s, d: head_and_rest(
         views.pending_medication(care(s, d), EVENTS_NOW, ordered=False),
         [F.asc("hora_programada"), F.asc("id_horario")]),

@@ -121,20 +121,23 @@ def test_tables_round_trip(spark, tmp_path, fmt):
         write_table(t[name], str(tmp_path / name), name, fmt)
     back = load_tables(spark, str(tmp_path), CARE, names, fmt)
     for name in names:
-        columns = t[name].columns
-        assert sorted(map(str, back[name].select(*columns).collect())) == sorted(
-            map(str, t[name].collect()))
+        assert back[name].columns == t[name].columns
+        assert sorted(map(str, back[name].collect())) == sorted(map(str, t[name].collect()))
 
 
 def test_event_tables_are_laid_out_by_day(spark, tmp_path):
-    path = str(tmp_path / "checkin_estado_animo")
-    write_table(seed.tables(spark)["checkin_estado_animo"], path, "checkin_estado_animo")
-    stored = spark.read.parquet(path)
-    one = day_range(stored, "2026-03-21", "2026-03-21")
+    name = "checkin_estado_animo"
+    original = seed.tables(spark)[name]
+    write_table(original, str(tmp_path / name), name)
+
+    def load(first=None, last=None):
+        return load_tables(spark, str(tmp_path), CARE, [name], first_day=first, last_day=last)[name]
+
+    assert load().columns == original.columns and load().count() == original.count()
+    one = load("2026-03-21", "2026-03-21")
     assert one.count() == 3
-    plan = one._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(dia" in plan
-    assert day_range(seed.tables(spark)["gps_ping"], "2026-03-21").count() == 4
+    assert "PartitionFilters: [isnotnull(dia" in one._jdf.queryExecution().toString()
+    assert day_range(original, "2026-03-21").count() == original.count()
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -18,26 +18,31 @@ def load_tables(
     schemas: Mapping[str, str],
     names: Iterable[str] | None = None,
     fmt: str = "parquet",
+    first_day=None,
+    last_day=None,
 ) -> dict[str, DataFrame]:
     """Lazily open ``path/<table>`` for every declared table.
 
     The schema is always the declared one, never inferred, so opening a table
     costs no scan. ``fmt`` is any built-in file format (parquet, orc, csv,
-    json); CSV files are expected to carry a header.
+    json); CSV files are expected to carry a header. ``first_day`` and
+    ``last_day`` prune the event tables written by day: pass the span the
+    reports look at and only those directories are read.
     """
     return {
-        name: read_table(spark, os.path.join(path, name), schemas[name], fmt)
+        name: read_table(spark, os.path.join(path, name), schemas[name], fmt, first_day, last_day)
         for name in (names if names is not None else schemas)
     }
 
 
-def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"):
+def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", first_day=None,
+               last_day=None) -> DataFrame:
     reader = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("mode", "FAILFAST")
     elif fmt == "json":
         reader = reader.option("mode", "FAILFAST")
-    return reader.load(path)
+    return day_range(reader.load(path), first_day, last_day)
 
 
 def write_table(df: DataFrame, path: str, name: str | None = None, fmt: str = "parquet",
@@ -62,13 +67,16 @@ def write_table(df: DataFrame, path: str, name: str | None = None, fmt: str = "p
     writer.save(path)
 
 
-def day_range(df: DataFrame, first, last=None) -> DataFrame:
-    """Prune a day-partitioned event table to ``[first, last]``; a table
-    without the day column is returned as is."""
+def day_range(df: DataFrame, first=None, last=None) -> DataFrame:
+    """A day-partitioned event table cut to the days ``[first, last]``, without
+    the layout column; a table not laid out by day is returned as is."""
     if DAY_COLUMN not in df.columns:
         return df
-    kept = df.where(F.col(DAY_COLUMN) >= F.to_date(F.lit(str(first))))
-    return kept if last is None else kept.where(F.col(DAY_COLUMN) <= F.to_date(F.lit(str(last))))
+    if first is not None:
+        df = df.where(F.col(DAY_COLUMN) >= F.to_date(F.lit(str(first)[:10])))
+    if last is not None:
+        df = df.where(F.col(DAY_COLUMN) <= F.to_date(F.lit(str(last)[:10])))
+    return df.drop(DAY_COLUMN)
 
 
 def read_feed(

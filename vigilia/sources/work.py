@@ -16,10 +16,12 @@ def shared_folder(spark: SparkSession) -> str:
     On a cluster the setting must be present; without it only a local session
     gets a temporary folder of its own.
     """
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    context = spark.sparkContext
+    folder = (spark.conf.get(SETTING, None) or context.getConf().get(SETTING)
+              or context.getCheckpointDir())
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"{SETTING} must name a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="vigilia-")
     spark.conf.set(SETTING, folder)
