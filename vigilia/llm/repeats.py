@@ -219,7 +219,7 @@ def _windows(width: int):
                 h, first = _hashed(batch)
                 asked = batch.column("asked").to_pylist()
                 spans = arrays.Spans(h)
-                ids, version = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
+                ids, version = (batch.column(c).fill_null(0).to_numpy() for c in ("doc_id", "version"))
                 rows = np.array([(i, a["name"], a["start"], a["windows"]) for i, some in enumerate(asked) for a in some or ()],
                                 dtype=np.int64).reshape(-1, 4)
                 text, name, start, count = (np.repeat(c, rows[:, 3]) for c in rows.T)

@@ -84,6 +84,8 @@ def added_spans(text: str) -> list[tuple[int, int]]:
         own: list[tuple[int, int]] = []
         for part in _PART.finditer(text, m.start("value"), m.end("value")):
             start, end = part.span()
+            if part.group() == "+":
+                continue  # joins two parts
             if part.group("quoted"):
                 own.append((start + 1, end - 1))
             elif part.group() in literals:
