@@ -383,3 +383,29 @@ def test_differencing_spreads_evenly_and_windows_hold():
         assert sum(n for w in cut for _, _, n in w) == sum(lengths)
     sums = [sum(w) for w in ([[8, 7], [6, 5, 4]],) for w in w]
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in packing.differencing([8, 7, 6, 5, 4], 2)) in ([14, 16], [15, 15]), sums
+
+
+def test_a_cluster_of_similar_but_unlinked_texts(spark, monkeypatch):
+    """Most pairs lie below the threshold, some above, over several blocks."""
+    monkeypatch.setattr(neardup, "_BLOCK", 16)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in r.sample(range(150), 3 if i % 3 else 9):
+            words[k] = f"v{i}.{k}"
+        if i % 10 == 7:
+            words = rows[-1][1].split() + [f"end{i}"]
+        rows.append((i, " ".join(words)))
+    want = {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
+    assert 2 < len(set(want.values())) < 90
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_intersections_are_exact():
+    rng = np.random.default_rng(3)
+    sets = tuple(np.unique(rng.integers(0, 900, n).astype("u8")) for n in (5, 300, 0, 700, 40))
+    got = neardup._intersections(sets, np.array([0, 1, 2]), np.array([3, 4]), width=64)  # a set never meets itself
+    assert got.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in (3, 4)] for i in (0, 1, 2)]

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vigilia.llm import arrays
 from vigilia.llm.arrays import U
@@ -31,7 +31,9 @@ _ZERO = 2000
 #: A pair is dismissed if its best likelihood exceeds that of the threshold by this much (5 standard deviations).
 DISMISS = 12.5
 #: Members compared with one leader in one task.
-_GROUP = 2048
+_GROUP = 256
+#: Classes of one block of a cluster.
+_BLOCK = 256
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,9 +208,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     is kept). Repeated rows are one document and are reported each.
 
     Equal sets fold into one class first, so copies cost nothing further. In each
-    band bucket every member meets the bucket's smallest id; pairs of a bucket
-    whose members are then still in different components are compared one with
-    another, with no cap. Members of one component need no more comparing.
+    band bucket every member meets the bucket's smallest id; where members of a
+    bucket are then still in different components, all of them are compared in
+    blocks, with no cap. Members of one component need no more comparing.
     """
     least = percent / 100
     base = docs.select("doc_id", "text")
@@ -229,10 +231,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = stored(base.join(shared.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
     links = stored(_links(stars, texts, size, percent), "links")
     found = components(links)
-    rest = _apart(shared, found, classes, least)
-    if not rest.isEmpty():
-        more = stored(_links(rest.join(stars, ["a", "b"], "left_anti"), texts, size, percent), "links")
-        found = components(links.unionByName(more))
+    open_ = _open(shared, found)
+    if not open_.isEmpty():
+        found = components(links.unionByName(_links_across(open_, classes, texts, size, percent)))
     members = classes.select("doc_id", "n_shingles", "s1", "s2").join(
         found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "n_shingles", "s1", "s2", F.coalesce("component", "doc_id").alias("component_id"))
@@ -243,18 +244,105 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                          F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _apart(shared: DataFrame, found: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Plausible pairs of one bucket whose members are in different components."""
+def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, doc_id, component) of the buckets whose members are in several components."""
     placed = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    open_ = placed.join(mixed.select("bucket"), "bucket").join(classes.select("doc_id", "n_shingles"), "doc_id")
-    one = open_.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    two = open_.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    pairs = one.join(two, "bucket").where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))).select("a", "b").distinct()
-    return stored(_screened(pairs, classes, least), "pairs")
+    return stored(placed.join(mixed.select("bucket"), "bucket"), "open")
+
+
+def _links_across(open_: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the components that meet in a bucket, enough of them to join
+    whatever is linked.
+
+    Classes that meet in buckets, directly or by others, are a cluster. A cluster is
+    ordered by set size and cut into blocks; two blocks whose sizes can still reach
+    the threshold meet in one task, which counts all their intersections exactly.
+    Rows are repeated for blocks, never for pairs of rows.
+    """
+    heads = open_.groupBy("bucket").agg(F.min("doc_id").alias("a"))
+    clusters = components(open_.join(heads, "bucket").select("a", F.col("doc_id").alias("b")))
+    members = (open_.select("doc_id", "component").distinct()
+               .join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+               .join(classes.select("doc_id", "n_shingles"), "doc_id"))
+    order = Window.partitionBy("cluster").orderBy("n_shingles", "doc_id")
+    members = stored(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / _BLOCK)), "clusters")
+    blocks = members.groupBy("cluster", "block").agg(
+        F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"),
+        F.min("component").alias("c0"), F.max("component").alias("c1"))
+    other = blocks.select("cluster", *(F.col(c).alias(f"{c}_") for c in ("block", "low", "high", "c0", "c1")))
+    meet = (blocks.join(other, "cluster").where("block <= block_")
+            .where(100 * F.col("high") >= percent * F.col("low_"))
+            .where("not (c0 = c1 and c0_ = c1_ and c0 = c0_)").select("cluster", "block", "block_"))
+    sides = meet.select("cluster", F.col("block").alias("one"), F.col("block_").alias("two"),
+                        F.explode(F.array_distinct(F.array("block", "block_"))).alias("block"))
+    rows = members.join(texts, "doc_id").join(sides, ["cluster", "block"]).select(
+        "cluster", "one", "two", F.col("block").alias("own"), "doc_id", "component", "text")
+    return stored(rows.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "own", "doc_id")
+                  .mapInArrow(_compare(size, percent), "a bigint, b bigint"), "links")
+
+
+def _compare(size: int, percent: int):
+    """Rows sorted by pair of blocks, one block after the other."""
+    def forest(rows) -> list[tuple[int, int]]:
+        ids, component, own, sets = zip(*rows)
+        top = {c: c for c in component}
+
+        def find(c):
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        sizes = np.array([len(s) for s in sets])
+        left = np.flatnonzero(np.array(own) == min(own))
+        right = np.flatnonzero(np.array(own) == max(own))
+        both = _intersections(sets, left, right)
+        linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        out = []
+        for i, j in zip(*np.nonzero(linked)):
+            a, b = left[i], right[j]
+            x, y = find(component[a]), find(component[b])
+            if x != y:
+                top[y] = x
+                out.append((ids[a], ids[b]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+        for whole in batches:
+            for batch in arrays.slices(whole):
+                hashes, first = shingle_sets(batch.column("text"), size)
+                columns = [batch.column(c).to_pylist() for c in ("cluster", "one", "two", "doc_id", "component", "own")]
+                for i, (*at, doc, component, own) in enumerate(zip(*columns)):
+                    if at != key:
+                        out += forest(rows) if rows else []
+                        key, rows = at, []
+                    rows.append((doc, component, own, hashes[first[i]:first[i + 1]].copy()))
+        out += forest(rows) if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return run
+
+
+def _intersections(sets: tuple[np.ndarray, ...], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all left sets with all right ones, exactly:
+    products of 0-1 matrices, ``width`` shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1
+    number = np.cumsum(often) - 1
+    keep = often[shingle]
+    owner, shingle = owner[keep], number[shingle[keep]]
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle = owner[order], shingle[order]
+    total = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(shingle, (start, start + width))
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[a:b], shingle[a:b] - start] = 1
+        total += held[left] @ held[right].T
+    return np.rint(total).astype(np.int64)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
