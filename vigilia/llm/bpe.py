@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from vigilia.llm.arrays import U
 from vigilia.llm.memory import Remembered
 
 #: Chunks a worker remembers; words as well.
-_REMEMBER = 1_000_000
+_REMEMBER = 250_000
 _START = -1
 _MARK = "</w>"
 
@@ -196,9 +197,24 @@ class Automaton:
         return out
 
     def decode(self, ids: bytes) -> str:
-        """The labels of the arcs taken, joined as the vocabulary's decoder does."""
-        labels = self.labels
-        return " ".join([labels[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return spelled(self.labels, ids)
+
+
+def spelled(labels: list[str], ids: bytes) -> str:
+    """The labels of the arcs taken, joined as the vocabulary's decoder does."""
+    return " ".join([labels[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
+@lru_cache(maxsize=2)
+def arc_labels(path: str) -> list[str]:
+    """The arc label of every id: all that decoding needs of the automaton."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    known = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    labels = [""] * (max(known.values()) + 1)
+    for text, i in known.items():
+        labels[i] = text
+    return labels
 
 
 class WordBPE:
@@ -300,11 +316,11 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids, decoded) from (doc_id, ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = word_bpe(tokenizer_path).automaton
+        labels = arc_labels(tokenizer_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts = [automaton.decode(i) for i in batch.column("ids").to_pylist()]
+                texts = [spelled(labels, i) for i in batch.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                                  ["doc_id", "ids", "decoded"])
 
