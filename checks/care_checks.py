@@ -204,7 +204,7 @@ SELECT r.id_residente, {_who('r', 'residente')}, r.habitacion, g.latitud, g.long
        g.latitud >= b.lat_min AND g.latitud <= b.lat_max AND g.longitud >= b.lon_min
            AND g.longitud <= b.lon_max AS dentro_limite,
        {micros('g.registrado_en', NOW)} / 60000000.0 AS minutos_desde_ping
-FROM residente r JOIN ping g USING (id_residente) CROSS JOIN limite_jardin b WHERE r.activo""")
+FROM residente r JOIN ping g USING (id_residente) CROSS JOIN (SELECT * FROM limite_jardin ORDER BY id_limite LIMIT 1) b WHERE r.activo""")
 ACCESS = """
 SELECT a.id_acceso, {who}, s.especialidad, l.ubicacion, w.nombre AS ala{more},
        strftime(a.accedido_en, '%I:%M %p') AS hora
@@ -471,7 +471,7 @@ SELECT s.id_staff, s.nombre, s.apellidos, r.nombre_rol
 FROM staff s JOIN rol r USING (id_rol) WHERE s.activo"""),
     "dim_rooms": _of("sala ala", """
 SELECT o.*, w.nombre AS ala FROM sala o LEFT JOIN ala w ON w.id_ala = o.id_ala"""),
-    "dim_garden_limit": _of("limite_jardin", "SELECT * FROM limite_jardin LIMIT 1"),
+    "dim_garden_limit": _of("limite_jardin", "SELECT * FROM limite_jardin ORDER BY id_limite LIMIT 1"),
     "low_mood_incidents": _of("checkin_estado_animo", """
 SELECT id_residente, id_cuidador AS id_staff, fecha_registro AS fecha, 'Agitacion' AS tipo,
        format('Alerta automática: puntaje de ánimo bajo ({}/5) registrado por cuidador.', puntaje)
@@ -484,7 +484,7 @@ SELECT g.id_residente, COALESCE(carer.id_staff, 1) AS id_staff, g.registrado_en
        'Deambulacion' AS tipo,
        'Alerta GPS: residente detectado fuera del perímetro del jardín. Coords: ('
            || g.latitud || ', ' || g.longitud || ').' AS descripcion, 'Alta' AS severidad
-FROM gps_ping g CROSS JOIN limite_jardin b LEFT JOIN carer USING (id_residente)
+FROM gps_ping g CROSS JOIN (SELECT * FROM limite_jardin ORDER BY id_limite LIMIT 1) b LEFT JOIN carer USING (id_residente)
 WHERE g.latitud < b.lat_min OR g.latitud > b.lat_max OR g.longitud < b.lon_min
    OR g.longitud > b.lon_max"""),
     "restricted_audit": _of("acceso_rfid lector_rfid usuario_sistema", """

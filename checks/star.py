@@ -130,9 +130,9 @@ CARE = {
     "sala": dict(source="supplier", columns=dict(
         id_sala="s_suppkey + 1", nombre="CONCAT('Sala ', CAST(s_suppkey AS STRING))",
         id_ala="CAST(s_nationkey + 1 AS BIGINT)", capacidad="CAST(1 + s_suppkey % 8 AS INT)")),
-    "limite_jardin": dict(source="region", where="r_regionkey = 0", columns=dict(
+    "limite_jardin": dict(source="region", columns=dict(
         id_limite="CAST(r_regionkey + 1 AS BIGINT)", descripcion="r_name",
-        lat_min="CAST(20 AS DECIMAL(10, 7))", lat_max="CAST(20.1 AS DECIMAL(10, 7))",
+        lat_min="CAST(20 + r_regionkey AS DECIMAL(10, 7))", lat_max="CAST(20.1 + r_regionkey AS DECIMAL(10, 7))",
         lon_min="CAST(-103.08 AS DECIMAL(10, 7))", lon_max="CAST(-103.02 AS DECIMAL(10, 7))")),
     "medicamento": dict(source="part", columns=dict(
         id_medicamento="p_partkey + 1", nombre="p_name", descripcion="p_type", unidad="'mg'")),

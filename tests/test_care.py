@@ -87,8 +87,14 @@ def test_views(t):
 
 
 def test_two_limits_and_missing_rows(spark, t):
-    twice = {**t, "limite_jardin": t["limite_jardin"].unionByName(t["limite_jardin"])}
-    assert views.gps_status(twice, AS_OF).count() == 2
+    everywhere = t["limite_jardin"].withColumns({
+        "id_limite": F.col("id_limite") + 1, "lat_min": F.lit(-90).cast("decimal(10,7)"),
+        "lat_max": F.lit(90).cast("decimal(10,7)"), "lon_min": F.lit(-180).cast("decimal(10,7)"),
+        "lon_max": F.lit(180).cast("decimal(10,7)")})
+    twice = {**t, "limite_jardin": everywhere.unionByName(t["limite_jardin"])}
+    assert rows(views.gps_status(twice, AS_OF), "dentro_limite") == [(False,)]
+    none = {**t, "limite_jardin": t["limite_jardin"].where("FALSE")}
+    assert views.gps_status(none, AS_OF).count() == 0
     unseen = {**t, "deteccion_beacon": t["deteccion_beacon"].where("id_staff <> 4")}
     located = {r.id_staff: r.ala_detectada for r in views.staff_location(unseen, AS_OF).collect()}
     assert located[4] is None and len(located) == 5

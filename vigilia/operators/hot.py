@@ -15,7 +15,7 @@ MOST = 1_000_000
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = LIMIT) -> DataFrame | None:
     """Keys holding more than ``limit`` rows and more than a millionth of the
     table, or None. There are never more than a million of them, however large
-    the table is: the bound that lets `without` and `only` broadcast them.
+    the table is; whether they are broadcast is left to their measured size.
 
     This counts rows per key right away, one narrow aggregation, because the
     plan for a table without hot keys is much simpler.
@@ -29,9 +29,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = LIMIT) -> DataFram
 
 def without(df: DataFrame, hot: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """Rows of the ordinary keys, filtered before any shuffle."""
-    return df if hot is None else df.join(F.broadcast(hot), list(keys), "left_anti")
+    return df if hot is None else df.join(hot, list(keys), "left_anti")
 
 
 def only(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the hot keys."""
-    return df.join(F.broadcast(hot), list(keys), "left_semi")
+    return df.join(hot, list(keys), "left_semi")

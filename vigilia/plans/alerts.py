@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigilia.functions import clock, values as v
 from vigilia.operators.sequence import asof_join
 from vigilia.operators.suppress import suppress
-from vigilia.plans.views import Tables, open_assignments
+from vigilia.plans.views import Tables, first_garden_box, open_assignments
 from vigilia.sources.work import materialise
 
 FALLBACK_STAFF = 1
@@ -40,16 +40,10 @@ def first_main_carer(t: Tables) -> DataFrame:
         F.min_by("id_staff", "id_asignacion").alias("id_staff"))
 
 
-def first_garden_box(t: Tables) -> Column:
-    """The first limit, as an array of one that is NULL without any limit."""
-    return t["limite_jardin"].agg(F.array(F.min_by(
-        F.struct("lat_min", "lat_max", "lon_min", "lon_max"), "id_limite")).alias("box")).scalar()
-
-
 def geofence_incidents(pings: DataFrame, t: Tables, raised_at=None) -> DataFrame:
     """Every ping outside the garden raises a wandering incident for the
     main caregiver, or staff 1 without one. No garden limit, no incident."""
-    outside = pings.withColumn("_box", F.explode(first_garden_box(t))).where(
+    outside = pings.withColumn("_box", first_garden_box(t)).where(
         ~v.inside_box(F.col("latitud"), F.col("longitud"), F.col("_box")))
     return outside.join(first_main_carer(t), "id_residente", "left").select(
         "id_residente", F.coalesce("id_staff", F.lit(FALLBACK_STAFF)).alias("id_staff"),

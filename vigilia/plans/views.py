@@ -168,20 +168,15 @@ def staff_location(t: Tables, as_of, ordered: bool = True) -> DataFrame:
                       "minutos_desde_deteccion")
 
 
-def garden_boxes(t: Tables) -> Column:
-    """The garden limits as one array scalar. The table is a configuration of a
-    row or a few; more than a thousand stops the query instead of being
-    shipped to every task."""
-    box = F.struct("lat_min", "lat_max", "lon_min", "lon_max")
-    boxes = t["limite_jardin"].agg(
-        F.when(F.count(F.lit(1)) > 1000, F.raise_error(F.lit("limite_jardin is not a configuration table")))
-        .otherwise(F.collect_list(box)).alias("boxes"))
-    return boxes.scalar()
+def first_garden_box(t: Tables) -> Column:
+    """The limit of the lowest id, as a scalar that is NULL without any limit."""
+    return t["limite_jardin"].agg(F.min_by(
+        F.struct("lat_min", "lat_max", "lon_min", "lon_max"), "id_limite").alias("box")).scalar()
 
 
 def gps_status(t: Tables, as_of, ordered: bool = True) -> DataFrame:
     """VW8 and R1: latest ping of each active resident, inside the garden or
-    not. Residents without a ping are absent; each limit row gives a row."""
+    not. Residents without a ping are absent; without a limit, all are."""
     pings = latest_per_key(
         t["gps_ping"].select("id_residente", "id_ping", "latitud", "longitud", "registrado_en"),
         ["id_residente"], "registrado_en", "id_ping")
@@ -189,7 +184,7 @@ def gps_status(t: Tables, as_of, ordered: bool = True) -> DataFrame:
         F.col("activo"))
     out = (
         people.join(pings, "id_residente")
-        .withColumn("_box", F.explode(garden_boxes(t)))
+        .withColumn("_box", first_garden_box(t)).where(F.col("_box").isNotNull())
         .select("id_residente", "residente", "habitacion", "latitud", "longitud", "registrado_en",
                 v.inside_box(F.col("latitud"), F.col("longitud"), F.col("_box")).alias(
                     "dentro_limite"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +12,15 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    On a cluster the setting must be present; without it only a local session
-    gets a temporary folder of its own.
+    Without it, a subfolder of the session's warehouse, which a cluster shares
+    as well; the setting is left as it is.
     """
     context = spark.sparkContext
     folder = (spark.conf.get(SETTING, None) or context.getConf().get(SETTING)
               or context.getCheckpointDir())
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError(f"{SETTING} must name a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="vigilia-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
