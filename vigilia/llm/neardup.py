@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vigilia.llm import arrays
 from vigilia.llm.arrays import U
@@ -32,8 +32,9 @@ _ZERO = 2000
 DISMISS = 12.5
 #: Members compared with one leader in one task.
 _GROUP = 256
-#: Classes of one block of a cluster.
+#: Classes of one block of a cluster, about; set sizes of a band lie within this ratio.
 _BLOCK = 256
+_BAND = 1.05
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,17 +258,19 @@ def _links_across(open_: DataFrame, classes: DataFrame, texts: DataFrame, size:
     whatever is linked.
 
     Classes that meet in buckets, directly or by others, are a cluster. A cluster is
-    ordered by set size and cut into blocks; two blocks whose sizes can still reach
-    the threshold meet in one task, which counts all their intersections exactly.
-    Rows are repeated for blocks, never for pairs of rows.
+    cut into bands of set sizes and a band into blocks by the ids' hashes; two blocks
+    whose sizes can still reach the threshold meet in one task, which counts all their
+    intersections exactly. Rows are repeated for blocks, never for pairs of rows.
     """
     heads = open_.groupBy("bucket").agg(F.min("doc_id").alias("a"))
     clusters = components(open_.join(heads, "bucket").select("a", F.col("doc_id").alias("b")))
     members = (open_.select("doc_id", "component").distinct()
                .join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
                .join(classes.select("doc_id", "n_shingles"), "doc_id"))
-    order = Window.partitionBy("cluster").orderBy("n_shingles", "doc_id")
-    members = stored(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / _BLOCK)), "clusters")
+    members = members.withColumn("band", F.floor(F.log("n_shingles") / np.log(_BAND)))
+    many = members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / _BLOCK).alias("parts"))
+    block = F.shiftleft("band", 32) + F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    members = stored(members.join(many, ["cluster", "band"]).withColumn("block", block).drop("band", "parts"), "clusters")
     blocks = members.groupBy("cluster", "block").agg(
         F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"),
         F.min("component").alias("c0"), F.max("component").alias("c1"))

@@ -35,18 +35,16 @@ SENSITIVE = {
     "credential": 2, "credentials": 2, "auth": 2, "bearer": 2, "signature": 1, "salt": 1, "key": 1,
 }
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
-_STRING = r""""(?:[^"\\\n]|\\.){1,4096}"|'(?:[^'\\\n]|\\.){1,4096}'"""
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_STRING = r""""(?:[^"\\\n]|\\.)++"|'(?:[^'\\\n]|\\.)++'"""
 _PAIR = re.compile(
     rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{_NAME})["']?\x20*(?::=|=>|=|:)\x20*"""
-    rf"""(?P<value>(?:{_STRING}|[A-Za-z0-9+/_.=\-]{{1,4096}})(?:\x20*\+\x20*(?:{_STRING}|{_NAME}))*)""")
+    rf"""(?P<value>(?:{_STRING}|[A-Za-z0-9+/_.=\-]+)(?:\x20*\+\x20*(?:{_STRING}|{_NAME}))*)""")
 _PART = re.compile(rf"(?P<quoted>{_STRING})|(?P<bare>[A-Za-z0-9+/_.=\-]+)")
 _SENSITIVE_HINT = re.compile("|".join(sorted({k.replace("_", "_?") for k in SENSITIVE}, key=len, reverse=True)),
                              re.ASCII | re.IGNORECASE)
 _LEAST_SCORE = 4.0
 _LEAST_VALUE = 8
-#: How many references deep a constant is followed.
-_DEPTH = 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -89,9 +87,10 @@ def added_spans(text: str) -> list[tuple[int, int]]:
             if part.group("quoted"):
                 own.append((start + 1, end - 1))
             elif part.group() in literals:
-                own += literals[part.group()][:_DEPTH]  # a constant named before
+                own += literals[part.group()]  # a constant named before
             else:
                 own.append((start, end))
+        own = list(dict.fromkeys(own))  # a constant used twice is one literal
         literals[m.group("name")] = own
         weight = name_score(m.group("name"))
         if weight:

@@ -29,6 +29,8 @@ FEATURES = 4_096
 #: Texts that must hold an n-gram before it is considered.
 LEAST = 5
 _SMOOTH = 1.0
+#: Places that hashes of ids are dealt to when the sample is drawn.
+_PLACES = 1 << 30
 
 
 class Model(NamedTuple):
@@ -80,10 +82,19 @@ def _chosen(texts: list, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` ids of each class, by a hash of the id: (doc_id, toxic)."""
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    clean = labelled.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return clean.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    """At most ``most`` ids of each class, the lowest by a hash of the id: (doc_id, toxic).
+
+    Hashes are even, so about ``2 * most`` rows of a class lie below the share of
+    the hashes that would hold as many; only those are ordered.
+    """
+    clean = stored(labelled.where("doc_id is not null and toxic in (0, 1)")
+                   .groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
+    sizes = clean.groupBy("toxic").agg(F.count("*").alias("_rows"))
+    near = (clean.join(sizes, "toxic").withColumn("_at", place)
+            .where(F.col("_at") < F.lit(2.0 * most * _PLACES) / F.col("_rows")))
+    order = Window.partitionBy("toxic").orderBy("_at", "doc_id")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", "toxic")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
