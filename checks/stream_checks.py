@@ -41,7 +41,11 @@ def _daily(spark, sf_dir):
     feeds = {"GPS": (t["gps_ping"], "registrado_en"), "NFC": (t["nfc_evento"], "escaneado_en"),
              "RFID": (t["acceso_rfid"], "accedido_en"),
              "Beacon": (t["deteccion_beacon"], "detectado_en")}
-    return _appended(spark, windows.daily_feed_counts(feeds))
+    counts = windows.daily_feed_counts(feeds)
+    out, log = new_folder(spark, "stream"), new_folder(spark, "stream-log")
+    query = jobs.keep_counts(counts, out, log)
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{out}/batch={query.lastProgress.batchId}")
 
 
 def _positions(spark, sf_dir):
@@ -73,7 +77,6 @@ ORACLES = {
     "stream_low_mood": care_checks.ORACLES["low_mood_incidents"],
     "stream_geofence": care_checks.ORACLES["geofence_alerts"],
     "stream_restricted_audit": care_checks.ORACLES["restricted_audit"],
-    # Only days the watermark (one hour behind the newest event) has closed.
     "stream_daily_counts": with_tables(CARE, "gps_ping nfc_evento acceso_rfid deteccion_beacon", """
 , e AS (SELECT 'GPS' AS f, registrado_en AS moment FROM gps_ping
         UNION ALL SELECT 'NFC', escaneado_en FROM nfc_evento
@@ -81,9 +84,7 @@ ORACLES = {
         UNION ALL SELECT 'Beacon', detectado_en FROM deteccion_beacon)
 SELECT date_trunc('day', moment) AS desde, date_trunc('day', moment) + INTERVAL '1' DAY AS hasta,
        f AS tipo_evento, COUNT(*) AS total
-FROM e WHERE date_trunc('day', moment) + INTERVAL '1' DAY
-             <= (SELECT MAX(moment) FROM e) - INTERVAL '1' HOUR
-GROUP BY ALL"""),
+FROM e WHERE moment IS NOT NULL GROUP BY ALL"""),
     "stream_positions": with_tables(CARE, "gps_ping", care_checks.PING + " SELECT * FROM ping"),
     "stream_zone_exits": with_tables(CLINIC, "evento_gps", clinic_checks.FIRED.format(
         key="id_paciente", fkey="f.id_paciente", ts="timestamp_evento",

@@ -120,7 +120,7 @@ def test_overlap_counts(spark, seconds, unit):
     a, b = spark.createDataFrame(asked, schema), spark.createDataFrame(stored, schema)
     assert overlap.time_unit(a.unionByName(b), "s", "e") == unit
     got = {r.id: r.n for r in overlap.overlap_counts(
-        a, b, "id", {"n": "res"}, "s", "e", 480).collect()}
+        a, b, "id", {"n": "res"}, "s", "e").collect()}
     assert got == {i: sum(r == r2 and s2 < e and e2 > s for _, r2, s2, e2 in stored)
                    for i, r, s, e in asked}
     first = {r.id: r.n for r in overlap.earliest_among(
@@ -137,8 +137,8 @@ def test_first_come_rounds(spark):
         return overlap.earliest_rival(pending, "id", "res", "s", "e", "rival", 60_000_000, 480)
 
     def blocked(pending, taken):
-        return overlap.overlap_counts(pending, taken, "id", {"n": "res"}, "s", "e",
-                                      480).where("n > 0").select("id")
+        return overlap.overlap_counts(pending, taken, "id", {"n": "res"}, "s", "e").where(
+            "n > 0").select("id")
 
     got = {r.id for r in accept_in_order(df, "id", earliest, blocked, list, small=0).collect()}
     want = []
@@ -190,9 +190,20 @@ def test_suppress_boundaries(spark):
 
 
 def test_dense_ids(spark):
-    df = spark.createDataFrame([(i * 7,) for i in range(50)], "c long")
-    got = {r.c: r.n for r in dense_ids(df, "c", "n", F.lit(100), block=25).collect()}
-    assert got == {i * 7: 101 + i for i in range(50)}
+    orders = [i * 7 for i in range(50)] + [10**15 * i for i in range(1, 50)]
+    df = spark.createDataFrame([(c,) for c in orders], "c long")
+    got = {r.c: r.n for r in dense_ids(df, "c", "n", F.lit(100)).collect()}
+    assert got == {c: 101 + i for i, c in enumerate(orders)}
+
+
+def test_long_and_backward_intervals(spark):
+    schema = "id long, res long, s timestamp_ntz, e timestamp_ntz"
+    day = dt.timedelta(days=1)
+    stored = spark.createDataFrame([(1, 1, T0, T0 + 40 * day), (2, 1, T0 + 9 * day, T0 + 8 * day)], schema)
+    asked = spark.createDataFrame([(7, 1, T0 + 30 * day, T0 + 31 * day), (8, 1, T0 + 9 * day, T0 + 5 * day),
+                                   (9, 2, T0, T0 + day)], schema)
+    got = {r.id: r.n for r in overlap.overlap_counts(asked, stored, "id", {"n": "res"}, "s", "e").collect()}
+    assert got == {7: 1, 8: 0, 9: 0}
 
 
 def test_shares_pivot_counts(spark):

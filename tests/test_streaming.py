@@ -85,15 +85,17 @@ def test_latest_position(spark, feed):
     assert {r.id_residente: r.id_ping for r in last.collect()} == {1: 2, 2: 5}
 
 
-def test_daily_counts_leave_out_late_rows(spark, feed):
+def test_daily_counts_hold_late_rows_and_the_open_day(spark, feed):
     feed.add((1, 1, 1), (2, 1, 2))
-    feed.add((3, 1, 30))  # closes the first day
-    feed.add((6, 1, 31))  # lateness is judged by the watermark one batch back
-    feed.add((4, 1, 3), (5, 1, 60))  # 4 is too late
+    feed.add((3, 1, 30))
+    feed.add((6, 1, 31))
+    feed.add((4, 1, 3), (5, 1, 60))  # 4 comes late, 5 opens a day
     counts = windows.daily_feed_counts({"GPS": (feed.stream(), "registrado_en")})
-    jobs.append_to(counts, feed.out, feed.log).awaitTermination()
-    got = {r.desde: r.total for r in spark.read.parquet(feed.out).collect()}
-    assert got == {T0: 2, T0 + dt.timedelta(days=1): 2}
+    query = jobs.keep_counts(counts, feed.out, feed.log)
+    query.awaitTermination()
+    last = spark.read.parquet(f"{feed.out}/batch={query.lastProgress.batchId}")
+    got = {r.desde: r.total for r in last.collect()}
+    assert got == {T0: 3, T0 + dt.timedelta(days=1): 2, T0 + dt.timedelta(days=2): 1}
 
 
 def test_rolling_counts(spark, feed):

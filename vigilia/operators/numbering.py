@@ -4,27 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 1_000_000
+from vigilia.sources.work import materialise
 
-
-def dense_ids(df: DataFrame, order: str, out: str, after: Column, block: int = BLOCK) -> DataFrame:
+def dense_ids(df: DataFrame, order: str, out: str, after: Column) -> DataFrame:
     """Consecutive ids ``after + 1, after + 2, ...`` in ``order``, a unique
     integer column.
 
-    Rows are numbered inside blocks of ``block`` consecutive order values and
-    each block is offset by the rows before it, so no task sorts the batch.
+    Rows are dealt into ranges of ``order`` of about equal size, as many as
+    there are shuffle partitions, however its values are spread. The dealt rows
+    are kept, so that counting and numbering see the same ranges; each range is
+    offset by the rows before it, a sum over one row a range.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    before = (Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
     return (
-        blocked.withColumn("_inside", inside).join(offsets, "_block")
+        dealt.withColumn("_inside", inside).join(offsets, "_range")
         .withColumn(out, (after + F.col("_offset") + F.col("_inside")).cast("bigint"))
-        .drop("_block", "_inside", "_offset")
+        .drop("_range", "_inside", "_offset")
     )
 
 

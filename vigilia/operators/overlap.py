@@ -98,14 +98,14 @@ def _probe(asked: DataFrame, stored: DataFrame, key: str, resource: str, levels:
 
 
 def overlap_hits(asked: DataFrame, stored: DataFrame, key: str, resources: Mapping[str, str],
-                 start: str, end: str, longest_minutes: int) -> DataFrame:
+                 start: str, end: str) -> DataFrame:
     """(key, one column per entry): how many ``stored`` intervals overlap each
     asked row on each resource; ``resources`` maps the result column to the
     resource column. Rows in nobody's way are absent.
 
-    All resources share one pass. Stored rows are first cut to the (resource,
-    day) cells some request touches, so a large history is mostly dropped
-    before the shuffle.
+    All resources share one pass. Stored rows are first cut to the time some
+    request of their resource touches, so a large history is mostly dropped
+    before the shuffle. Rows that end before they start overlap nothing.
     """
     place = ["_kind", "_resource"]
 
@@ -125,8 +125,9 @@ def overlap_hits(asked: DataFrame, stored: DataFrame, key: str, resources: Mappi
         return df.select(*place, who.alias(key), F.lit(weight).alias("_w"),
                          F.explode(both).alias("_x")).select(*place, key, "_w", "_x.*")
 
-    asked = located(asked, key)
-    near = _near(located(stored), asked, place, start, end, longest_minutes)
+    forward = F.col(start) <= F.col(end)
+    asked = located(asked.where(forward), key)
+    near = _near(located(stored.where(forward)), asked, place, start, end)
     nobody = F.lit(None).cast(asked.schema[key].dataType)
     line = points(near, 2, 0, nobody, 1).unionByName(points(asked, 1, 1, F.col(key), 0)).select(
         *place, key, "_t", "_rank", "_end", F.to_date("_t").alias("_day"),
@@ -157,9 +158,9 @@ def overlap_hits(asked: DataFrame, stored: DataFrame, key: str, resources: Mappi
 
 
 def overlap_counts(asked: DataFrame, stored: DataFrame, key: str, resources: Mapping[str, str],
-                   start: str, end: str, longest_minutes: int) -> DataFrame:
+                   start: str, end: str) -> DataFrame:
     """``asked`` plus the number of stored intervals overlapping each row."""
-    hits = overlap_hits(asked, stored, key, resources, start, end, longest_minutes)
+    hits = overlap_hits(asked, stored, key, resources, start, end)
     return asked.join(hits, key, "left").withColumns(
         {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in resources})
 
@@ -181,11 +182,10 @@ def earliest_rival(asked: DataFrame, key: str, resource: str, start: str, end: s
     return earliest_among(asked, asked, key, resource, start, end, out, unit, longest_minutes)
 
 
-def _near(stored: DataFrame, asked: DataFrame, place: list[str], start: str, end: str,
-          longest_minutes: int) -> DataFrame:
-    """Stored rows whose start day could reach into a requested day."""
-    back = -(-longest_minutes // 1440)
-    asked_days = F.sequence(F.date_sub(F.to_date(F.col(start)), back), F.to_date(F.col(end)))
-    cells = asked.select(*place, F.explode(asked_days).alias("_day")).distinct()
-    return (stored.withColumn("_day", F.to_date(F.col(start)))
-            .join(cells, [*place, "_day"], "left_semi").drop("_day"))
+def _near(stored: DataFrame, asked: DataFrame, place: list[str], start: str, end: str) -> DataFrame:
+    """Stored rows between the first start and the last end asked of their
+    resource, however long they are."""
+    asked = asked.groupBy(*place).agg(F.min(start).alias("_first"), F.max(end).alias("_last"))
+    return (stored.join(asked, place)
+            .where((F.col(start) < F.col("_last")) & (F.col(end) > F.col("_first")))
+            .drop("_first", "_last"))

@@ -422,7 +422,7 @@ def booking_conflicts(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     return overlap.overlap_counts(
         _spans(requests), stored, "change_id",
         {"conflictos_terapeuta": "id_terapeuta", "conflictos_sala": "id_sala"}, "fecha_sesion",
-        "_end", LONGEST_SESSION).drop("_end")
+        "_end").drop("_end")
 
 
 def _free_slots(pdf: pd.DataFrame) -> list:
@@ -466,8 +466,8 @@ def book_sessions(t: Tables, requests: DataFrame, as_of, small: int = SMALL) ->
 
     def blocked(pending: DataFrame, taken: DataFrame) -> DataFrame:
         return overlap.overlap_hits(pending, taken, "change_id",
-                                    {"_t": "id_terapeuta", "_s": "id_sala"}, *window,
-                                    LONGEST_SESSION).select("change_id")
+                                    {"_t": "id_terapeuta", "_s": "id_sala"}, *window).select(
+            "change_id")
 
     accepted_ids = accept_in_order(live, "change_id", earliest, blocked, _free_slots, small)
     accepted = live.join(accepted_ids, "change_id", "left_semi")

@@ -22,9 +22,17 @@ def _only(df: DataFrame, **ids) -> DataFrame:
     return df
 
 
-def _last(df: DataFrame, key: str, ts: str, tie: str, k: int, ordered: bool) -> DataFrame:
+def _last(df: DataFrame, key: str, ts: str, tie: str, k: int, ordered: bool,
+          **parents: DataFrame) -> DataFrame:
+    """The newest ``k`` rows per key that have all ``parents`` (a table of unique
+    keys for each column), whose columns are joined to the rows kept only."""
     newest = [F.col(ts).desc(), F.col(tie).desc()]
-    return ordered_by(top_k_per_key(df, [key], newest, k), ordered, F.asc(key), *newest)
+    for column, parent in parents.items():
+        df = df.join(parent.select(column), column, "left_semi")
+    kept = top_k_per_key(df, [key], newest, k)
+    for column, parent in parents.items():
+        kept = kept.join(parent, column)
+    return ordered_by(kept, ordered, F.asc(key), *newest)
 
 
 def _rooms(t: Tables) -> DataFrame:
@@ -56,20 +64,18 @@ def resident_assignments(t: Tables, id_residente: int | None = None,
 def resident_sessions(t: Tables, id_residente: int | None = None, k: int = 10,
                       ordered: bool = True) -> DataFrame:
     """Last ten therapy sessions per resident."""
-    s = (
-        _only(t["sesion_terapia"], id_residente=id_residente)
-        .join(named(t, "staff", "id_staff", "terapeuta", as_key="id_terapeuta"), "id_terapeuta")
-        .join(_rooms(t), "id_sala")
-    )
-    return _last(s, "id_residente", "fecha_sesion", "id_sesion", k, ordered)
+    return _last(_only(t["sesion_terapia"], id_residente=id_residente),
+                 "id_residente", "fecha_sesion", "id_sesion", k, ordered,
+                 id_terapeuta=named(t, "staff", "id_staff", "terapeuta", as_key="id_terapeuta"),
+                 id_sala=_rooms(t))
 
 
 def resident_checkins(t: Tables, id_residente: int | None = None, k: int = 10,
                       ordered: bool = True) -> DataFrame:
     """Last ten mood check-ins per resident."""
-    c = _only(t["checkin_estado_animo"], id_residente=id_residente).join(
-        named(t, "staff", "id_staff", "cuidador", as_key="id_cuidador"), "id_cuidador")
-    return _last(c, "id_residente", "fecha_registro", "id_checkin", k, ordered)
+    return _last(_only(t["checkin_estado_animo"], id_residente=id_residente),
+                 "id_residente", "fecha_registro", "id_checkin", k, ordered,
+                 id_cuidador=named(t, "staff", "id_staff", "cuidador", as_key="id_cuidador"))
 
 
 def _reported(t: Tables, id_residente: int | None = None) -> DataFrame:
@@ -80,7 +86,9 @@ def _reported(t: Tables, id_residente: int | None = None) -> DataFrame:
 def resident_recent_incidents(t: Tables, id_residente: int | None = None, k: int = 5,
                               ordered: bool = True) -> DataFrame:
     """Last five incidents per resident, date as text."""
-    out = _last(_reported(t, id_residente), "id_residente", "fecha", "id_incidente", k, ordered)
+    out = _last(_only(t["reporte_incidente"], id_residente=id_residente),
+                "id_residente", "fecha", "id_incidente", k, ordered,
+                id_staff=named(t, "staff", "id_staff", "reportado_por"))
     return out.withColumn("fecha", F.date_format("fecha", clock.DAY_CLOCK))
 
 
@@ -88,9 +96,10 @@ def audit_log(t: Tables, k: int = 200) -> DataFrame:
     """The newest audit rows with user and person."""
     users = t["usuario_sistema"].select("id_usuario", "username", "id_staff").join(
         named(t, "staff", "id_staff", "usuario_nombre"), "id_staff").drop("id_staff")
+    newest = [F.desc("timestamp_operacion"), F.desc("id_log")]
     return (
-        t["log_auditoria"].join(users, "id_usuario")
-        .orderBy(F.desc("timestamp_operacion"), F.desc("id_log")).limit(k)
+        t["log_auditoria"].join(users.select("id_usuario"), "id_usuario", "left_semi")
+        .orderBy(*newest).limit(k).join(users, "id_usuario").orderBy(*newest)
         .withColumn("fecha_hora", F.date_format("timestamp_operacion", clock.DAY_CLOCK))
     )
 
@@ -251,13 +260,11 @@ def nfc_tags(t: Tables, ordered: bool = True) -> DataFrame:
 def nfc_scans_today(t: Tables, as_of, id_staff: int | None = None, k: int = 10,
                     ordered: bool = True) -> DataFrame:
     """Last ten scans of today per staff member."""
-    scans = (
-        _only(t["nfc_evento"], id_staff=id_staff)
-        .where(clock.on_day(F.col("escaneado_en"), as_of))
-        .join(t["nfc_tag"].select("id_tag", "id_residente",
-                                  F.col("descripcion").alias("medicamento")), "id_tag")
-        .join(_residents(t), "id_residente")
-    )
-    return _last(scans, "id_staff", "escaneado_en", "id_evento", k, ordered).select(
+    scans = _only(t["nfc_evento"], id_staff=id_staff).where(
+        clock.on_day(F.col("escaneado_en"), as_of))
+    tags = t["nfc_tag"].select(
+        "id_tag", "id_residente", F.col("descripcion").alias("medicamento")).join(
+        _residents(t), "id_residente")
+    return _last(scans, "id_staff", "escaneado_en", "id_evento", k, ordered, id_tag=tags).select(
         "id_staff", "id_evento", F.date_format("escaneado_en", clock.CLOCK).alias("hora"),
         "medicamento", "residente")

@@ -143,9 +143,11 @@ def recent_incidents(t: Tables, as_of, days: int = 7, ordered: bool = True) -> D
 def located_staff(t: Tables, as_of) -> DataFrame:
     """Active staff on shift today (a row per shift) with the latest beacon
     detection; staff never detected stay with NULLs."""
-    seen = t["deteccion_beacon"].join(t["beacon"].select("id_beacon", "id_ala"), "id_beacon")
-    seen = latest_per_key(seen.select("id_staff", "id_deteccion", "detectado_en", "id_ala"),
-                          ["id_staff"], "detectado_en", "id_deteccion")
+    beacons = t["beacon"].select("id_beacon", "id_ala")
+    seen = t["deteccion_beacon"].select("id_staff", "id_deteccion", "detectado_en", "id_beacon").join(
+        beacons, "id_beacon", "left_semi")
+    seen = latest_per_key(seen, ["id_staff"], "detectado_en", "id_deteccion").join(
+        beacons, "id_beacon").drop("id_beacon")
     wings = t["ala"].select("id_ala", F.col("nombre").alias("ala_detectada"))
     people = t["staff"].where(F.col("activo")).join(
         t["rol"].select("id_rol", F.col("nombre_rol").alias("rol")), "id_rol")

@@ -59,6 +59,15 @@ def keep_latest(stream: DataFrame, key: str, ts: str, tie: str, out: str, checkp
     return each_batch(stream, merge, checkpoint, every)
 
 
+def keep_counts(counts: DataFrame, out: str, checkpoint: str,
+                every: str | None = None) -> StreamingQuery:
+    """A small table of counts as it stands. ``batch=<n>`` holds all of
+    it after batch n."""
+    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    return _start(writer.foreachBatch(
+        lambda rows, batch: rows.write.mode("overwrite").parquet(_folder(out, batch))), every)
+
+
 def fire_quietly(candidates: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet: int,
                  out: str, checkpoint: str, closed: Callable[[], DataFrame] | None = None,
                  every: str | None = None) -> StreamingQuery:

@@ -1,9 +1,10 @@
 """Event-time counts over sensor feeds.
 
-Watermarks need a zoned timestamp, so the zone-less event time is cast in and
-the window bounds are cast back; the session runs in UTC. Rows later than the
-watermark are left out of the counts here: keep the raw feed in an append sink
-and the batch report recounts them.
+Windows need a zoned timestamp, so the zone-less event time is cast in and the
+window bounds are cast back; the session runs in UTC. Daily counts keep a row
+per day and feed as state and hence count every row, however late. Sliding counts
+per key need a watermark to bound their state: rows later than it are left out,
+and the batch report over the raw feed recounts them.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 
-def _event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    return df.withColumn("_event", F.col(ts).cast("timestamp")).withWatermark("_event", delay)
+def _event_time(df: DataFrame, ts: str) -> DataFrame:
+    return df.withColumn("_event", F.col(ts).cast("timestamp"))
 
 
 def _bounds() -> list:
@@ -22,14 +23,15 @@ def _bounds() -> list:
             F.col("_window.end").cast("timestamp_ntz").alias("hasta")]
 
 
-def daily_feed_counts(feeds: Mapping[str, tuple[DataFrame, str]], delay: str = "1 hour"):
-    """Events per day and feed; ``feeds`` maps a label to (stream, time column).
-    Sum the days to get the totals of any longer period."""
+def daily_feed_counts(feeds: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Events per day and feed, open days and late rows included; ``feeds`` maps
+    a label to (stream, time column). For `jobs.keep_counts`. Sum the days to
+    get the totals of any longer period."""
     tagged = None
     for label, (df, ts) in feeds.items():
         part = df.select(F.lit(label).alias("tipo_evento"), F.col(ts).alias("_ts"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    counted = _event_time(tagged, "_ts", delay).groupBy(
+    counted = _event_time(tagged, "_ts").groupBy(
         F.window("_event", "1 day").alias("_window"), "tipo_evento").agg(
         F.count(F.lit(1)).alias("total"))
     return counted.select(*_bounds(), "tipo_evento", "total")
@@ -38,7 +40,7 @@ def daily_feed_counts(feeds: Mapping[str, tuple[DataFrame, str]], delay: str = "
 def rolling_counts(stream: DataFrame, key: str, ts: str, length: str = "48 hours",
                    slide: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Events per key over sliding windows, the live form of the 48 h summary."""
-    counted = _event_time(stream, ts, delay).groupBy(
+    counted = _event_time(stream, ts).withWatermark("_event", delay).groupBy(
         F.window("_event", length, slide).alias("_window"), key).agg(
         F.count(F.lit(1)).alias("total"))
     return counted.select(key, *_bounds(), "total")
