@@ -110,6 +110,13 @@ def test_constants_reach_sensitive_names():
     assert literal(SECRETS[13]) == [] and literal(SECRETS[9]) == []
 
 
+def test_long_names_and_literals_are_lexed_whole():
+    name, value = "a" * 90 + "_secret", "Zx9+" * 2_000
+    text = f'{name} = "{value}"\nb = "k7Qp" + "k7Qp"\npassword: b'
+    spans = secrets.added_spans(text)
+    assert [text[a:b] for a, b in spans] == [value, "k7Qp", "k7Qp"]
+
+
 def test_secrets_query(spark, folder, rows):
     got = sorted((r.doc_id or -1, r.base_sha256) for r in queries.op1_secrets(spark, folder).collect())
     want = sorted((i or -1, sha(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in brute_base(t)))) for i, t in rows)
