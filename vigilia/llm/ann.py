@@ -7,9 +7,10 @@ rehashing: a larger radius reads further along the same arrays. A vector that
 has collided often enough for its radius is verified by its true distance, and a
 query is done when it has its k nearest within the radius reached.
 
-Rows are dealt into blocks of bounded size; each block is indexed by itself and
-searched for blocks of queries, so no task holds more than one of each, and only
-k rows a query and block go on.
+Rows are dealt evenly into numbered blocks of about ``BLOCK`` rows; each block is
+indexed by itself and searched for blocks of queries, so no task holds more than
+one of each, and only k rows a query and block go on. The queries, the smaller
+side, are repeated for every block; the vectors are moved twice in all.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ PROJECTIONS = 96
 GROWTH = 1.25
 #: Standard deviations by which the threshold lies below the collisions expected at the radius.
 SLACK = 1.5
-#: Vectors of a block and queries of a block.
-BLOCK, QUERIES = 4_096, 1_024
+#: Vectors of a block, about, and queries of a block.
+BLOCK, QUERIES = 16_384, 1_024
 _SEED = 20240229
 
 
@@ -88,25 +89,27 @@ class Index:
         return [(float(distance[best[i]]), int(self.ids[best[i]])) for i in np.sort(at)[:k]]
 
 
-def _pack(size: int):
+def _pack(size: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in blocks: (block, ids, vectors) as binary columns."""
-        ids, vectors, count = [], [], 0
+        """Rows of a partition as (block, ids, vectors), binary: all in one block with
+        the partition's number, or by ``size``."""
+        ids, vectors = [], []
         from pyspark import TaskContext
-        task = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
 
         def block():
             return pa.RecordBatch.from_arrays(
-                [pa.array([task + count], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                 pa.array([np.array(vectors, np.float64).tobytes()], pa.binary())], ["block", "ids", "vectors"])
+                [pa.array([task], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()),
+                 pa.array([np.concatenate(vectors).tobytes()], pa.binary())], ["block", "ids", "vectors"])
 
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == size:
+            for start in range(0, batch.num_rows, size or max(1, batch.num_rows)):
+                part = batch.slice(start, size)
+                ids.append(part.column("vec_id").to_numpy().astype(np.int64))
+                vectors.append(part.column("embedding").flatten().to_numpy().astype(np.float64))
+                if size:
                     yield block()
-                    ids, vectors, count = [], [], count + 1
+                    ids, vectors = [], []
         if ids:
             yield block()
     return run
@@ -155,14 +158,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     A query's candidates are all rows of another id, all of them if fewer than k;
     equal distances go by the smaller id; a repeated row counts once.
     """
-    blocks = vectors.mapInArrow(_pack(BLOCK), _BLOCK)
-    asked = queries.dropDuplicates(["vec_id"])
-    asked = (asked.repartition(max(1, -(-asked.count() // QUERIES)))
-             .mapInArrow(_pack(QUERIES), _BLOCK).toDF("query_block", "query_ids", "query_vectors"))
-    # Every block meets every block of queries: whole blocks are paired, not rows.
-    numbers = asked.select(F.collect_set("query_block").alias("_all"))
-    paired = blocks.withColumn("query_block", F.explode(numbers.scalar()))
-    found = (paired.join(asked, "query_block").sortWithinPartitions("block")
+    count = -(-vectors.count() // BLOCK)
+    if not count:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    blocks = vectors.repartition(count).mapInArrow(_pack(None), _BLOCK)
+    asked = (queries.dropDuplicates(["vec_id"]).mapInArrow(_pack(QUERIES), _BLOCK)
+             .select(F.explode(F.sequence(*(F.lit(x).cast("bigint") for x in (0, count - 1)))).alias("block"),
+                     F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")))
+    # A stated number of partitions: blocks are few bytes and much work, so sizes must not merge them.
+    found = (blocks.repartition(2 * count, "block").join(asked.repartition(2 * count, "block"), "block")
+             .sortWithinPartitions("block")
              .select("block", "ids", "vectors", "query_ids", "query_vectors")
              .mapInArrow(_search(k), "query_id bigint, vec_id bigint, score double"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
