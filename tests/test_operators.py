@@ -1,13 +1,15 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vigilia.operators import overlap, ranking, sequence
 from vigilia.operators.numbering import dense_ids
 from vigilia.operators.rounds import accept_in_order
-from vigilia.operators.suppress import suppress
+from vigilia.operators.suppress import KEEP, NEVER, _hand_down, _merge, _step_function, suppress
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -178,6 +180,34 @@ def test_suppress_equals_the_fold(spark, seed, hot, limit, closings, carried):
     assert {r.id for r in fired.collect()} == fold(rows, dt.timedelta(days=1), closed, carry)
 
 
+@pytest.mark.parametrize("every,quiet", [(600, 7200), (600, 86400), (7, 7200)])
+def test_suppress_of_a_regular_feed_in_many_chunks(spark, every, quiet):
+    """One key, far more chunks than are merged in one task; equal instants and ties."""
+    rows = [(i, 1, T0 + dt.timedelta(seconds=every * (i // 2))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz").withColumn("tie", F.lit(0))
+    fired = suppress(df, ["k"], "ts", "tie", quiet, limit=20, cell=60)
+    assert {r.id for r in fired.collect()} == fold(rows, dt.timedelta(seconds=quiet), [], None)
+
+
+def test_merged_steps_equal_one_after_the_other():
+    """Merged functions of neighbouring chunks give the same exits and stay short."""
+    rng, second = np.random.default_rng(5), 1_000_000
+    for gap, jitter in ((900 * second, 0), (900 * second, 5), (40 * second, 3)):
+        us = np.sort(np.arange(4000) * 10 + rng.integers(0, jitter + 1, 4000)) * second
+        reset = rng.random(4000) < 0.002
+        steps = pd.concat([_step_function(pd.DataFrame(
+            {"k": 1, "_chunk": c, "_entry": NEVER, "_us": us[c * 250:(c + 1) * 250],
+             "_reset": reset[c * 250:(c + 1) * 250]}), ["k"], gap) for c in range(16)])
+        merged = _merge(steps.assign(_group=0), ["k"])
+        assert len(merged) <= gap // (10 * second) + 250
+        for entry in (NEVER, -1, -5 * second, -gap // 2, -gap, -2 * gap):
+            down = _hand_down(steps.assign(_group=0, _entry=entry), ["k"])
+            last = _hand_down(steps[steps["_chunk"] == 15].assign(_group=0, _entry=down["_entry"].iloc[-1])
+                              .pipe(lambda x: pd.concat([x, x.assign(_chunk=16)])), ["k"])["_entry"].iloc[-1]
+            leave = merged["_exit"].iloc[int(np.searchsorted(merged["_upto"], entry))]
+            assert last == (entry if leave == KEEP else leave)
+
+
 def test_suppress_boundaries(spark):
     hours = [0, 10, 23, 24, 25]
     rows = [(i, 1, T0 + dt.timedelta(hours=h)) for i, h in enumerate(hours)]

@@ -9,22 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 from vigilia.sources.work import materialise
 
 LIMIT = 20_000
-MOST = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = LIMIT) -> DataFrame | None:
-    """Keys holding more than ``limit`` rows and more than a millionth of the
-    table, or None. There are never more than a million of them, however large
-    the table is; whether they are broadcast is left to their measured size.
+    """Keys holding more than ``limit`` rows, or None. The limit is the same for
+    a table of any size; whether the keys are broadcast is left to their
+    measured size.
 
-    This counts rows per key right away, one narrow aggregation, because the
-    plan for a table without hot keys is much simpler.
+    This counts rows per key right away, one narrow aggregation whose result is
+    written once, because the plan for a table without hot keys is much simpler.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if counts.where(F.col("_n") > limit).isEmpty():
-        return None
-    least = max(limit, df.count() // MOST)
-    return materialise(counts.where(F.col("_n") > least).select(*keys))
+    hot = materialise(counts.where(F.col("_n") > limit).select(*keys))
+    return None if hot.isEmpty() else hot
 
 
 def without(df: DataFrame, hot: DataFrame | None, keys: Sequence[str]) -> DataFrame:

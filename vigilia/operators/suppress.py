@@ -7,10 +7,13 @@ closing an alert re-opens the gate.
 Ordinary keys are folded in the JVM over one sorted array each. A hot key (see
 `hot_keys`) is cut into time chunks of about ``limit`` moments. Pass one turns
 every chunk into a step function "last active alert on entry -> last active
-alert on exit", independently of all other chunks. Pass two composes those
-functions per key, a few rows per chunk. Pass three replays every chunk with
-its true entry. So a key holding a third of all candidates is worked on by as
-many tasks as it has chunks.
+alert on exit", independently of all other chunks. Pass two merges those
+functions up a tree, ``FAN`` neighbours in a task, and hands the true entries
+down the same tree. Pass three replays every chunk with its true entry. So a key
+holding a third of all candidates is worked on by as many tasks as it has
+chunks, and no task holds the functions of more than ``FAN`` of them. A function
+is kept for entries from before its chunk only: its steps number at most the
+moments of a chunk or, merged, of one quiet period.
 """
 
 from __future__ import annotations
@@ -23,8 +26,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilia.functions.clock import epoch_micros
 from vigilia.operators.hot import LIMIT, hot_keys, only, without
+from vigilia.sources.work import materialise
 
 NEVER = int(np.iinfo(np.int64).min)
+#: As an exit: the entry is returned. As a step's end: all later entries.
+KEEP = int(np.iinfo(np.int64).max)
+FAN = 8
 CELL = 3_600
 
 
@@ -108,7 +115,8 @@ def _fold_chunks(df: DataFrame, closed: DataFrame | None, keys: list[str], ts: s
     fired = _fold_large(moments, df, keys, gap, starts)
     first = df.withColumn("_us", epoch_micros(F.col(ts))).join(fired, [*keys, "_us"], "left_semi")
     return first.groupBy(*keys, "_us").agg(
-        F.min_by(F.struct(*df.columns), tie).alias("_row")).select("_row.*")
+        F.min(F.struct(F.col(tie).alias("tie"), F.struct(*df.columns).alias("row"))).alias("_first")
+    ).select("_first.row.*")
 
 
 def _chunks(moments: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -125,22 +133,36 @@ def _fold_large(moments: DataFrame, df: DataFrame, keys: list[str], gap: int,
                 starts: DataFrame | None) -> DataFrame:
     """(keys, _us) fired by keys cut into chunks."""
     ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    moments = moments.select(*keys, "_us", "_reset", "_chunk")
-    steps = moments.groupBy(*keys, "_chunk").applyInPandas(
-        lambda pdf: _step_function(pdf, keys, gap),
-        f"{ddl}, _chunk bigint, _upto bigint, _exit bigint")
-    if starts is not None:
-        # The carried alert acts as a chunk before all others.
-        known = moments.select(*keys).distinct()
-        steps = steps.unionByName(starts.join(known, keys, "left_semi").select(
-            *keys, F.lit(-1).cast("bigint").alias("_chunk"),
-            F.lit(int(np.iinfo(np.int64).max)).alias("_upto"), "_exit"))
-    entries = steps.groupBy(*keys).applyInPandas(
-        lambda pdf: _compose(pdf, keys), f"{ddl}, _chunk bigint, _entry bigint")
+    moments = materialise(moments.select(*keys, "_us", "_reset", "_chunk"))
+    last = moments.agg(F.max("_chunk")).first()[0] or 0
+    known = moments.select(*keys).distinct()
+    if starts is None:
+        roots = known.withColumn("_entry", F.lit(NEVER))
+    else:
+        roots = known.join(starts, keys, "left").select(
+            *keys, F.coalesce("_exit", F.lit(NEVER)).alias("_entry"))
+    steps = moments.join(roots, keys).groupBy(*keys, "_chunk").applyInPandas(
+        lambda pdf: _step_function(pdf, keys, gap), f"{ddl}, {_STEP}")
+    entries = _entries(materialise(steps), keys, ddl, last + 1, roots)
     return moments.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
         lambda pdf: _replay(pdf, keys, gap), f"{ddl}, _us bigint")
 
 
+_STEP = "_chunk bigint, _asked bigint, _upto bigint, _exit bigint"
+
+
+def _entries(steps: DataFrame, keys: list[str], ddl: str, chunks: int, roots: DataFrame) -> DataFrame:
+    """(keys, _chunk, _entry): the true entry of every chunk; ``chunks`` bounds their numbers."""
+    if chunks <= 1:
+        return steps.select(*keys, "_chunk").distinct().join(roots, keys)
+    grouped = steps.withColumn("_group", F.floor(F.col("_chunk") / F.lit(FAN)))
+    merged = materialise(grouped.groupBy(*keys, "_group").applyInPandas(
+        lambda pdf: _merge(pdf, keys), f"{ddl}, {_STEP}"))
+    above = _entries(merged, keys, ddl, -(-chunks // FAN), roots).withColumnRenamed("_chunk", "_group")
+    return grouped.join(above, [*keys, "_group"]).groupBy(*keys, "_group").applyInPandas(
+        lambda pdf: _hand_down(pdf, keys), f"{ddl}, _chunk bigint, _entry bigint")
+
+
 def _timeline(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Candidate instants, and for each the last reset at or before it."""
     us, reset = pdf["_us"].to_numpy(np.int64), pdf["_reset"].to_numpy(bool)
@@ -189,7 +211,7 @@ def _final_reset(pdf: pd.DataFrame) -> int:
 
 def _step_function(pdf: pd.DataFrame, keys: list[str], gap: int) -> pd.DataFrame:
     """Rows (_upto, _exit): an entry alert at or before ``_upto`` and after the
-    previous row's leaves ``_exit`` active; NULL ``_exit`` returns the entry."""
+    previous row's leaves ``_exit`` active; the exit ``KEEP`` returns the entry."""
     us, last_reset = _timeline(pdf)
     final = _final_reset(pdf)
     upto, leaves = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -202,28 +224,56 @@ def _step_function(pdf: pd.DataFrame, keys: list[str], gap: int) -> pd.DataFrame
         leaves = leaves[kept]
         run_ends = np.append(leaves[1:] != leaves[:-1], True)
         upto, leaves = upto[run_ends], leaves[run_ends]
-    rows: list[tuple[int, int | None]] = list(zip(upto.tolist(), leaves.tolist()))
-    if final != NEVER and (not rows or final - 1 > rows[-1][0]):
-        rows.append((final - 1, int(NEVER)))
-    rows.append((int(np.iinfo(np.int64).max), None))
-    out = pd.DataFrame({"_upto": [x for x, _ in rows],
-                        "_exit": pd.array([x for _, x in rows], dtype="Int64")})
-    out["_chunk"] = pdf["_chunk"].iloc[0]
+    if final != NEVER and (not len(upto) or final - 1 > upto[-1]):
+        upto, leaves = np.append(upto, final - 1), np.append(leaves, NEVER)
+    asked = max(int(pdf["_us"].min()) - 1, int(pdf["_entry"].iloc[0]))
+    steps = _shorten(np.append(upto, KEEP), np.append(leaves, KEEP), asked)
+    return _rows(pdf, keys, pdf["_chunk"].iloc[0], asked, *steps)
+
+
+def _rows(pdf: pd.DataFrame, keys: list[str], chunk: int, asked: int, upto: np.ndarray,
+          leaves: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame({"_chunk": chunk, "_asked": asked, "_upto": upto, "_exit": leaves})
     for k in keys:
         out[k] = pdf[k].iloc[0]
-    return out[[*keys, "_chunk", "_upto", "_exit"]]
+    return out[[*keys, "_chunk", "_asked", "_upto", "_exit"]]
+
+
+def _shorten(upto: np.ndarray, leaves: np.ndarray, asked: int) -> tuple[np.ndarray, np.ndarray]:
+    """The steps for entries up to ``asked``, neighbours of one exit joined."""
+    end = int(np.searchsorted(upto, asked, "left")) + 1
+    upto, leaves = np.append(upto[:end - 1], KEEP), leaves[:end]
+    run_ends = np.append(leaves[1:] != leaves[:-1], True)
+    return upto[run_ends], leaves[run_ends]
 
 
-def _compose(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """True entry of every chunk of one key."""
+def _functions(pdf: pd.DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(chunk, asked, upto, exit) of every chunk, in order."""
     pdf = pdf.sort_values(["_chunk", "_upto"], kind="stable")
-    state, chunks, entries = NEVER, [], []
-    for chunk, steps in pdf.groupby("_chunk", sort=True):
+    return [(int(chunk), int(part["_asked"].iloc[0]), part["_upto"].to_numpy(np.int64),
+             part["_exit"].to_numpy(np.int64)) for chunk, part in pdf.groupby("_chunk", sort=True)]
+
+
+def _merge(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The function of neighbouring chunks, one after the other, as one chunk's."""
+    (_, asked, upto, leaves), *later = _functions(pdf)
+    for _, _, next_upto, next_leaves in later:
+        ends = np.union1d(upto, next_upto)
+        middle = leaves[np.searchsorted(upto, ends, "left")]
+        passed = np.where(middle == KEEP, ends, middle)
+        after = next_leaves[np.searchsorted(next_upto, passed, "left")]
+        upto, leaves = _shorten(ends, np.where(after == KEEP, middle, after), asked)
+    return _rows(pdf, keys, pdf["_group"].iloc[0], asked, upto, leaves)
+
+
+def _hand_down(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """True entry of every chunk of a group, from the group's."""
+    state, chunks, entries = int(pdf["_entry"].iloc[0]), [], []
+    for chunk, _, upto, leaves in _functions(pdf):
         chunks.append(chunk)
         entries.append(state)
-        hit = steps.iloc[int(np.searchsorted(steps["_upto"].to_numpy(np.int64), state, "left"))]
-        if not pd.isna(hit["_exit"]):
-            state = int(hit["_exit"])
+        leave = int(leaves[np.searchsorted(upto, state, "left")])
+        state = state if leave == KEEP else leave
     out = pd.DataFrame({"_chunk": chunks, "_entry": entries})
     for k in keys:
         out[k] = pdf[k].iloc[0]
