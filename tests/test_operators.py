@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigilia.operators import overlap, ranking, sequence
 from vigilia.operators.numbering import dense_ids
-from vigilia.operators.rounds import accept_in_order
+from vigilia.operators.rounds import accept_in_order, linked_groups
 from vigilia.operators.suppress import KEEP, NEVER, _hand_down, _merge, _step_function, suppress
 
 T0 = dt.datetime(2024, 1, 1)
@@ -131,6 +131,15 @@ def test_overlap_counts(spark, seconds, unit):
         hits := [j for j, r2, s2, e2 in stored if r == r2 and s2 < e and e2 > s])}
 
 
+def test_linked_groups(spark):
+    """A long chain in key order, a star, two keys apart, and repeated links."""
+    links = [(i, f"c{j}") for i in range(200) for j in (i, i + 1)] + [(500 + i, "star") for i in range(9)]
+    links += [(900, "x"), (901, "y"), (901, "y")]
+    got = {r.id: r._group for r in linked_groups(
+        spark.createDataFrame(links, "id long, _place string"), "id").collect()}
+    assert got == {i: 0 for i in range(200)} | {500 + i: 500 for i in range(9)} | {900: 900, 901: 901}
+
+
 def test_first_come_rounds(spark):
     rows = intervals(6, 150, 5)
     df = spark.createDataFrame(rows, "id long, res long, s timestamp_ntz, e timestamp_ntz")
@@ -142,7 +151,7 @@ def test_first_come_rounds(spark):
         return overlap.overlap_counts(pending, taken, "id", {"n": "res"}, "s", "e").where(
             "n > 0").select("id")
 
-    got = {r.id for r in accept_in_order(df, "id", earliest, blocked, list, small=0).collect()}
+    got = {r.id for r in accept_in_order(df, "id", None, earliest, blocked, list, largest=0).collect()}
     want = []
     for i, r, s, e in rows:
         if not any(r == r2 and s2 < e and e2 > s for _, r2, s2, e2 in want):

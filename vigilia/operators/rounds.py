@@ -9,40 +9,71 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigilia.sources.work import materialise
 
-SMALL = 50_000
+#: Rows of a group of competing requests that one task may hold.
+LARGEST = 50_000
+
+
+def linked_groups(links: DataFrame, key: str) -> DataFrame:
+    """(key, _group) for every key in ``links`` (key, _place): keys that share a
+    place, directly or by others, have one group, their lowest key.
+
+    Each round takes the lowest group met in a key's places and then that group's
+    own group, so that rounds grow with the logarithm of the longest chain.
+    """
+    links = materialise(links.select(key, "_place").distinct())
+    groups = links.select(key, F.col(key).alias("_group")).distinct()
+    total = None
+    while True:
+        least = links.join(groups, key).groupBy("_place").agg(F.min("_group").alias("_group"))
+        met = links.join(least, "_place").groupBy(key).agg(F.min("_group").alias("_met"))
+        above = met.select(F.col(key).alias("_met"), F.col("_met").alias("_group"))
+        groups = materialise(met.join(above, "_met").select(key, "_group"))
+        # Groups only ever fall, so an equal sum means that none has changed.
+        now = groups.agg(F.sum(F.col("_group").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            return groups
+        total = now
 
 
 def accept_in_order(
     requests: DataFrame,
     key: str,
+    places: Callable[[DataFrame], DataFrame],
     earliest: Callable[[DataFrame], DataFrame],
     blocked: Callable[[DataFrame, DataFrame], DataFrame],
     one_by_one: Callable[[pd.DataFrame], list],
-    small: int = SMALL,
+    largest: int = LARGEST,
 ) -> DataFrame:
     """(key) of the requests accepted, as if handled one by one in key order.
 
-    ``earliest(pending)`` gives (key, rival): the lowest pending key in
-    conflict with each row, itself included. ``blocked(pending, accepted)``
-    gives the keys of pending rows in conflict with accepted ones. Each round
-    settles every request without an earlier live rival, for all resources at
-    once, so rounds follow the longest chain of conflicts and not the batch
-    size. Once at most ``small`` requests are left, a counted bound, one task
-    finishes them with ``one_by_one`` (rows sorted by key -> accepted keys), which
-    also ends long chains.
+    ``places(pending)`` gives (key, _place): requests in conflict share a place.
+    Groups of requests without a common place are independent, and each is
+    finished by itself with ``one_by_one`` (rows sorted by key -> accepted keys).
+
+    Groups of more than ``largest`` requests, a counted bound, go through a round
+    first, which settles every request without an earlier live rival: ``earliest``
+    gives (key, rival), the lowest pending key in conflict with each row, itself
+    included, and ``blocked(pending, accepted)`` the keys in conflict with
+    accepted ones. What is left falls into smaller groups.
     """
     pending = materialise(requests)
     settled = []
-    while (left := pending.count()) > max(small, 0):
+    while not pending.isEmpty():
+        if largest > 0:
+            groups = linked_groups(places(pending), key)
+            sizes = groups.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+            small = groups.join(sizes.where(F.col("_n") <= largest), "_group").drop("_n")
+            settled.append(materialise(pending.join(small, key).groupBy("_group").applyInPandas(
+                lambda pdf: pd.DataFrame({key: one_by_one(pdf.sort_values(key))}), f"{key} bigint")))
+            pending = materialise(pending.join(small, key, "left_anti"))
+            if pending.isEmpty():
+                break
         winners = materialise(
             earliest(pending).where(F.col("rival") == F.col(key)).select(key))
         settled.append(winners)
         rest = pending.join(winners, key, "left_anti")
         taken = pending.join(winners, key, "left_semi")
         pending = materialise(rest.join(blocked(rest, taken), key, "left_anti"))
-    if left:
-        settled.append(pending.groupBy().applyInPandas(
-            lambda pdf: pd.DataFrame({key: one_by_one(pdf.sort_values(key))}), f"{key} bigint"))
     accepted = requests.select(key).where(F.lit(False))
     for winners in settled:
         accepted = accepted.unionByName(winners)

@@ -22,7 +22,7 @@ from vigilia.functions import clock
 from vigilia.operators import checks, overlap
 from vigilia.operators.numbering import dense_ids, highest
 from vigilia.operators.ranking import latest_per_key
-from vigilia.operators.rounds import SMALL, accept_in_order
+from vigilia.operators.rounds import LARGEST, accept_in_order
 from vigilia.operators.sequence import nearest_daily
 from vigilia.plans.views import Tables
 from vigilia.sources.work import materialise
@@ -190,7 +190,7 @@ def _free_names(pdf: pd.DataFrame) -> list:
     return accepted
 
 
-def hire_staff(t: Tables, requests: DataFrame, as_of, small: int = SMALL) -> Result:
+def hire_staff(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST) -> Result:
     """New staff with a user each; email and username must be free, counting
     requests accepted earlier in the batch."""
     rows = requests.withColumns({"activo": F.lit(True), "fecha_alta": clock.day(as_of)})
@@ -218,8 +218,12 @@ def hire_staff(t: Tables, requests: DataFrame, as_of, small: int = SMALL) -> Res
                 .unionByName(pending.join(taken.select("username"), "username", "left_semi")
                              .select("change_id")).distinct())
 
-    winners = accept_in_order(valid, "change_id", earliest, blocked, _free_names,
-                              small).withColumn("_won", F.lit(True))
+    def places(pending: DataFrame) -> DataFrame:
+        return pending.select("change_id", F.explode(F.array(*[
+            F.concat(F.lit(f"{c}:"), c) for c in ("email", "username")])).alias("_place"))
+
+    winners = accept_in_order(valid, "change_id", places, earliest, blocked, _free_names,
+                              largest).withColumn("_won", F.lit(True))
     rows = rows.join(winners, "change_id", "left").withColumn("_error", F.coalesce(
         "_error", F.when(F.col("_won").isNull(), F.lit(ERROR + "email_o_username_unico"))))
     accepted = dense_ids(rows.where(F.col("_error").isNull()), "change_id", "id_staff",
@@ -442,7 +446,7 @@ def _free_slots(pdf: pd.DataFrame) -> list:
     return accepted
 
 
-def book_sessions(t: Tables, requests: DataFrame, as_of, small: int = SMALL) -> Result:
+def book_sessions(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST) -> Result:
     """Reserve sessions in request order; the therapist is checked before the
     room, against stored sessions and against earlier accepted requests."""
     stored = t["sesion_terapia"]
@@ -469,7 +473,15 @@ def book_sessions(t: Tables, requests: DataFrame, as_of, small: int = SMALL) ->
                                     {"_t": "id_terapeuta", "_s": "id_sala"}, *window).select(
             "change_id")
 
-    accepted_ids = accept_in_order(live, "change_id", earliest, blocked, _free_slots, small)
+    def places(pending: DataFrame) -> DataFrame:
+        # Overlapping sessions share an hour of their room or therapist.
+        first, last = (F.floor(clock.epoch_micros(F.col(c)) / F.lit(3_600_000_000)) for c in window)
+        return pending.withColumn("_hour", F.explode(F.sequence(first, last))).select(
+            "change_id", F.explode(F.array(*[
+                F.struct(F.lit(r).alias("kind"), F.col(r).alias("resource"), "_hour")
+                for r in ("id_terapeuta", "id_sala")])).alias("_place"))
+
+    accepted_ids = accept_in_order(live, "change_id", places, earliest, blocked, _free_slots, largest)
     accepted = live.join(accepted_ids, "change_id", "left_semi")
     refused = _spans(rows.join(accepted_ids, "change_id", "left_anti"))
     # Accepted requests are in the way of later ones whatever else is wrong
