@@ -48,7 +48,8 @@ def accept_in_order(
 
     ``places(pending)`` gives (key, _place): requests in conflict share a place.
     Groups of requests without a common place are independent, and each is
-    finished by itself with ``one_by_one`` (rows sorted by key -> accepted keys).
+    finished by itself with ``one_by_one`` (rows sorted by key -> accepted keys);
+    a request alone in its group is accepted.
 
     Groups of more than ``largest`` requests, a counted bound, go through a round
     first, which settles every request without an earlier live rival: ``earliest``
@@ -62,10 +63,12 @@ def accept_in_order(
         if largest > 0:
             groups = linked_groups(places(pending), key)
             sizes = groups.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-            small = groups.join(sizes.where(F.col("_n") <= largest), "_group").drop("_n")
-            settled.append(materialise(pending.join(small, key).groupBy("_group").applyInPandas(
+            small = materialise(groups.join(sizes.where(F.col("_n") <= largest), "_group"))
+            settled.append(small.where(F.col("_n") == 1).select(key))
+            rivals = small.where(F.col("_n") > 1).drop("_n")
+            settled.append(materialise(pending.join(rivals, key).groupBy("_group").applyInPandas(
                 lambda pdf: pd.DataFrame({key: one_by_one(pdf.sort_values(key))}), f"{key} bigint")))
-            pending = materialise(pending.join(small, key, "left_anti"))
+            pending = materialise(pending.join(small.select(key), key, "left_anti"))
             if pending.isEmpty():
                 break
         winners = materialise(
