@@ -168,6 +168,60 @@ def test_missing_and_added_records(spark):
     assert [(r.segment, r.number, r.status) for r in fixity.audit(trees[0], trees[2]).collect()] == [(1, 0, "added")]
 
 
+def test_a_replica_that_loses_and_gains_records_in_the_middle(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "SEGMENT", 64)
+    r = random.Random(9)
+    pages = [(i, f"page {i} " + "x" * r.randint(0, 60)) for i in range(600)] + [(None, "no id")]
+    pages += [(700, f"crowded {k}") for k in range(193)]  # several parts, one fewer without a record
+    pages += [(1, "twice"), (1, "twice"), (2, "thrice"), (2, "thrice"), (2, "thrice"), (3, "same"), (4, "same")]
+    theirs = []
+    for i, text in pages:
+        fate = r.random() if i not in (1, 2, 3, 4, 700) else 1 if text != "crowded 90" else 0
+        if fate < .03:
+            continue
+        theirs.append((i, sha(text), text[:-1] if fate < .06 else text + "!" if fate < .09 else text))
+    theirs.remove((1, sha("twice"), "twice"))  # one copy lost, one of three damaged, a page lost whose bytes another has
+    theirs.remove((2, sha("thrice"), "thrice"))
+    theirs.append((2, sha("thrice"), "thr#ce"))
+    theirs.remove((3, sha("same"), "same"))
+    theirs += [(i, sha(text), text) for i, text in [(300, "gained"), (301, "gained"), (700, "gained"), (9000, "gained")]]
+
+    def laid(rows):
+        out, places, order = {}, {}, {}
+        for i, name, text in rows:
+            order.setdefault((i, name), []).append(text)
+        for (i, name), texts in sorted(order.items(), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1])):
+            seg = -1 if i is None else i // 512
+            part = int(name[:8], 16) % parts[seg]
+            start = places.get((seg, part), 0)
+            places[seg, part] = start + sum(len(x) for x in set(texts))
+            out[i, name] = (seg, part, start, sorted(set(texts)), len(texts))
+        return out
+
+    mine = [(i, sha(text), text) for i, text in pages]
+    counts = [{}, {}]
+    for count, rows in zip(counts, (mine, theirs)):
+        for i, _ in {x[:2] for x in rows}:
+            seg = -1 if i is None else i // 512
+            count[seg] = count.get(seg, 0) + 1
+    parts = {s: -(-max(c.get(s, 0) for c in counts) // 64) for s in {*counts[0], *counts[1]}}
+    a, b = laid(mine), laid(theirs)
+    want = {}
+    for key in {*a, *b}:
+        x, y = a.get(key), b.get(key)
+        status = ("added" if not x else "missing" if not y else "damaged" if x[3] != y[3] else "copies" if x[4] != y[4]
+                  else "moved" if x[2] != y[2] else "ok")
+        want[key] = (*(x or y)[:3], status)
+    assert {"ok", "moved", "damaged", "missing", "added", "copies"} == {x[3] for x in want.values()}
+
+    raw = F.col("raw").cast("binary").alias("raw")
+    listed = (fixity.manifest(spark.createDataFrame([(i, x) for i, _, x in mine], "page_id bigint, raw string").select("page_id", raw)),
+              fixity.manifest(spark.createDataFrame(theirs, "page_id bigint, id string, raw string").select("page_id", "id", raw)))
+    got = fixity.compared(*fixity.lay_out(*listed)).collect()
+    assert len(got) == len(want)
+    assert {(x.page_id, x.id): (x.segment, x.part, x.start, x.status) for x in got} == want
+
+
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert queries.op9_warc(spark, str(tmp_path)).count() == 0

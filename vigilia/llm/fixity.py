@@ -3,13 +3,15 @@
 Pages become WARC records, laid one after the other into segments of bounded
 length. A leaf of a segment's tree is the hash of one record with its offset
 range; an inner node hashes the ordered ranges and hashes of up to ``FANOUT``
-children. Two replicas are compared by their roots, and only the branches that
-differ are followed down to the records that do. Everything is a DataFrame: a
+children. Records hang in the tree by a hash of their page id and of the id they
+were archived under, which all replicas know. Two replicas are compared by their
+roots, and only the branches that differ are followed down to the records that do. Everything is a DataFrame: a
 level is one aggregation over the one below.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,8 +21,10 @@ from vigilia.llm.tables import stored
 FANOUT = 16
 #: Records of one part of a segment, about.
 SEGMENT = 1024
-#: Page numbers of one range; a range with more rows is split by the records' hashes.
+#: Page numbers of one range; a range with more rows is split by the records' ids.
 _RANGE = 512
+#: Nodes above the records of a part, each for the names of one share of the hashes.
+_CELLS = SEGMENT // FANOUT
 
 
 def record(url: Column, html: Column) -> Column:
@@ -45,56 +49,90 @@ def parse(raw: Column) -> Column:
                                  body.cast("string").alias("html")))
 
 
-def manifest(records: DataFrame, *keep: str) -> DataFrame:
-    """(page_id, content, length, keep...): the hash and length of each record's
-    bytes ``raw``. Bytes are read where they lie and never move."""
-    return records.select("page_id", F.sha2("raw", 256).alias("content"),
-                          F.octet_length("raw").cast("bigint").alias("length"), *keep)
+def manifest(records: DataFrame) -> DataFrame:
+    """(page_id, id, content, length): the hash and length of each record's bytes
+    ``raw``. Bytes are read where they lie and never move.
 
+    ``id`` is the name a record was archived under, the hash of its bytes then. A
+    replica has it as a column of its own and keeps it when bytes fail; without
+    one, the records are the archive's own and are named now.
+    """
+    content = F.sha2("raw", 256)
+    return records.select("page_id", (F.col("id") if "id" in records.columns else content).alias("id"),
+                          content.alias("content"), F.octet_length("raw").cast("bigint").alias("length"))
 
-def lay_out(listed: DataFrame) -> DataFrame:
-    """A manifest's records with their place: + copies, segment, part, number,
-    start (the offset in the segment).
 
-    Equal rows are one record with a count of copies. A segment holds records of
-    one range of ids; a crowded range is dealt into parts by the records' hashes,
-    so that a part stays near ``SEGMENT`` records however ids are spread. Null ids
-    are ranged as -1.
-    """
-    ranged = F.coalesce(F.floor(F.col("page_id") / _RANGE), F.lit(-1)).cast("bigint").alias("segment")
-    known = listed.groupBy(*listed.columns).agg(F.count("*").alias("copies")).select("*", ranged)
-    parts = known.groupBy("segment").agg(F.ceil(F.count("*") / SEGMENT).cast("int").alias("parts"))
-    dealt = known.join(parts, "segment").withColumn(
-        "part", F.pmod(F.conv(F.substring("content", 1, 8), 16, 10).cast("bigint"), F.col("parts")).cast("int"))
-    order = Window.partitionBy("segment", "part").orderBy("page_id", "content")
-    return placed(dealt.drop("parts").withColumn("number", (F.row_number().over(order) - 1).cast("bigint")))
+def _known(listed: DataFrame) -> DataFrame:
+    """One row for each (page_id, id) with its copies. If copies differ, each kind
+    is kept once, and the content is a hash of them all."""
+    kinds = listed.groupBy("page_id", "id", "content", "length").agg(F.count("*").alias("copies"))
+    several = F.sha2(F.concat_ws(":", F.min("content"), F.max("content"),
+                                 F.bit_xor(F.xxhash64("content", "copies")).cast("string")), 256)
+    return kinds.groupBy("page_id", "id").agg(
+        F.when(F.count("*") == 1, F.min("content")).otherwise(several).alias("content"),
+        F.sum("length").alias("length"), F.sum("copies").alias("copies"),
+    ).withColumn("segment", F.coalesce(F.floor(F.col("page_id") / _RANGE), F.lit(-1)).cast("bigint"))
+
 
+def _number(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
-def placed(numbered: DataFrame) -> DataFrame:
-    """``start`` of each record: the lengths of those before it in its part."""
-    order = Window.partitionBy("segment", "part").orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return numbered.withColumn("start", F.sum("length").over(order) - F.col("length"))
+
+def lay_out(*replicas: DataFrame) -> list[DataFrame]:
+    """The manifests' records with their places: + copies, segment, part, number,
+    start (the offset in the part), and name and above, their place in the tree.
+
+    Equal rows are one record with a count of copies. A segment holds records of
+    one range of ids; a crowded range is dealt into parts by the records' archived
+    ids, so that a part stays near ``SEGMENT`` records however page ids are
+    spread. Replicas agree on a segment's number of parts, by the larger of their
+    counts; everything else follows from a replica's own rows. Neither part, name
+    nor above depends on a record's bytes or on the records beside it. Null page
+    ids are ranged as -1.
+    """
+    known = [stored(_known(listed), "manifest") for listed in replicas]
+    counts = [x.groupBy("segment").agg(F.count("*").alias("records")) for x in known]
+    parts = (functools.reduce(DataFrame.unionByName, counts).groupBy("segment")
+             .agg(F.ceil(F.max("records") / SEGMENT).cast("int").alias("parts")))
+    order = Window.partitionBy("segment", "part").orderBy("page_id", "id")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    name = F.sha2(F.concat_ws(":", F.col("page_id").cast("string"), "id"), 256)
+    return [x.join(parts, "segment")
+            .withColumn("part", F.pmod(_number(F.col("id")), F.col("parts")).cast("int")).drop("parts")
+            .withColumn("number", (F.row_number().over(order) - 1).cast("bigint"))
+            .withColumn("start", F.sum("length").over(before) - F.col("length"))
+            .withColumn("name", name).withColumn("above", F.pmod(_number(F.col("name")), F.lit(_CELLS)))
+            for x in known]
 
 
 _ADDRESS = ["segment", "part"]
 
 
-def _node(start: Column, length: Column, content: Column) -> Column:
-    return F.sha2(F.concat_ws(":", start.cast("string"), length.cast("string"), content), 256)
+def _node(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws(":", *(p.cast("string") for p in parts)), 256)
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(segment, part, level 0, number, start, length, digest, content)."""
-    return records.select(*_ADDRESS, F.lit(0).alias("level"), "number", "start", "length",
-                          _node(F.col("start"), F.col("length"), F.col("content")).alias("digest"), "content")
+    """(segment, part, level 0, number, name, above, start, length, copies, digest,
+    content). Records without a name go by their number."""
+    if "name" not in records.columns:
+        records = records.withColumns({"name": F.col("number").cast("string"), "above": F.floor(F.col("number") / FANOUT)})
+    if "copies" not in records.columns:
+        records = records.withColumn("copies", F.lit(1).cast("bigint"))
+    digest = _node(*(F.col(c) for c in ("name", "start", "length", "copies", "content")))
+    return records.select(*_ADDRESS, F.lit(0).alias("level"), "number", "name", "above", "start", "length", "copies",
+                          digest.alias("digest"), "content")
 
 
 def parents(level: DataFrame) -> DataFrame:
-    """The nodes above: at most ``FANOUT`` children each, in order."""
+    """The nodes above, of their children in order: about ``FANOUT`` records, or at
+    most as many nodes."""
     child = F.struct("number", "start", "length", "digest")
     ordered = F.sort_array(F.collect_list(child))
-    return (level.groupBy(*_ADDRESS, (F.col("level") + 1).alias("level"), F.floor(F.col("number") / FANOUT).alias("number"))
-            .agg(F.min("start").alias("start"), F.sum("length").alias("length"), ordered.alias("children"))
+    return (level.groupBy(*_ADDRESS, (F.col("level") + 1).alias("level"), F.col("above").alias("number"))
+            .agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("copies").alias("copies"),
+                 ordered.alias("children"))
+            .withColumns({"name": F.col("number").cast("string"), "above": F.floor(F.col("number") / FANOUT)})
             .withColumn("digest", _node(F.col("start"), F.col("length"),
                                         F.concat_ws(",", F.transform("children", lambda c: c["digest"]))))
             .withColumn("content", F.col("digest")).drop("children"))
@@ -104,20 +142,22 @@ def tree(records: DataFrame) -> list[DataFrame]:
     """Levels of all segments' trees, leaves first, the roots last. The number of
     levels follows the longest segment; each level is a stored table."""
     levels = [stored(leaves(records), "leaves")]
-    most = levels[0].agg(F.max("number")).first()[0] or 0
-    for _ in range(max(1, math.ceil(math.log(most + 1, FANOUT) - 1e-9))):
+    most = levels[0].agg(F.max("above")).first()[0] or 0
+    for _ in range(1 + math.ceil(math.log(most + 1, FANOUT) - 1e-9)):
         levels.append(stored(parents(levels[-1]), "nodes"))
     return levels
 
 
 def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """(segment, part, number, status) of the records that differ.
+    """(segment, part, name, number, status) of the records that differ.
 
-    ``status``: *damaged* (the bytes differ), *moved* (the same bytes elsewhere in
-    the segment), *missing* (not in theirs) or *added* (only in theirs). Only
-    children of differing nodes are compared; replicas with equal roots are done.
+    ``status``: *damaged* (the bytes differ), *copies* (another number of copies),
+    *moved* (the same bytes elsewhere in the segment), *missing* (not in theirs) or
+    *added* (only in theirs, whose number it has). Records meet by name, so one
+    that is lost or gained does not change what its neighbours are compared with.
+    Only children of differing nodes are compared; replicas with equal roots are done.
     """
-    key = [*_ADDRESS, "number"]
+    key = [*_ADDRESS, "name"]
     while len(ours) < len(theirs):  # a shorter tree's roots stand for themselves above
         ours = [*ours, parents(ours[-1])]
     while len(theirs) < len(ours):
@@ -125,15 +165,24 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     open_ = None
     for mine, other in zip(reversed(ours), reversed(theirs)):
         if open_ is not None:
-            above = open_.select(*_ADDRESS, F.col("number").alias("_above"))
-            mine, other = (x.withColumn("_above", F.floor(F.col("number") / FANOUT))
-                           .join(above, [*_ADDRESS, "_above"], "left_semi").drop("_above") for x in (mine, other))
-        a = mine.select(*key, F.col("digest").alias("d1"), F.col("content").alias("c1"))
-        b = other.select(*key, F.col("digest").alias("d2"), F.col("content").alias("c2"))
-        open_ = a.join(b, key, "full_outer").where(~F.col("d1").eqNullSafe(F.col("d2")))
-    status = (F.when(F.col("d2").isNull(), "missing").when(F.col("d1").isNull(), "added")
-              .when(F.col("c1") == F.col("c2"), "moved").otherwise("damaged"))
-    return open_.select(*key, status.alias("status"))
+            above = open_.select(*_ADDRESS, F.coalesce("number1", "number2").alias("above"))
+            mine, other = (x.join(above, [*_ADDRESS, "above"], "left_semi") for x in (mine, other))
+        a, b = (x.select(*key, *(F.col(c).alias(f"{c}{i}") for c in ("number", "digest", "content", "copies")))
+                for i, x in ((1, mine), (2, other)))
+        open_ = a.join(b, key, "full_outer").where(~F.col("digest1").eqNullSafe(F.col("digest2")))
+    status = (F.when(F.col("digest2").isNull(), "missing").when(F.col("digest1").isNull(), "added")
+              .when(F.col("content1") != F.col("content2"), "damaged")
+              .when(F.col("copies1") != F.col("copies2"), "copies").otherwise("moved"))
+    return open_.select(*key, F.coalesce("number1", "number2").alias("number"), status.alias("status"))
+
+
+def compared(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Every record of ``ours`` with its status, and those only ``theirs`` has with
+    their places there: two manifests from `lay_out`."""
+    key = [*_ADDRESS, "name"]
+    wrong = stored(audit(tree(ours), tree(theirs)).select(*key, "status"), "differences")
+    mine = ours.join(wrong.where("status <> 'added'"), key, "left").withColumn("status", F.coalesce("status", F.lit("ok")))
+    return mine.unionByName(theirs.join(wrong.where("status = 'added'"), key))
 
 
 def failing(page_id: Column, raw: Column, every: int) -> Column:

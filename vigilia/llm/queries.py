@@ -79,16 +79,10 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive of all pages against a replica in which records have failed."""
     pages = table(spark, sf_dir, "pages").select("page_id", fixity.record(F.col("url"), F.col("html")).alias("raw"))
-    theirs = fixity.failing(F.col("page_id"), F.col("raw"), 50)
-    listed = fixity.manifest(pages, F.sha2(theirs, 256).alias("their_content"),
-                             F.octet_length(theirs).cast("bigint").alias("their_length"))
-    ours = fixity.stored(fixity.lay_out(listed), "records")
-    copy = fixity.placed(ours.drop("content", "length", "start").withColumnsRenamed(
-        {"their_content": "content", "their_length": "length"}))
-    wrong = fixity.audit(fixity.tree(ours), fixity.tree(copy))
-    return ours.join(wrong, ["segment", "part", "number"], "left").select(
-        "page_id", "copies", "segment", "part", "number", "start", "length", F.col("content").alias("record_sha256"),
-        F.coalesce("status", F.lit("ok")).alias("status"))
+    replica = pages.select("page_id", F.sha2("raw", 256).alias("id"), fixity.failing(F.col("page_id"), F.col("raw"), 50).alias("raw"))
+    ours, theirs = (fixity.stored(x, "records") for x in fixity.lay_out(fixity.manifest(pages), fixity.manifest(replica)))
+    return fixity.compared(ours, theirs).select(
+        "page_id", "copies", "segment", "part", "number", "start", "length", F.col("content").alias("record_sha256"), "status")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
