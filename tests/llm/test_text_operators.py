@@ -339,6 +339,22 @@ def test_repeats_of_few_words(spark):
     assert got == brute_repeats(rows)
 
 
+def test_spans_of_a_repeated_row_are_found_once(spark):
+    r = random.Random(12)
+    say = lambda n: " ".join(r.choice("abcdefgh") * r.randint(1, 9) for _ in range(n))
+    passages = [say(60) for _ in range(3)]
+    first = [(i, f"{say(20)} {p} {say(20)}") for i, p in enumerate(passages)]
+    again = " ".join(f"{say(15)} {p}" for p in passages)
+    rows = first + [(9, again)] * 300 + [(9, passages[1] + " other")] * 200
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    spans = [tuple(x) for x in repeats.repeated(repeats.versions(df)).collect()]
+    assert spans and len(spans) == len(set(spans)) and {x[0] for x in spans} == {9}
+    got = repeats.remove_repeats(df).collect()
+    assert len(got) == len(rows)
+    want = {t: brute_repeats(first + [(9, t)])[9] for t in {x[1] for x in rows[3:]}}
+    assert {x.text: (x.n_words, x.n_removed, sha(x.kept_text)) for x in got if x.doc_id == 9} == want
+
+
 def test_span_hashes_depend_on_the_words_only():
     h = arrays.mix(np.arange(50, dtype="u8"))
     twice = np.concatenate((h, h[::-1], h))

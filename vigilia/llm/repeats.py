@@ -251,21 +251,29 @@ def _not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (name[-1], whole[-1], head_d[-1], head_s[-1])
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """Repeated rows once. Only texts whose key comes several times are compared;
+    copies are dropped before they are shuffled."""
+    key = ["doc_id", "version"]
+    several = stored(texts.groupBy(*key).count().where("count > 1").select(*key), "several")
+    return texts.join(several, key, "left_anti").unionByName(texts.join(several, key, "left_semi").dropDuplicates())
+
+
 def repeated(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, version, start, windows): all windows that also start earlier, as
     consecutive ones from word ``start``; ``version`` is the text's hash.
 
     Earlier is a smaller doc_id, or the same and an earlier word. Rows of a null
-    id take no part; a repeated row does not repeat itself. ``texts`` is what
-    `versions` gives.
+    id take no part; a repeated row does not repeat itself, and its windows are
+    given once. ``texts`` is what `versions` gives.
     """
-    found = texts.where("doc_id is not null").mapInArrow(_occurrences(width), f"name bigint, whole bigint, known boolean, {_PLACE}")
+    once = _once(texts.where("doc_id is not null").select("doc_id", "version", "text"))
+    found = once.mapInArrow(_occurrences(width), f"name bigint, whole bigint, known boolean, {_PLACE}")
     judged = stored(found.repartition("name").sortWithinPartitions("name", "whole", "doc_id", "start")
                     .mapInArrow(_later, f"name bigint, {_PLACE}, sure boolean"), "stretches")
     asked = judged.where("not sure").groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("name", "start", "windows")).alias("asked"))
-    # A left join, as the one by which the words are removed: the texts are shuffled once for both.
-    single = (texts.join(asked, ["doc_id", "version"], "left")
+    single = (once.join(asked, ["doc_id", "version"])
               .mapInArrow(_windows(width), "name bigint, whole bigint, doc_id bigint, version int, start int")
               .repartition("name", "whole").sortWithinPartitions("name", "whole", "doc_id", "start")
               .mapInArrow(_not_first, _PLACE))
