@@ -110,6 +110,41 @@ def test_constants_reach_sensitive_names():
     assert literal(SECRETS[13]) == [] and literal(SECRETS[9]) == []
 
 
+@pytest.mark.parametrize("text, want", [
+    ("run --auth=Zx81kQp0LmN4 -v", ["Zx81kQp0LmN4"]), ("run -db-pwd=Zx81kQp0LmN4", ["Zx81kQp0LmN4"]),
+    ("run --verbose --db-pwd Zx81kQp0LmN4", ["Zx81kQp0LmN4"]), ("--auth --db-pwd='Zx81kQp0LmN4'", ["Zx81kQp0LmN4"]),
+    ("cmd = 'run --db-pwd=Zx81kQp0LmN4'", ["Zx81kQp0LmN4"]), ("--env=db_pwd=Zx81kQp0LmN4", ["Zx81kQp0LmN4"]),
+])
+def test_flags_are_read(text, want):
+    assert [text[a:b] for a, b in secrets.added_spans(text)] == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ('password: str = "S3cretPass99"', ["S3cretPass99"]), ('const password: string="S3cretPass99";', ["S3cretPass99"]),
+    ('auth: Optional[str] | None = "S3cretPass99"', ["S3cretPass99"]), ("pwd: Zx81kQp0LmN4==", ["Zx81kQp0LmN4=="]),
+    ('note: str = "db_pwd=Zx81kQp0LmN4"', ["Zx81kQp0LmN4"]),
+])
+def test_types_stand_between_name_and_value(text, want):
+    assert [text[a:b] for a, b in secrets.added_spans(text)] == want
+
+
+@pytest.mark.parametrize("text", ['config["password"] = "S3cretPass99"', "os.environ['API_TOKEN'] = 'S3cretPass99'",
+                                  'a["x"][ "db_pwd" ]\t=\t"S3cretPass99"'])
+def test_subscripts_are_names(text):
+    assert [text[a:b] for a, b in secrets.added_spans(text)] == ["S3cretPass99"]
+
+
+def test_tabs_stand_around_operators():
+    text = 'db_pwd\t=\tZx81kQp0LmN4\nauth:\t"Zx81kQ"\t+\t"p0LmN4vv"'
+    assert [text[a:b] for a, b in secrets.added_spans(text)] == ["Zx81kQp0LmN4", "Zx81kQ", "p0LmN4vv"]
+
+
+def test_quoted_passphrases_of_several_words():
+    text = 'db_passphrase = "correct horse battery staple"\nsalt = "correct horse battery staple"\ntitle = "some other words"'
+    assert [text[a:b] for a, b in secrets.added_spans(text)] == ["correct horse battery staple"]
+    assert secrets.added_spans("password = correct horse battery staple") == []
+
+
 def test_long_names_and_literals_are_lexed_whole():
     name, value = "a" * 90 + "_secret", "Zx9+" * 2_000
     text = f'{name} = "{value}"\nb = "k7Qp" + "k7Qp"\npassword: b'

@@ -1,7 +1,8 @@
 """Secret scan: names and literals lexed from source and configuration text.
 
-A text is read as a stream of ``name = literal`` pairs (source assignments,
-``key: value`` lines, quoted JSON keys, ``export`` and command-line flags).
+A text is read as a stream of ``name = literal`` pairs (source assignments, also
+with a type or to a subscript, ``key: value`` lines, quoted JSON keys, ``export``
+and command-line flags, their value after ``=`` or a space).
 Constants are propagated: in ``a = "x9.."`` followed by ``password = a`` the
 literal is scored under the name ``password`` too, and ``"ab" + "cd"`` or a
 reference to a concatenation counts as one value. A literal is reported when
@@ -37,14 +38,25 @@ SENSITIVE = {
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _STRING = r""""(?:[^"\\\n]|\\.)++"|'(?:[^'\\\n]|\\.)++'"""
+_SPACE = r"[\x20\t]*+"
+_VALUE = rf"(?:{_STRING}|[A-Za-z0-9+/_.=\-]+)(?:{_SPACE}\+{_SPACE}(?:{_STRING}|{_NAME}))*"
+#: A type between name and value; without spaces around the sign only before a quote.
+_PLAIN = r"""[^\[\]"'=:\n]"""
+_TYPE = rf"[A-Za-z_][A-Za-z0-9_.]*+(?:\[(?:{_PLAIN}|\[(?:{_PLAIN}|\[{_PLAIN}*+\])*+\])*+\])?+"
+_TYPED = rf"""(?:{_SPACE}:{_SPACE}(?P<type>{_TYPE}(?:{_SPACE}\|{_SPACE}{_TYPE})*+)(?={_SPACE}=["']|[\x20\t]++=[\x20\t]))?"""
 _PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{_NAME})["']?\x20*(?::=|=>|=|:)\x20*"""
-    rf"""(?P<value>(?:{_STRING}|[A-Za-z0-9+/_.=\-]+)(?:\x20*\+\x20*(?:{_STRING}|{_NAME}))*)""")
+    rf"""(?<![A-Za-z0-9_.\-])-{{0,2}}["']?(?P<name>{_NAME})(?:["'](?:{_SPACE}\])?)?{_TYPED}{_SPACE}(?::=|=>|=|:){_SPACE}"""
+    rf"""(?P<value>{_VALUE})""")
+_FLAG = re.compile(
+    rf"""(?<![A-Za-z0-9_.\-])--?(?P<type>)(?P<name>{_NAME})[\x20\t]++(?![\-=:])(?P<value>{_STRING}|[A-Za-z0-9+/_.=\-]++)""")
+_GAP, _DASHES = re.compile(r"[\x20\t\]]"), re.compile("-*")
 _PART = re.compile(rf"(?P<quoted>{_STRING})|(?P<bare>[A-Za-z0-9+/_.=\-]+)")
 _SENSITIVE_HINT = re.compile("|".join(sorted({k.replace("_", "_?") for k in SENSITIVE}, key=len, reverse=True)),
                              re.ASCII | re.IGNORECASE)
 _LEAST_SCORE = 4.0
 _LEAST_VALUE = 8
+#: Weight of names under which a quoted value of several words counts, with or without a digit.
+_STRONG = 3
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -64,7 +76,7 @@ def name_score(name: str) -> int:
 
 def literal_score(value: str) -> float:
     """0 to 3: Shannon entropy a character, and the kinds of characters mixed."""
-    if len(value) < _LEAST_VALUE or " " in value:
+    if len(value) < _LEAST_VALUE:
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -72,32 +84,57 @@ def literal_score(value: str) -> float:
     return min(3.0, entropy / 2 + 0.5 * (kinds - 1))
 
 
+def _secret(weight: int, value: str, quoted: bool) -> bool:
+    words = len(value.split())
+    if words > 1 and not (quoted and weight >= _STRONG):
+        return False
+    return weight + literal_score(value) >= _LEAST_SCORE and (words > 1 or any(c.isdigit() for c in value))
+
+
 def added_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, directly or by constants."""
+    """Spans of literals that reach a sensitive name, directly or by constants.
+
+    A quoted value that is no secret as a whole is read for pairs and flags itself.
+    """
     if not _SENSITIVE_HINT.search(text):
         return []
-    literals: dict[str, list[tuple[int, int]]] = {}
+    literals: dict[str, list[tuple[int, int, bool]]] = {}
     found = set()
-    for m in _PAIR.finditer(text):
-        own: list[tuple[int, int]] = []
-        for part in _PART.finditer(text, m.start("value"), m.end("value")):
-            start, end = part.span()
-            if part.group() == "+":
-                continue  # joins two parts
-            if part.group("quoted"):
-                own.append((start + 1, end - 1))
-            elif part.group() in literals:
-                own += literals[part.group()]  # a constant named before
-            else:
-                own.append((start, end))
-        own = list(dict.fromkeys(own))  # a constant used twice is one literal
-        literals[m.group("name")] = own
-        weight = name_score(m.group("name"))
-        if weight:
-            # One value may be split over several literals; they score together.
-            whole = "".join(text[a:b] for a, b in own)
-            if weight + literal_score(whole) >= _LEAST_SCORE and any(c.isdigit() for c in whole):
-                found.update(own)
+    todo = [(0, len(text))]
+    while todo:
+        begin, stop = todo.pop()
+        for pattern in (_PAIR, _FLAG):
+            at = begin
+            while m := pattern.search(text, at, stop):
+                at = m.end()
+                own: list[tuple[int, int, bool]] = []
+                for part in _PART.finditer(text, m.start("value"), m.end("value")):
+                    start, end = part.span()
+                    if part.group() == "+":
+                        continue  # joins two parts
+                    if part.group("quoted"):
+                        own.append((start + 1, end - 1, True))
+                    elif part.group() in literals:
+                        own += literals[part.group()]  # a constant named before
+                    else:
+                        own.append((start, end, False))
+                own = list(dict.fromkeys(own))  # a constant used twice is one literal
+                if pattern is _PAIR:
+                    literals[m.group("name")] = own
+                weight = name_score(m.group("name"))
+                # One value may be split over several literals; they score together, or else alone.
+                if weight and _secret(weight, "".join(text[a:b] for a, b, _ in own), all(q for _, _, q in own)):
+                    found.update((a, b) for a, b, _ in own)
+                else:
+                    found.update((a, b) for a, b, q in own if weight and _secret(weight, text[a:b], q))
+                    inside = m.start("value")
+                    todo += [(a, b) for a, b, quoted in own if quoted and inside < a and b < m.end("value")
+                             and _SENSITIVE_HINT.search(text, a, b)]
+                    # What stands after a flag, a space or a subscript may be a name again.
+                    if text[inside] not in "\"'" and (text[m.start()] == "-" or _GAP.search(text, m.end("name"), inside)):
+                        at = inside + len(_DASHES.match(text, inside).group())
+                if weight and m.group("type") and _secret(weight, m.group("type"), False):
+                    found.add(m.span("type"))  # a value may look like a type
     return sorted(found)
 
 
