@@ -27,6 +27,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows written to and read from the shared folder: compressed, read by
+    column, and with a lineage that ends here."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so that a lost executor costs a
     re-read of the written rows and not a replay of every earlier round."""
