@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigilia.llm import ann, bpe, chat, fixity, imatch, neardup, packing, repeats, secrets, toxicity
+from vigilia.llm import ann, bpe, chat, fixity, imatch, neardup, packing, repeats, secrets, toxicity, trie
+from vigilia.llm import sql
 from vigilia.llm.tables import table
 
 
@@ -90,6 +91,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -97,5 +102,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_neardup, op3_chat, op4_imatch, op5_toxicity, op6_bpe, op7_ann, op8_repeats, op9_warc,
-    op10_packing, pipeline)}
-ORACLES: dict[str, str] = {}
+    op10_packing, op11_trie, pipeline)}
+ORACLES: dict[str, str] = {"op11_trie": sql.TRIE}
