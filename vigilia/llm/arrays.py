@@ -77,14 +77,14 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """One uint64 hash per word, eight bytes at a time for all words at once."""
     lengths = ends - starts
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[:len(data)] = data
     eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
     masks = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=U)
-    h = mix(lengths.astype(U) * _M1 + U(1))
+    h = mix(lengths.astype(U) * _M1 + U(1 + seed))
     alive = np.flatnonzero(lengths <= _LONG_WORD)
     at = 0
     while len(alive):
@@ -93,7 +93,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         at += 8
         alive = alive[lengths[alive] > at]
     for i in np.flatnonzero(lengths > _LONG_WORD):
-        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
         h[i] = U(int.from_bytes(digest, "little"))
     return h
 

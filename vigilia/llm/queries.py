@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigilia.llm import ann, bpe, chat, decontaminate, fixity, imatch, neardup, packing, repeats, secrets, toxicity, trie
+from vigilia.llm import ann, bpe, chat, collocations, decontaminate, fixity, imatch, neardup, packing, repeats, secrets, toxicity, trie
 from vigilia.llm import sql
 from vigilia.llm.tables import table
 
@@ -95,6 +95,10 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -109,5 +113,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secrets, op2_neardup, op3_chat, op4_imatch, op5_toxicity, op6_bpe, op7_ann, op8_repeats, op9_warc,
-    op10_packing, op11_trie, op13_decontaminate, pipeline)}
-ORACLES: dict[str, str] = {"op11_trie": sql.TRIE, "op13_decontaminate": sql.LEAKS}
+    op10_packing, op11_trie, op12_collocations, op13_decontaminate,
+    pipeline)}
+ORACLES: dict[str, str] = {"op11_trie": sql.TRIE, "op12_collocations": sql.PHRASES, "op13_decontaminate": sql.LEAKS}

@@ -60,3 +60,37 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
+
+PHRASES = """
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+  FROM documents),
+uni AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(w) AS w FROM piece) GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM uni GROUP BY lang),
+bi AS (
+  SELECT lang, w1, w2, count(*) AS f FROM (
+    SELECT lang, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM piece)) GROUP BY ALL),
+tri AS (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM (
+    SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM piece))
+  GROUP BY ALL HAVING count(*) >= 10),
+longer AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (
+    SELECT lang, w1, w2, f FROM tri UNION ALL SELECT lang, w2, w3, f FROM tri) GROUP BY ALL),
+cuts AS (
+  SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.f AS a, x.f AS l, y.f AS r, 1 AS k
+  FROM bi b JOIN uni x ON x.lang = b.lang AND x.w = b.w1 JOIN uni y ON y.lang = b.lang AND y.w = b.w2
+  LEFT JOIN longer g ON g.lang = b.lang AND g.w1 = b.w1 AND g.w2 = b.w2
+  WHERE b.f >= 10 AND NOT coalesce(100 * g.f >= 50 * b.f, FALSE)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 1
+  FROM tri t JOIN uni x ON x.lang = t.lang AND x.w = t.w1 JOIN bi y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 2
+  FROM tri t JOIN bi x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN uni y ON y.lang = t.lang AND y.w = t.w3),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
