@@ -33,7 +33,7 @@ TOP = 2_000
 #: Share of a phrase's occurrences, in hundredths, that a longer one must have to stand for it.
 INSIDE = 50
 #: N-grams a task holds before it sends them, and expected in a range of keys.
-_HELD, _RANGE = 1_500_000, 500_000
+_HELD, _RANGE = 400_000, 200_000
 #: Bits of a bitmap: 16 for each marked key, within these bounds (8 KB to 32 MB).
 _BITS = (2**16, 2**28)
 #: Words a task remembers to have named.
@@ -59,9 +59,12 @@ class Words:
         salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs], U)
         self.lang = np.repeat(which, self.counts)
         self.ids = mix(arrays.word_hashes(self._data, self._starts, self._ends, seed) ^ salt[self.lang])
-        ends = np.concatenate(([0], np.cumsum(_PIECES[self._data])))
-        text = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.follows = ((ends[self._starts[1:]] == ends[self._ends[:-1]]) & (text[1:] == text[:-1])) if len(text) else np.zeros(0, dtype=bool)
+        self.follows = np.zeros(max(len(self.ids) - 1, 0), dtype=bool)
+        if len(self.follows):
+            ends = np.cumsum(_PIECES[self._data], dtype=np.int32)  # before a word's first byte as with it
+            self.follows = ends[self._starts[1:]] == ends[self._ends[:-1] - 1]
+            last = first[1:-1] - 1
+            self.follows[last[(last >= 0) & (last < len(self.follows))]] = False
 
     def text(self, i: int) -> str:
         return self._data[self._starts[i]:self._ends[i]].tobytes().decode()
