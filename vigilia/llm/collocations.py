@@ -96,45 +96,42 @@ def _spot(lanes: list[np.ndarray]) -> np.ndarray:
     return permute(lanes)[0]
 
 
-_ROWS = "kind tinyint, range bigint, grams binary, id bigint, lang string, word string"
-_NAMES = ["kind", "range", "grams", "id", "lang", "word"]
+def _names(seed: int, marked):
+    """(id, lang, word) of marked words, about once a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, U)
+        for whole in batches:
+            for batch in arrays.slices(whole):
+                w = Words(batch, seed)
+                some = np.flatnonzero(_marked(marked.value, w.ids))
+                ids, first = np.unique(w.ids[some], return_index=True)
+                new = ~np.isin(ids, known, assume_unique=True)
+                ids, first = ids[new], some[first[new]]
+                known = np.union1d(known, ids) if len(known) < _NAMED else ids
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids.view(np.int64)), pa.array([w.langs[x] for x in w.lang[first].tolist()], pa.string()),
+                     pa.array([w.text(i) for i in first.tolist()], pa.string())], ["id", "lang", "word"])
+    return run
 
 
 def _filters(order: int, seed: int, shared: int, marked):
-    """Filters of all n-grams of ``order`` words whose parts are marked, as rows
-    (0, range, grams); of pairs also the words' names (1, id, lang, word)."""
+    """(range, grams): filters of all n-grams of ``order`` words whose parts are marked."""
     def send(parts) -> pa.RecordBatch:
         lanes, counts = merged(parts)
         top = (lanes[0] >> U(64 - shared)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1]))) if len(top) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
         ends = np.append(starts[1:], len(top))
         blobs = [packed([x[a:b] for x in lanes], counts[a:b], shared) for a, b in zip(starts, ends)]
-        none = pa.nulls(len(starts))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(starts), np.int8)), pa.array(top[starts]), pa.array(blobs, pa.binary()),
-             none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.string())], _NAMES)
-
-    def names(w: Words, some: np.ndarray, known: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
-        ids, first = np.unique(w.ids[some], return_index=True)
-        new = ~np.isin(ids, known, assume_unique=True)
-        ids, first = ids[new], some[first[new]]
-        known = np.union1d(known, ids) if len(known) < _NAMED else ids
-        none = pa.nulls(len(ids))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(ids), np.int8)), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(ids.view(np.int64)),
-             pa.array([w.langs[x] for x in w.lang[first].tolist()], pa.string()),
-             pa.array([w.text(i) for i in first.tolist()], pa.string())], _NAMES), known
+        return pa.RecordBatch.from_arrays([pa.array(top[starts]), pa.array(blobs, pa.binary())], ["range", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, size, known = marked.value, [], 0, np.zeros(0, U)
+        bits, held, size = marked.value, [], 0
         for whole in batches:
             for batch in arrays.slices(whole):
                 w = Words(batch, seed)
                 if order == 2:
                     good = _marked(bits, w.ids)
                     at = np.flatnonzero(w.follows & good[1:] & good[:-1]) if len(good) else np.zeros(0, np.int64)
-                    named, known = names(w, np.flatnonzero(good), known)
-                    yield named
                 else:
                     at = np.flatnonzero(w.follows)
                     good = np.zeros(len(w.ids) + 1, dtype=bool)
@@ -198,7 +195,8 @@ def _bitmap(keys: DataFrame, column: str, number: int):
 
 def _grams(rows: DataFrame, order: int, shared: int, least: int) -> DataFrame:
     kinds = ", ".join(f"w{i + 1} bigint" for i in range(order))
-    return stored(rows.where("kind = 0").select("range", "grams").repartition("range").sortWithinPartitions("range")
+    # As many partitions as the ranges ask for: a partition's filters do not grow with the table.
+    return stored(rows.repartition(max(1, (1 << shared) // 8), "range").sortWithinPartitions("range")
                   .mapInArrow(_frequent(order, shared, least), f"{kinds}, spot bigint, n bigint"), f"grams{order}")
 
 
@@ -208,23 +206,26 @@ def counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, D
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     seed = 0
     while True:
-        ids = stored(texts.mapInArrow(_ids(seed), "kind tinyint, id bigint, lang string, n bigint"), "words")
-        langs = stored(ids.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "langs")
+        each = texts.mapInArrow(_ids(seed), "kind tinyint, id bigint, lang string, n bigint")
+        each = stored(each.groupBy("kind", "id", "lang").agg(F.sum("n").alias("n"))
+                      .where((F.col("n") >= least) | (F.col("kind") == 1)), "words")
+        langs = each.where("kind = 1 AND n > 0").select("lang", "n")
         total = langs.agg(F.sum("n")).first()[0] or 0
-        frequent = stored(ids.where("kind = 0").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent")
+        frequent = each.where("kind = 0").select("id", "n")
         shared = min(max(int(total // _RANGE).bit_length(), 1), 40)
         marked = _bitmap(frequent, "id", frequent.count())
-        rows = stored(texts.mapInArrow(_filters(2, seed, shared, marked), _ROWS), "pairs")
         word = F.struct("lang", "word")
-        named = rows.where("kind = 1").groupBy("id").agg(F.min(word).alias("word"), F.max(word).alias("other"))
+        named = texts.mapInArrow(_names(seed, marked), "id bigint, lang string, word string").groupBy("id").agg(
+            F.min(word).alias("word"), F.max(word).alias("other"))
         named = stored(frequent.join(named, "id"), "named")
         if named.where("word <> other").isEmpty():
             break
         seed += 1  # two words, one of them frequent, share an id: other ids
     words = named.select("id", "word.*", "n")
-    pairs = _grams(rows, 2, shared, least)
+    grams = "range bigint, grams binary"
+    pairs = _grams(texts.mapInArrow(_filters(2, seed, shared, marked), grams), 2, shared, least)
     marked = _bitmap(pairs, "spot", pairs.count())
-    triples = _grams(texts.mapInArrow(_filters(3, seed, shared, marked), _ROWS), 3, shared, least)
+    triples = _grams(texts.mapInArrow(_filters(3, seed, shared, marked), grams), 3, shared, least)
     return langs, words, pairs.drop("spot"), triples.drop("spot")
 
 
