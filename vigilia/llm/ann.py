@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 PROJECTIONS = 96
@@ -91,31 +92,37 @@ class Index:
 
 def _pack(size: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a partition as (block, ids, vectors), binary: all in one block with
-        the partition's number, or by ``size``."""
-        ids, vectors = [], []
+        """Rows of a partition as (block, width, ids, vectors), binary, a row for each
+        length of vectors: with the partition's number, or by ``size``."""
+        held: dict[int, tuple[list, list]] = {}
         from pyspark import TaskContext
         task = TaskContext.get().partitionId()
 
-        def block():
+        def blocks():
             return pa.RecordBatch.from_arrays(
-                [pa.array([task], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()),
-                 pa.array([np.concatenate(vectors).tobytes()], pa.binary())], ["block", "ids", "vectors"])
+                [pa.array([task] * len(held), pa.int64()), pa.array(list(held), pa.int64()),
+                 pa.array([np.concatenate(i).tobytes() for i, _ in held.values()], pa.binary()),
+                 pa.array([np.concatenate(v).tobytes() for _, v in held.values()], pa.binary())],
+                ["block", "width", "ids", "vectors"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, size or max(1, batch.num_rows)):
                 part = batch.slice(start, size)
-                ids.append(part.column("vec_id").to_numpy().astype(np.int64))
-                vectors.append(part.column("embedding").flatten().to_numpy().astype(np.float64))
+                widths = pc.list_value_length(part.column("embedding"))
+                for width in pc.unique(widths).to_pylist():
+                    some = part.filter(pc.equal(widths, width))
+                    ids, vectors = held.setdefault(width, ([], []))
+                    ids.append(some.column("vec_id").to_numpy().astype(np.int64))
+                    vectors.append(some.column("embedding").flatten().to_numpy().astype(np.float64))
                 if size:
-                    yield block()
-                    ids, vectors = [], []
-        if ids:
-            yield block()
+                    yield blocks()
+                    held.clear()
+        if held:
+            yield blocks()
     return run
 
 
-_BLOCK = "block bigint, ids binary, vectors binary"
+_BLOCK = "block bigint, width bigint, ids binary, vectors binary"
 
 
 def _search(k: int):
@@ -124,9 +131,9 @@ def _search(k: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                if row["block"] != held:
+                if (row["block"], row["width"]) != held:
                     ids = np.frombuffer(row["ids"], np.int64)
-                    held, index = row["block"], Index(ids, np.frombuffer(row["vectors"]).reshape(len(ids), -1))
+                    held, index = (row["block"], row["width"]), Index(ids, np.frombuffer(row["vectors"]).reshape(len(ids), -1))
                 queries = np.frombuffer(row["query_ids"], np.int64)
                 points = np.frombuffer(row["query_vectors"]).reshape(len(queries), -1)
                 out = [(int(q), d, i) for q, p in zip(queries, points) for d, i in index.search(int(q), p, k)]
@@ -139,36 +146,34 @@ def _search(k: int):
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows with an id and a vector that is not null, empty, zero or holding a null
-    or a value that is not finite; those of the most frequent length only."""
+    or a value that is not finite. Vectors meet those of their own length."""
     v = F.col("embedding").cast("array<double>")
     limit = F.lit(float("inf"))
-    kept = (vectors.select("vec_id", v.alias("embedding"))
+    return (vectors.select("vec_id", v.alias("embedding"))
             .where("vec_id is not null and embedding is not null")
             .where(F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < limit), F.lit(False)))
                    & F.exists("embedding", lambda x: x != 0)))
-    sizes = kept.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows"))
-    best = sizes.orderBy(F.desc("rows"), "n").limit(1).collect()
-    return kept.where(F.size("embedding") == (best[0].n if best else 0))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query.
 
     ``vectors`` and ``queries`` have vec_id and embedding as `usable` gives them.
-    A query's candidates are all rows of another id, all of them if fewer than k;
-    equal distances go by the smaller id; a repeated row counts once.
+    A query's candidates are all rows of another id and its own vector's length, all
+    of them if fewer than k; equal distances go by the smaller id; a repeated row
+    counts once. An id with several vectors asks with each, and is found by its nearest.
     """
     count = -(-vectors.count() // BLOCK)
     if not count:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     blocks = vectors.repartition(count).mapInArrow(_pack(None), _BLOCK)
-    asked = (queries.dropDuplicates(["vec_id"]).mapInArrow(_pack(QUERIES), _BLOCK)
+    asked = (queries.dropDuplicates(["vec_id", "embedding"]).mapInArrow(_pack(QUERIES), _BLOCK)
              .select(F.explode(F.sequence(*(F.lit(x).cast("bigint") for x in (0, count - 1)))).alias("block"),
-                     F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")))
+                     "width", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")))
     # A stated number of partitions: blocks are few bytes and much work, so sizes must not merge them.
-    found = (blocks.repartition(2 * count, "block").join(asked.repartition(2 * count, "block"), "block")
-             .sortWithinPartitions("block")
-             .select("block", "ids", "vectors", "query_ids", "query_vectors")
+    found = (blocks.repartition(2 * count, "block").join(asked.repartition(2 * count, "block"), ["block", "width"])
+             .sortWithinPartitions("block", "width")
+             .select("block", "width", "ids", "vectors", "query_ids", "query_vectors")
              .mapInArrow(_search(k), "query_id bigint, vec_id bigint, score double"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

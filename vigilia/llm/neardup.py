@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from vigilia.llm import arrays
 from vigilia.llm.arrays import U
 from vigilia.llm.components import components
-from vigilia.llm.tables import stored
+from vigilia.llm.tables import shared_ids, stored, text_key
+from vigilia.operators.ranges import running
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -349,8 +350,21 @@ def _intersections(sets: tuple[np.ndarray, ...], left: np.ndarray, right: np.nda
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies of a smaller id; repeated ids once."""
+    """The documents without near copies of a smaller id; repeated rows once.
+
+    A document is an id with its text: texts that share an id are judged each by
+    itself, and count as later than all documents whose id has one text. Null ids
+    are kept. Of rows that differ in other columns only, any one is kept.
+    """
     columns = docs.columns
-    kept = near_duplicates(docs, size, percent).where("kept").select("doc_id").distinct()
-    nulls = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id").select(*columns).dropDuplicates(["doc_id"]).unionByName(nulls)
+    several = shared_ids(docs)
+    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("m")).first()[0]
+    numbered = running(several.withColumn("one", F.lit(1)), ["one"], ["doc_id", "version"], {"n": F.lit(1)}).select(
+        "doc_id", "version", (F.col("n") + F.lit(last)).cast("bigint").alias("_own"))
+    keyed = (docs.where("doc_id is not null").withColumn("version", text_key())
+             .join(numbered, ["doc_id", "version"], "left")
+             .withColumn("_own", F.coalesce("_own", "doc_id")))
+    kept = near_duplicates(keyed.select(F.col("_own").alias("doc_id"), "text"), size, percent)
+    kept = kept.where("kept").select(F.col("doc_id").alias("_own")).distinct()
+    return (keyed.join(kept, "_own").dropDuplicates(["_own", "text"]).select(*columns)
+            .unionByName(docs.where("doc_id is null")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigilia.llm import arrays
 from vigilia.llm.arrays import U
-from vigilia.llm.tables import stored
+from vigilia.llm.tables import shared_ids, stored, text_key
 
 WIDTH = 20
 _CUT = U(24)
@@ -129,7 +129,7 @@ def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return arrays.word_hashes(data, starts, ends), first
 
 
-_PLACE = "doc_id bigint, version int, start int, windows int"
+_PLACE = "doc_id bigint, version bigint, start int, windows int"
 
 
 def _occurrences(width: int):
@@ -274,23 +274,26 @@ def repeated(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     asked = judged.where("not sure").groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("name", "start", "windows")).alias("asked"))
     single = (once.join(asked, ["doc_id", "version"])
-              .mapInArrow(_windows(width), "name bigint, whole bigint, doc_id bigint, version int, start int")
+              .mapInArrow(_windows(width), "name bigint, whole bigint, doc_id bigint, version bigint, start int")
               .repartition("name", "whole").sortWithinPartitions("name", "whole", "doc_id", "start")
               .mapInArrow(_not_first, _PLACE))
     return judged.where("sure").select("doc_id", "version", "start", "windows").unionByName(single)
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """The rows with a short hash of the text: the key of a row is its id and this,
-    should an id come with several texts."""
-    return docs.withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF).cast("int"))
+    """The rows with ``version``: the key of a row is its id and this. It is 0 but
+    for ids that come with several texts, which get their texts' 64-bit hashes."""
+    several = shared_ids(docs).select("doc_id").distinct().withColumn("_several", F.lit(True))
+    return docs.join(several, "doc_id", "left").withColumn(
+        "version", F.when(F.col("_several"), text_key()).otherwise(F.lit(0).cast("bigint"))).drop("_several")
 
 
 def _without(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, counts, gone = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            texts = batch.column("row").field("text").to_pylist()
+            for text, spans in zip(texts, batch.column("spans").to_pylist()):
                 words = (text or "").encode().split()
                 drop = np.zeros(len(words) + 1, np.int64)
                 for s in spans or ():
@@ -300,21 +303,24 @@ def _without(width: int):
                 counts.append(len(words))
                 gone.append(int(out.sum()))
                 kept.append(b" ".join(words if not gone[-1] else [w for w, o in zip(words, out.tolist()) if not o]).decode())
-            others = [c for c in batch.schema.names if c != "spans"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in others), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(kept, pa.string())], [*others, "n_words", "n_removed", "kept_text"])
+                [batch.column("row"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                ["row", "n_words", "n_removed", "kept_text"])
     return run
 
 
 def remove_repeats(docs: DataFrame, *keep: str, width: int = WIDTH) -> DataFrame:
     """``keep`` columns, doc_id and text with n_words, n_removed and kept_text: the
     words left, joined by single spaces. Null and empty texts have no words;
-    texts shorter than a window keep all. Every row of ``docs`` is returned."""
-    columns = list(dict.fromkeys(("doc_id", "text", *keep)))
-    texts = versions(docs.select(*columns))
+    texts shorter than a window keep all. Every row of ``docs`` is returned;
+    columns named as the added ones are replaced by them. An id with several
+    texts stands for each of them; their windows come in one order of starts."""
+    added = ("n_words", "n_removed", "kept_text")
+    columns = [c for c in dict.fromkeys(("doc_id", "text", *keep)) if c not in added]
+    texts = versions(docs.select("doc_id", "text", F.struct(*columns).alias("row")))
     spans = repeated(texts, width).groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("start", "windows")).alias("spans"))
-    rows = texts.join(spans, ["doc_id", "version"], "left").select(*columns, "spans")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return rows.mapInArrow(_without(width), f"{kinds}, n_words bigint, n_removed bigint, kept_text string")
+    rows = texts.join(spans, ["doc_id", "version"], "left").select("row", "spans")
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_without(width), f"row {kind}, n_words bigint, n_removed bigint, kept_text string").select(
+        "row.*", *added)

@@ -159,11 +159,13 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end"
 
 
 def find_secrets(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """``keep`` columns with ``base`` and ``found``: the spans of each whole text.
+    """``keep`` columns with ``base`` and ``found``: the spans of each whole text;
+    columns of those names are replaced.
 
     Null and empty texts have no spans; repeated rows are reported each. One
     pass without a shuffle; memory follows the largest batch of texts.
     """
+    keep = tuple(c for c in keep if c not in ("base", "found"))
     df = docs.select(*keep, docs[text].alias("_text"))
     fields = df.select(*keep).schema
 
@@ -183,7 +185,8 @@ def find_secrets(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every found span replaced by ``[kind]``; overlapping
-    spans become one. Columns stay; ``n_chars`` follows the new text."""
+    spans become one. Returns doc_id, text, lang, source and n_chars, which
+    follows the new text; null texts stay null, other columns are left out."""
     df = docs.select("doc_id", "text", "lang", "source", "n_chars")
 
     def clean(text: str | None) -> str | None:

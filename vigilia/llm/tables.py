@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigilia.sources.work import new_folder
 
@@ -17,3 +17,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_key(text: str = "text") -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def shared_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, version) of the ids that stand for several texts, a row for each
+    text's key: usually none. Only keys are shuffled."""
+    pairs = docs.where("doc_id is not null").select("doc_id", text_key().alias("version")).distinct()
+    ends = pairs.groupBy("doc_id").agg(F.min("version").alias("low"), F.max("version").alias("high")).where("low < high")
+    return stored(pairs.join(ends.select("doc_id"), "doc_id", "left_semi"), "shared")

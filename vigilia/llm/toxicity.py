@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vigilia.llm.arrays import U, mix
-from vigilia.llm.tables import stored
+from vigilia.llm.tables import stored, text_key
 
 #: Labelled texts of each class used for fitting: the bound of the training sample.
 SAMPLE = 3_000
@@ -81,20 +81,22 @@ def _chosen(texts: list, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs // (FEATURES + 1), pairs % (FEATURES + 1)
 
 
-def sample(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` ids of each class, the lowest by a hash of the id: (doc_id, toxic).
+def sample(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """At most ``most`` texts of each class, the lowest by a hash of id and text:
+    (doc_id, version, toxic). An id labelled twice is toxic if one label is; an id
+    with several texts gives each of them.
 
     Hashes are even, so about ``2 * most`` rows of a class lie below the share of
     the hashes that would hold as many; only those are ordered.
     """
-    clean = stored(labelled.where("doc_id is not null and toxic in (0, 1)")
-                   .groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
+    clean = labelled.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    clean = stored(docs.select("doc_id", text_key().alias("version")).join(clean, "doc_id").distinct(), "labels")
+    place = F.pmod(F.xxhash64("doc_id", "version"), F.lit(_PLACES))
     sizes = clean.groupBy("toxic").agg(F.count("*").alias("_rows"))
     near = (clean.join(sizes, "toxic").withColumn("_at", place)
             .where(F.col("_at") < F.lit(2.0 * most * _PLACES) / F.col("_rows")))
-    order = Window.partitionBy("toxic").orderBy("_at", "doc_id")
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", "toxic")
+    order = Window.partitionBy("toxic").orderBy("_at", "doc_id", "version")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", "version", "toxic")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +135,13 @@ def _fit(index: np.ndarray, owner: np.ndarray, y: np.ndarray, ratio: np.ndarray,
 def train(docs: DataFrame, labelled: DataFrame) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic).
 
-    The sample's ids, at most 2 * SAMPLE, are broadcast, so only their texts move.
+    The sample's keys, at most 2 * SAMPLE, are broadcast, so only their texts move.
     Labels that are null or neither 0 nor 1 are left out. Without a labelled text
     of each class every score is 0.5.
     """
-    chosen = F.broadcast(sample(labelled))
-    texts = stored(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic"), "sample")
+    chosen = F.broadcast(sample(docs, labelled))
+    texts = docs.select("doc_id", "text", text_key().alias("version")).join(chosen, ["doc_id", "version"])
+    texts = stored(texts.dropDuplicates(["doc_id", "version"]).select("doc_id", "text", "toxic"), "sample")
     slot = np.zeros(1 << BITS, dtype=np.int16)
     totals = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not (totals.get(0) and totals.get(1)):
@@ -179,7 +182,9 @@ def train(docs: DataFrame, labelled: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a last column ``score`` in [0, 1], from the text
-    alone; null and empty texts get the score of no n-grams. No shuffle."""
+    alone; null and empty texts get the score of no n-grams; a column of that name
+    is replaced. No shuffle."""
+    docs = docs.drop("score")
     slots = np.flatnonzero(model.slot)
     features, weight, bias = model.slot[slots], model.weight, model.bias
 
