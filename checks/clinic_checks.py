@@ -40,7 +40,7 @@ def _alerts_with_assessment(spark, d):
     return asof_join(
         t["alerta_riesgo"].select("id_alerta", "id_paciente", "fecha_generacion"),
         t["aplicacion_escala"], ["id_paciente"], "fecha_generacion", "fecha_aplicacion",
-        "id_aplicacion", ["id_aplicacion", "puntaje_total"], 30 * 86_400)
+        "id_aplicacion", ["id_aplicacion", "puntaje_total"])
 
 
 QUERIES = {

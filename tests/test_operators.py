@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vigilia.operators import overlap, ranking, sequence
+from vigilia.operators import overlap, ranges, ranking, sequence
 from vigilia.operators.numbering import dense_ids
 from vigilia.operators.rounds import accept_in_order, linked_groups
 from vigilia.operators.suppress import KEEP, NEVER, _hand_down, _merge, _step_function, suppress
@@ -52,11 +52,11 @@ def test_top_k_cuts_before_the_shuffle(spark, events):
 
 
 @pytest.mark.parametrize("step", [-1, 1])
-@pytest.mark.parametrize("limit", [20, 100, 20_000])
-def test_shifted_equals_plain_window(spark, events, step, limit):
-    rows, df = events
-    got = {r.id: r.o for r in sequence.shifted(
-        df, ["k"], "ts", "id", "v", "o", step, 6 * 3600, limit).collect()}
+@pytest.mark.parametrize("hot", [0.4, 0.97, 1.0])
+def test_shifted_equals_plain_window(spark, step, hot):
+    rows = make_events(1, hot=hot, span_hours=1 if hot > 0.9 else 240)  # one key in one hour
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v int")
+    got = {r.id: r.o for r in sequence.shifted(df, ["k"], "ts", "id", "v", "o", step).collect()}
     want = {}
     for key in {r[1] for r in rows}:
         mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
@@ -66,14 +66,14 @@ def test_shifted_equals_plain_window(spark, events, step, limit):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [30, 20_000])
-def test_asof_join(spark, events, limit):
-    rows, _ = events
-    lefts = make_events(2, n=200)
+@pytest.mark.parametrize("hot", [0.4, 0.97])
+def test_asof_join(spark, hot):
+    rows = make_events(1, hot=hot, span_hours=2 if hot > 0.9 else 240)
+    lefts = make_events(2, n=200, hot=hot, span_hours=3)
     left = spark.createDataFrame(lefts, "lid long, k long, lts timestamp_ntz, lv int")
     right = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v int")
     got = {r.lid: (r.id, r.v) for r in sequence.asof_join(
-        left, right, ["k"], "lts", "ts", "id", ["id", "v"], 12 * 3600, limit).collect()}
+        left, right, ["k"], "lts", "ts", "id", ["id", "v"]).collect()}
     want = {}
     for lid, key, ts, _v in lefts:
         past = [r for r in rows if r[1] == key and r[2] <= ts]
@@ -172,10 +172,9 @@ def fold(rows, quiet, closed=(), carry=None):
     return set(fired)
 
 
-@pytest.mark.parametrize("seed,hot,limit,closings,carried", [
-    (7, 0.4, 20_000, 0, True), (8, 0.9, 40, 0, True), (9, 0.4, 60, 25, False),
-    (10, 0.9, 10, 60, True), (11, 0.5, 100, 200, False)])
-def test_suppress_equals_the_fold(spark, seed, hot, limit, closings, carried):
+@pytest.mark.parametrize("seed,hot,closings,carried", [
+    (7, 0.4, 0, True), (8, 0.9, 0, True), (9, 0.4, 25, False), (10, 0.9, 60, True), (11, 0.5, 200, False)])
+def test_suppress_equals_the_fold(spark, seed, hot, closings, carried):
     rows = [(i, k, ts) for i, k, ts, _ in make_events(seed, 500, hot, 400, 600)]
     rng = random.Random(seed)
     closed = [(rng.randint(0, 5), T0 + dt.timedelta(seconds=600 * rng.randint(0, 2400)))
@@ -185,17 +184,46 @@ def test_suppress_equals_the_fold(spark, seed, hot, limit, closings, carried):
     fired = suppress(
         spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz"), ["k"], "ts", "id", 86400,
         closed=spark.createDataFrame(closed, schema) if closed else None,
-        carry=spark.createDataFrame(list(carry.items()), schema) if carry else None, limit=limit)
+        carry=spark.createDataFrame(list(carry.items()), schema) if carry else None)
     assert {r.id for r in fired.collect()} == fold(rows, dt.timedelta(days=1), closed, carry)
 
 
 @pytest.mark.parametrize("every,quiet", [(600, 7200), (600, 86400), (7, 7200)])
-def test_suppress_of_a_regular_feed_in_many_chunks(spark, every, quiet):
-    """One key, far more chunks than are merged in one task; equal instants and ties."""
+def test_suppress_of_a_regular_feed_in_many_ranges(spark, every, quiet):
+    """One key, more ranges than are merged in one task; equal instants and ties."""
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
     rows = [(i, 1, T0 + dt.timedelta(seconds=every * (i // 2))) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz").withColumn("tie", F.lit(0))
-    fired = suppress(df, ["k"], "ts", "tie", quiet, limit=20, cell=60)
-    assert {r.id for r in fired.collect()} == fold(rows, dt.timedelta(seconds=quiet), [], None)
+    try:
+        fired = suppress(df, ["k"], "ts", "tie", quiet)
+        assert {r.id for r in fired.collect()} == fold(rows, dt.timedelta(seconds=quiet), [], None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_running_sums(spark):
+    """Keys of any size, null keys too; one key lies in several ranges."""
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]) if i < 500 else i, rng.randint(0, 200), i, rng.choice([None, 1, 2]))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, t long, id long, v long")
+    want = {}
+    for key in {r[0] for r in rows}:
+        total = 0
+        for n, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]), 1):
+            total += r[3] or 0
+            want[r[2]] = (n, total)
+    got = ranges.running(df, ["k"], ["t", "id"], {"n": F.lit(1), "s": F.coalesce("v", F.lit(0))})
+    assert {r.id: (r.n, r.s) for r in got.collect()} == want
+    dealt = ranges.by_ranges(df, ["k"], ["t", "id"]).where("k = 1")
+    assert dealt.select(ranges.RANGE).distinct().count() > 1
+
+
+def test_a_crowded_room_day_lies_in_several_ranges(spark):
+    day = [(i, 1, T0 + dt.timedelta(seconds=7 * i), T0 + dt.timedelta(seconds=7 * i + 100)) for i in range(2_000)]
+    df = spark.createDataFrame(day, "id long, res long, s timestamp_ntz, e timestamp_ntz")
+    got = {r.id: r.n for r in overlap.overlap_counts(df.where("id % 50 = 0"), df, "id", {"n": "res"}, "s", "e").collect()}
+    assert got == {i: sum(s2 < e and e2 > s for _, _, s2, e2 in day) for i, _, s, e in day if i % 50 == 0}
 
 
 def test_merged_steps_equal_one_after_the_other():

@@ -2,8 +2,8 @@
 
 Counting: the stored intervals overlapping ``[s, e)`` number "starts before e"
 minus "ends by s". Both are running counts over one time-ordered union, taken
-per (resource, day) and offset by the days before, so a resource holding a
-third of all intervals is spread over as many tasks as it has days.
+over ranges of (resource, time) of even size, so a resource holding a third of
+all intervals, or one crowded day, is spread over as many tasks as it has ranges.
 
 Lowest key: a minimum cannot be subtracted, so time is cut into dyadic nodes,
 (level k, n) being ``[n * 2^k, (n + 1) * 2^k)``. Every interval is a disjoint
@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilia.functions.clock import epoch_micros
+from vigilia.operators.ranges import running
 
 _UNITS = (60_000_000, 1_000_000, 1_000, 1)
 
@@ -130,27 +131,13 @@ def overlap_hits(asked: DataFrame, stored: DataFrame, key: str, resources: Mappi
     near = _near(located(stored.where(forward)), asked, place, start, end)
     nobody = F.lit(None).cast(asked.schema[key].dataType)
     line = points(near, 2, 0, nobody, 1).unionByName(points(asked, 1, 1, F.col(key), 0)).select(
-        *place, key, "_t", "_rank", "_end", F.to_date("_t").alias("_day"),
+        *place, key, "_t", "_rank", "_end",
         F.when(F.col("_end"), 0).otherwise(F.col("_w")).alias("_starts"),
         F.when(F.col("_end"), F.col("_w")).otherwise(0).alias("_ends"))
-    days_before = Window.partitionBy(*place).orderBy("_day").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (
-        line.groupBy(*place, "_day").agg(F.sum("_starts").alias("_s"), F.sum("_ends").alias("_e"))
-        .select(*place, "_day",
-                F.coalesce(F.sum("_s").over(days_before), F.lit(0)).alias("_starts_before"),
-                F.coalesce(F.sum("_e").over(days_before), F.lit(0)).alias("_ends_before"))
-    )
-    so_far = Window.partitionBy(*place, "_day").orderBy("_t", "_rank").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    answered = (
-        line.withColumns({"_starts": F.sum("_starts").over(so_far),
-                          "_ends": F.sum("_ends").over(so_far)})
-        .where(F.col("_rank") == 1).join(offsets, [*place, "_day"])
-    )
+    answered = running(line, place, ["_t", "_rank"], {
+        "_begun": F.col("_starts"), "_over": F.col("_ends")}).where(F.col("_rank") == 1)
     # Asked at its end: starts so far. Asked at its start: ends so far.
-    count = F.when(F.col("_end"), F.col("_starts") + F.col("_starts_before")).otherwise(
-        -F.col("_ends") - F.col("_ends_before"))
+    count = F.when(F.col("_end"), F.col("_begun")).otherwise(-F.col("_over"))
     totals = [F.sum(F.when(F.col("_kind") == i, count).otherwise(0)).alias(out)
               for i, out in enumerate(resources)]
     return answered.groupBy(key).agg(*totals).where(

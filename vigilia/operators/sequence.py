@@ -1,73 +1,24 @@
-"""Ordered operators that survive a key holding a large part of the table.
-
-A window sorts a whole key in one task, which suits nearly every key. A hot key
-(see `hot_keys`) is cut into time chunks of ``width`` seconds instead: windows
-run per (key, chunk), one summary row per chunk carries the value across the
-chunk border, and only those summary rows are ever ordered per key.
+"""Ordered operators whose work is split evenly whatever the sizes of the keys:
+see `ranges`, the one path that all keys take.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from vigilia.functions.clock import epoch_seconds
-from vigilia.operators.hot import LIMIT, hot_keys, only, without
-
-_CHUNK = "_chunk"
-
+from pyspark.sql import DataFrame, Window, functions as F
 
-def chunk_of(ts: Column, width: int) -> Column:
-    return F.floor(epoch_seconds(ts) / F.lit(width))
+from vigilia.operators.ranges import latest, moved
 
 
-def shifted(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, out: str,
-            step: int, width: int, limit: int = LIMIT) -> DataFrame:
+def shifted(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, out: str, step: int) -> DataFrame:
     """Value of the previous (``step=-1``) or next (``step=1``) row of the key
-    in (ts, tie) order. Keys must not be NULL."""
-    hot = hot_keys(df, keys, limit)
-    whole = Window.partitionBy(*keys).orderBy(ts, tie)
-    move = F.lag(value) if step < 0 else F.lead(value)
-    ordinary = without(df, hot, keys).withColumn(out, move.over(whole))
-    if hot is None:
-        return ordinary
-    return ordinary.unionByName(
-        _shifted_chunks(only(df, hot, keys), keys, ts, tie, value, out, step, width))
-
-
-def _shifted_chunks(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, out: str,
-                    step: int, width: int) -> DataFrame:
-    chunked = df.withColumn(_CHUNK, chunk_of(F.col(ts), width))
-    inner = Window.partitionBy(*keys, _CHUNK).orderBy(ts, tie)
-    outer = Window.partitionBy(*keys).orderBy(_CHUNK)
-    position = F.struct(F.col(ts), F.col(tie))
-    edge_value = F.struct(F.col(value).alias("v"))
-    if step < 0:
-        moved = F.lag(value).over(inner)
-        at_edge = F.row_number().over(inner) == 1
-        edge = F.max_by(edge_value, position)
-        carried = F.lag("_edge").over(outer)
-    else:
-        moved = F.lead(value).over(inner)
-        at_edge = F.lead(F.lit(1)).over(inner).isNull()
-        edge = F.min_by(edge_value, position)
-        carried = F.lead("_edge").over(outer)
-    edges = (
-        chunked.groupBy(*keys, _CHUNK).agg(edge.alias("_edge"))
-        .select(*keys, _CHUNK, carried["v"].alias("_carried"))
-    )
-    return (
-        chunked.withColumns({"_moved": moved, "_at_edge": at_edge})
-        .join(edges, [*keys, _CHUNK])
-        .withColumn(out, F.when(F.col("_at_edge"), F.col("_carried")).otherwise(F.col("_moved")))
-        .select(*df.columns, out)
-    )
+    in (ts, tie) order."""
+    return moved(df, keys, [ts, tie], value, out, step)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
-              right_tie: str, payload: Sequence[str], width: int,
-              limit: int = LIMIT) -> DataFrame:
+              right_tie: str, payload: Sequence[str]) -> DataFrame:
     """Every left row with the latest right row of its key at or before it.
 
     Equal right times go to the highest ``right_tie``; left rows without a
@@ -86,36 +37,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: s
         *keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(right_tie).alias("_tie"),
         none.cast(lefts.schema["_row"].dataType).alias("_row"), value.alias("_value"),
     )
-    both = lefts.unionByName(rights)
-    hot = hot_keys(both.select(*keys), keys, limit)
-    order = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ordinary = without(both, hot, keys).withColumn(
-        "_found", F.last("_value", ignorenulls=True).over(order)).where(F.col("_side") == 1)
-    matched = ordinary.select("_row", "_found")
-    if hot is not None:
-        matched = matched.unionByName(
-            _asof_chunks(only(both, hot, keys), keys, width).select("_row", "_found"))
-    return matched.select("_row.*", *[F.col("_found")[c].alias(c) for c in payload])
-
-
-def _asof_chunks(both: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    both = both.withColumn(_CHUNK, chunk_of(F.col("_t"), width))
-    inner = (Window.partitionBy(*keys, _CHUNK).orderBy("_t", "_side", "_tie")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    outer = (Window.partitionBy(*keys).orderBy(_CHUNK)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    edges = (
-        both.groupBy(*keys, _CHUNK)
-        .agg(F.max_by("_value", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_edge"))
-        .select(*keys, _CHUNK, F.last("_edge", ignorenulls=True).over(outer).alias("_carried"))
-    )
-    return (
-        both.withColumn("_found", F.last("_value", ignorenulls=True).over(inner))
-        .where(F.col("_side") == 1)
-        .join(edges, [*keys, _CHUNK])
-        .withColumn("_found", F.coalesce("_found", "_carried"))
-    )
+    found = latest(lefts.unionByName(rights), keys, ["_t", "_side", "_tie"], "_value", "_found")
+    return found.where("_side = 1").select("_row.*", *[F.col("_found")[c].alias(c) for c in payload])
 
 
 def nearest_daily(scans: DataFrame, schedule: DataFrame, key: str, second: str, slot: str,

@@ -4,16 +4,16 @@ A candidate fires when no still-active alert of its key fired within the last
 ``quiet`` seconds. Suppressed candidates do not extend the quiet period, and
 closing an alert re-opens the gate.
 
-Ordinary keys are folded in the JVM over one sorted array each. A hot key (see
-`hot_keys`) is cut into time chunks of about ``limit`` moments. Pass one turns
-every chunk into a step function "last active alert on entry -> last active
-alert on exit", independently of all other chunks. Pass two merges those
-functions up a tree, ``FAN`` neighbours in a task, and hands the true entries
-down the same tree. Pass three replays every chunk with its true entry. So a key
-holding a third of all candidates is worked on by as many tasks as it has
-chunks, and no task holds the functions of more than ``FAN`` of them. A function
-is kept for entries from before its chunk only: its steps number at most the
-moments of a chunk or, merged, of one quiet period.
+Distinct instants are dealt by (key, instant) into ranges of even size (see
+`ranges`), whatever the keys. Keys that lie in one range are folded there. Of a
+key that goes on into other ranges, pass one turns the part in each range into a
+step function "last active alert on entry -> last active alert on exit",
+independently of all others. Pass two merges those functions up a tree, ``FAN``
+neighbours in a task, and hands the true entries down the same tree. Pass three
+replays every part with its true entry. No task holds more than a range or the
+functions of ``FAN`` of them. A function is kept for entries from before its
+range only: its steps number at most the moments of a range or, merged, of one
+quiet period.
 """
 
 from __future__ import annotations
@@ -22,128 +22,97 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vigilia.functions.clock import epoch_micros
-from vigilia.operators.hot import LIMIT, hot_keys, only, without
+from vigilia.operators.ranges import RANGE, borders, by_ranges
 from vigilia.sources.work import materialise
 
 NEVER = int(np.iinfo(np.int64).min)
 #: As an exit: the entry is returned. As a step's end: all later entries.
 KEEP = int(np.iinfo(np.int64).max)
 FAN = 8
-CELL = 3_600
 
 
 def suppress(df: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet: int,
-             closed: DataFrame | None = None, carry: DataFrame | None = None,
-             limit: int = LIMIT, cell: int = CELL) -> DataFrame:
+             closed: DataFrame | None = None, carry: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` that fire.
 
     ``closed`` (keys + ``ts``) ends every active alert of the key at that
     moment; a candidate at the very same moment comes after it. ``carry``
     (keys + ``ts``) gives the key's last active alert from before the batch.
-    Equal candidate times are taken in ``tie`` order. Keys must not be NULL.
-    Chunk borders of hot keys fall between cells of ``cell`` seconds.
+    Equal candidate times are taken in ``tie`` order. Keys must not be NULL; a
+    candidate without a time never fires.
     """
     gap = quiet * 1_000_000
     keys = list(keys)
     starts = None if carry is None else carry.groupBy(*keys).agg(
         F.max(epoch_micros(F.col(ts))).alias("_exit"))
-    moments = df.select(*keys, ts)
-    if closed is not None:
-        moments = moments.unionByName(closed.select(*keys, ts))
-    hot = hot_keys(moments, keys, limit)
-    ordinary = _fold(
-        without(df, hot, keys), None if closed is None else without(closed, hot, keys),
-        keys, ts, tie, gap, starts)
-    if hot is None:
-        return ordinary
-    large = _fold_chunks(
-        only(df, hot, keys), None if closed is None else only(closed, hot, keys),
-        keys, ts, tie, gap, starts, limit, cell)
-    return ordinary.unionByName(large)
-
-
-def _fold(df: DataFrame, closed: DataFrame | None, keys: list[str], ts: str, tie: str, gap: int,
-          starts: DataFrame | None) -> DataFrame:
-    """Fired rows of keys that fit one array."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    line = df.select(*keys, F.struct(
-        epoch_micros(F.col(ts)).alias("us"), F.lit(True).alias("candidate"),
-        F.col(tie).alias("tie"), row.alias("row")).alias("_x"))
-    if closed is not None:
-        kind = line.schema["_x"].dataType
-        line = line.unionByName(closed.select(*keys, F.struct(
-            epoch_micros(F.col(ts)).alias("us"), F.lit(False).alias("candidate"),
-            F.lit(None).cast(kind["tie"].dataType).alias("tie"),
-            F.lit(None).cast(kind["row"].dataType).alias("row")).alias("_x")))
-    lines = line.groupBy(*keys).agg(F.array_sort(F.collect_list("_x")).alias("_line"))
-    if starts is not None:
-        lines = lines.join(starts, keys, "left")
-    else:
-        lines = lines.withColumn("_exit", F.lit(None).cast("bigint"))
-
-    def state(last: Column, fired: Column) -> Column:
-        return F.struct(last.alias("last"), fired.alias("fired"))
-
-    def step(acc: Column, x: Column) -> Column:
-        closes = ~x["candidate"] & (x["us"] > acc["last"])
-        fires = x["candidate"] & (acc["last"].isNull() | (x["us"] > acc["last"] + gap))
-        return (F.when(closes, state(F.lit(None).cast("bigint"), acc["fired"]))
-                .when(fires, state(x["us"], F.array_append(acc["fired"], x["row"])))
-                .otherwise(acc))
-
-    none_yet = F.filter(F.transform("_line", lambda x: x["row"]), lambda _: F.lit(False))
-    start = state(F.col("_exit"), none_yet)
-    return lines.select(F.explode(F.aggregate("_line", start, step)["fired"]).alias("_row")).select(
-        "_row.*")
-
-
-def _fold_chunks(df: DataFrame, closed: DataFrame | None, keys: list[str], ts: str, tie: str,
-                 gap: int, starts: DataFrame | None, limit: int, cell: int) -> DataFrame:
-    """Fired rows of hot keys."""
     at = epoch_micros(F.col(ts)).alias("_us")
-    # Of candidates at one instant only the first can fire, so the timeline
-    # needs distinct instants only.
+    # Of candidates at one instant only the first can fire, so distinct instants do.
     moments = df.select(*keys, at, F.lit(False).alias("_reset"))
     if closed is not None:
         moments = moments.unionByName(closed.select(*keys, at, F.lit(True).alias("_reset")))
-    moments = moments.distinct().withColumn(
-        "_cell", F.floor(F.col("_us") / F.lit(cell * 1_000_000)))
-    moments = moments.join(_chunks(moments, keys, limit), [*keys, "_cell"])
-    fired = _fold_large(moments, df, keys, gap, starts)
+    # By instant alone: a closing and a candidate of one instant must not be parted.
+    ranged = by_ranges(moments.where("_us IS NOT NULL").distinct(), keys, ["_us"])
+    before = Window.orderBy(RANGE)
+    crossing = (borders(ranged, keys).withColumn("_before", F.lag("_high").over(before))
+                .where(F.col("_before") == F.col("_low")).select("_low.*").distinct())
+    # As many keys as there are ranges at most.
+    small = ranged.join(F.broadcast(crossing), keys, "left_anti")
+    large = ranged.join(F.broadcast(crossing), keys, "left_semi").withColumnRenamed(RANGE, "_chunk")
+    fired = _fold(small, keys, gap, starts).unionByName(_fold_large(large, df, keys, gap, starts))
     first = df.withColumn("_us", epoch_micros(F.col(ts))).join(fired, [*keys, "_us"], "left_semi")
     return first.groupBy(*keys, "_us").agg(
         F.min(F.struct(F.col(tie).alias("tie"), F.struct(*df.columns).alias("row"))).alias("_first")
     ).select("_first.row.*")
 
 
-def _chunks(moments: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """(keys, _cell, _chunk): cells in time order, about ``limit`` moments a chunk."""
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        moments.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(*keys, "_cell", F.floor(F.col("_before") / F.lit(limit)).alias("_chunk"))
-    )
+def _ddl(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _fold(moments: DataFrame, keys: list[str], gap: int, starts: DataFrame | None) -> DataFrame:
+    """(keys, _us) fired by keys that lie in one range."""
+    if starts is None:
+        entered = moments.withColumn("_entry", F.lit(NEVER))
+    else:
+        entered = moments.join(starts, keys, "left").withColumn("_entry", F.coalesce("_exit", F.lit(NEVER)))
+    return entered.select(RANGE, *keys, "_us", "_reset", "_entry").groupBy(RANGE).applyInPandas(
+        lambda pdf: _fold_range(pdf, keys, gap), f"{_ddl(moments, keys)}, _us bigint")
+
+
+def _fold_range(pdf: pd.DataFrame, keys: list[str], gap: int) -> pd.DataFrame:
+    group = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+    us, reset = pdf["_us"].to_numpy(np.int64), pdf["_reset"].to_numpy(bool)
+    order = np.lexsort((~reset, us, group))
+    fired, current, last = [], None, NEVER
+    columns = (x[order].tolist() for x in (group, us, reset, pdf["_entry"].to_numpy(np.int64)))
+    for i, g, t, closes, entry in zip(order.tolist(), *columns):
+        if g != current:
+            current, last = g, entry
+        if closes:
+            last = NEVER if t > last else last
+        elif last == NEVER or t > last + gap:
+            fired.append(i)
+            last = t
+    return pdf.iloc[fired][[*keys, "_us"]]
 
 
 def _fold_large(moments: DataFrame, df: DataFrame, keys: list[str], gap: int,
                 starts: DataFrame | None) -> DataFrame:
-    """(keys, _us) fired by keys cut into chunks."""
-    ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    moments = materialise(moments.select(*keys, "_us", "_reset", "_chunk"))
-    last = moments.agg(F.max("_chunk")).first()[0] or 0
+    """(keys, _us) fired by keys cut into chunks, one for each range they lie in."""
+    ddl = _ddl(df, keys)
     known = moments.select(*keys).distinct()
     if starts is None:
         roots = known.withColumn("_entry", F.lit(NEVER))
     else:
         roots = known.join(starts, keys, "left").select(
             *keys, F.coalesce("_exit", F.lit(NEVER)).alias("_entry"))
-    steps = moments.join(roots, keys).groupBy(*keys, "_chunk").applyInPandas(
+    steps = moments.join(F.broadcast(roots), keys).groupBy(*keys, "_chunk").applyInPandas(
         lambda pdf: _step_function(pdf, keys, gap), f"{ddl}, {_STEP}")
-    entries = _entries(materialise(steps), keys, ddl, last + 1, roots)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = _entries(steps, keys, ddl, ranges, roots)
     return moments.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
         lambda pdf: _replay(pdf, keys, gap), f"{ddl}, _us bigint")
 
@@ -153,11 +122,12 @@ _STEP = "_chunk bigint, _asked bigint, _upto bigint, _exit bigint"
 
 def _entries(steps: DataFrame, keys: list[str], ddl: str, chunks: int, roots: DataFrame) -> DataFrame:
     """(keys, _chunk, _entry): the true entry of every chunk; ``chunks`` bounds their numbers."""
-    if chunks <= 1:
-        return steps.select(*keys, "_chunk").distinct().join(roots, keys)
-    grouped = steps.withColumn("_group", F.floor(F.col("_chunk") / F.lit(FAN)))
-    merged = materialise(grouped.groupBy(*keys, "_group").applyInPandas(
-        lambda pdf: _merge(pdf, keys), f"{ddl}, {_STEP}"))
+    if chunks <= FAN:
+        return steps.join(F.broadcast(roots), keys).groupBy(*keys).applyInPandas(
+            lambda pdf: _hand_down(pdf, keys), f"{ddl}, _chunk bigint, _entry bigint")
+    grouped = materialise(steps.withColumn("_group", F.floor(F.col("_chunk") / F.lit(FAN))))
+    merged = grouped.groupBy(*keys, "_group").applyInPandas(
+        lambda pdf: _merge(pdf, keys), f"{ddl}, {_STEP}")
     above = _entries(merged, keys, ddl, -(-chunks // FAN), roots).withColumnRenamed("_chunk", "_group")
     return grouped.join(above, [*keys, "_group"]).groupBy(*keys, "_group").applyInPandas(
         lambda pdf: _hand_down(pdf, keys), f"{ddl}, _chunk bigint, _entry bigint")

@@ -105,8 +105,9 @@ def zone_exit_alerts(gps: DataFrame, t: Tables, closed: DataFrame | None = None,
     assessment at that time, with the coordinates."""
     # Few rows, looked at more than once by the join: worked out once.
     fired = materialise(zone_exits(gps, closed, active))
-    linked = asof_join(fired, t["aplicacion_escala"], ["id_paciente"], "timestamp_evento",
-                       "fecha_aplicacion", "id_aplicacion", ["id_aplicacion"], 30 * DAY)
+    taken = t["aplicacion_escala"].join(fired.select("id_paciente").distinct(), "id_paciente", "left_semi")
+    linked = asof_join(fired, taken, ["id_paciente"], "timestamp_evento",
+                       "fecha_aplicacion", "id_aplicacion", ["id_aplicacion"])
     return linked.select(
         "id_paciente", "id_aplicacion", F.lit(ZONE_EXIT).alias("tipo_alerta"),
         F.lit("Grave").alias("nivel_severidad"),

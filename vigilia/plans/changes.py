@@ -13,6 +13,7 @@ Identity columns of new rows are not requested; defaults of the tables
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -33,10 +34,39 @@ LONGEST_SESSION = 480
 
 @dataclass
 class Result:
-    tables: dict[str, DataFrame]
+    """``tables`` and ``created`` may be worked out when first looked into."""
+
+    tables: Mapping[str, DataFrame]
     outcome: DataFrame
     audit: DataFrame | None = None
-    created: dict[str, DataFrame] = field(default_factory=dict)
+    created: Mapping[str, DataFrame] = field(default_factory=dict)
+
+
+class _Later(Mapping):
+    """Tables made on first use: numbering new rows runs a job, which a caller
+    who asks for the outcome only does not need."""
+
+    def __init__(self, make: Callable[[], dict[str, DataFrame]]):
+        self._make, self._made = make, None
+
+    def _all(self) -> dict[str, DataFrame]:
+        if self._made is None:
+            self._made = self._make()
+        return self._made
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._all()[name]
+
+    def __iter__(self):
+        return iter(self._all())
+
+    def __len__(self) -> int:
+        return len(self._all())
+
+
+def _appended(t: Tables, created: Mapping[str, DataFrame]) -> Mapping[str, DataFrame]:
+    """The snapshots: stored tables with their new rows."""
+    return _Later(lambda: {name: t[name].unionByName(rows) for name, rows in created.items()})
 
 
 def _outcome(df: DataFrame, failure: Column, success: Column) -> DataFrame:
@@ -120,11 +150,9 @@ def append(t: Tables, table: str, key: str, requests: DataFrame, as_of, success:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast(t[table].schema[c].dataType))
     rows = _checked(rows, t, table, as_of, columns)
-    accepted = dense_ids(rows.where(F.col("_error").isNull()), "change_id", key,
-                         highest(t[table], key))
-    added = accepted.select(*t[table].columns)
-    return Result({table: t[table].unionByName(added)},
-                  _outcome(rows, F.col("_error"), F.lit(success)), created={table: added})
+    created = _Later(lambda: {table: dense_ids(
+        rows.where(F.col("_error").isNull()), "change_id", key, highest(t[table], key)).select(*t[table].columns)})
+    return Result(_appended(t, created), _outcome(rows, F.col("_error"), F.lit(success)), created=created)
 
 
 def add_checkins(t: Tables, requests: DataFrame, as_of) -> Result:
@@ -165,18 +193,17 @@ def admit_residents(t: Tables, requests: DataFrame, as_of) -> Result:
     accepted = dense_ids(rows.where(F.col("_error").isNull()), "change_id", "id_residente",
                          highest(t["residente"], "id_residente"))
     residents = accepted.select(*t["residente"].columns)
-    carers = dense_ids(accepted.where(F.col("id_cuidador").isNotNull()), "change_id",
-                       "id_asignacion", highest(t["asignacion"], "id_asignacion")).select(
+    created = _Later(lambda: {"residente": residents, "asignacion": dense_ids(
+        accepted.where(F.col("id_cuidador").isNotNull()), "change_id",
+        "id_asignacion", highest(t["asignacion"], "id_asignacion")).select(
         "id_asignacion", "id_residente", F.col("id_cuidador").alias("id_staff"),
         F.lit("Cuidador").alias("tipo_rol"), today.alias("fecha_inicio"),
-        F.lit(None).cast("date").alias("fecha_fin"), F.lit(True).alias("es_principal"))
+        F.lit(None).cast("date").alias("fecha_fin"), F.lit(True).alias("es_principal"))})
     ids = accepted.select("change_id", "id_residente")
     outcome = _outcome(
         rows.join(ids, "change_id", "left"), F.col("_error"),
         F.concat(F.lit("Residente registrado con ID "), F.col("id_residente").cast("string")))
-    return Result({"residente": t["residente"].unionByName(residents),
-                   "asignacion": t["asignacion"].unionByName(carers)},
-                  outcome, created={"residente": residents, "asignacion": carers})
+    return Result(_appended(t, created), outcome, created=created)
 
 
 def _free_names(pdf: pd.DataFrame) -> list:
@@ -229,16 +256,16 @@ def hire_staff(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST) ->
     accepted = dense_ids(rows.where(F.col("_error").isNull()), "change_id", "id_staff",
                          highest(t["staff"], "id_staff"))
     staff = accepted.select(*t["staff"].columns)
-    users = dense_ids(accepted, "change_id", "id_usuario",
-                      highest(t["usuario_sistema"], "id_usuario")).select(
-        "id_usuario", "username", "password_hash", "id_staff", F.lit(True).alias("activo"),
-        F.lit(None).cast("timestamp_ntz").alias("ultimo_login"))
+    # One numbering for both: the users follow the staff.
+    first, last = (highest(t[x], k) for x, k in (("staff", "id_staff"), ("usuario_sistema", "id_usuario")))
+    users = accepted.select(
+        (F.col("id_staff") - first + last).cast("bigint").alias("id_usuario"), "username", "password_hash", "id_staff",
+        F.lit(True).alias("activo"), F.lit(None).cast("timestamp_ntz").alias("ultimo_login"))
+    created = {"staff": staff, "usuario_sistema": users}
     outcome = _outcome(
         rows.join(accepted.select("change_id", "id_staff"), "change_id", "left"), F.col("_error"),
         F.concat(F.lit("Personal registrado con ID "), F.col("id_staff").cast("string")))
-    return Result({"staff": t["staff"].unionByName(staff),
-                   "usuario_sistema": t["usuario_sistema"].unionByName(users)},
-                  outcome, created={"staff": staff, "usuario_sistema": users})
+    return Result(_appended(t, created), outcome, created=created)
 
 
 # --- C3: guarded updates ---------------------------------------------------
@@ -498,11 +525,9 @@ def book_sessions(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST)
         F.col("_error")))
     booked = rows.where(F.col("_failure").isNull()).withColumns({
         "asistio": F.lit(True), "notas": F.lit(None).cast("string")})
-    added = dense_ids(booked, "change_id", "id_sesion", highest(stored, "id_sesion")).select(
-        *stored.columns)
-    return Result({"sesion_terapia": stored.unionByName(added)},
-                  _outcome(rows, F.col("_failure"), F.lit(BOOKED)),
-                  created={"sesion_terapia": added})
+    created = _Later(lambda: {"sesion_terapia": dense_ids(
+        booked, "change_id", "id_sesion", highest(stored, "id_sesion")).select(*stored.columns)})
+    return Result(_appended(t, created), _outcome(rows, F.col("_failure"), F.lit(BOOKED)), created=created)
 
 
 # --- C8: medication by tag scan --------------------------------------------
@@ -527,16 +552,20 @@ def confirm_medication(t: Tables, scans: DataFrame, as_of, wrap: bool = True) ->
         F.when(F.col("id_tag").isNull(), F.lit(UNKNOWN_TAG)),
         F.when(F.col("id_horario").isNull(), F.lit(NO_SCHEDULE)),
         F.when(F.col("_known").isNull(), F.lit(ERROR + "id_cuidador_referencia"))))
-    done = dense_ids(rows.where(F.col("_failure").isNull()), "change_id", "id_log",
-                     highest(t["log_medicamento"], "id_log"))
-    done = dense_ids(done, "change_id", "id_evento", highest(t["nfc_evento"], "id_evento"))
-    logs = done.select("id_log", "id_horario", F.col("id_staff").alias("id_cuidador"),
-                       F.col("escaneado_en").alias("fecha_administracion"),
-                       F.lit(None).cast("string").alias("incidente"))
-    events = done.select("id_evento", "id_tag", "id_staff", "escaneado_en",
-                         F.col("id_log").alias("id_log_med"))
+
+    def logged() -> dict[str, DataFrame]:
+        # One numbering for the doses and the scans that gave them.
+        done = dense_ids(rows.where(F.col("_failure").isNull()), "change_id", "_number", F.lit(0)).withColumns({
+            "id_log": F.col("_number") + highest(t["log_medicamento"], "id_log"),
+            "id_evento": F.col("_number") + highest(t["nfc_evento"], "id_evento")})
+        return {
+            "log_medicamento": done.select(
+                "id_log", "id_horario", F.col("id_staff").alias("id_cuidador"),
+                F.col("escaneado_en").alias("fecha_administracion"), F.lit(None).cast("string").alias("incidente")),
+            "nfc_evento": done.select("id_evento", "id_tag", "id_staff", "escaneado_en",
+                                      F.col("id_log").alias("id_log_med"))}
+
+    created = _Later(logged)
     outcome = _outcome(rows, F.col("_failure"), F.concat(
         F.lit("Medicamento registrado para residente ID "), F.col("id_residente").cast("string")))
-    return Result({"log_medicamento": t["log_medicamento"].unionByName(logs),
-                   "nfc_evento": t["nfc_evento"].unionByName(events)},
-                  outcome, created={"log_medicamento": logs, "nfc_evento": events})
+    return Result(_appended(t, created), outcome, created=created)

@@ -60,14 +60,14 @@ def mood_trend(t: Tables, ordered: bool = True) -> DataFrame:
     return _sorted(out, ordered, F.asc("id_paciente"), F.asc("mes"))
 
 
-def score_change(t: Tables, ordered: bool = True, chunk_days: int = 30) -> DataFrame:
+def score_change(t: Tables, ordered: bool = True) -> DataFrame:
     """Q2: change of every assessment score against the previous one of the
     same patient and scale; the first has none."""
     a = t["aplicacion_escala"].select(
         "id_paciente", "id_escala", "fecha_aplicacion", "id_aplicacion", "puntaje_total",
         "nivel_riesgo")
     moved = shifted(a, ["id_paciente", "id_escala"], "fecha_aplicacion", "id_aplicacion",
-                    "puntaje_total", "_before", -1, chunk_days * clock.SECONDS_PER_DAY)
+                    "puntaje_total", "_before", -1)
     out = (
         moved.join(t["escala_clinica"].select("id_escala", "nombre_escala"), "id_escala")
         .join(_patients(t), "id_paciente")
@@ -216,8 +216,7 @@ def out_of_zone(t: Tables, as_of, hours: int = 24, ordered: bool = True) -> Data
             "minutos_transcurridos"))
 
 
-def zone_stay(t: Tables, ordered: bool = True, paired: bool = False,
-              chunk_days: int = 1) -> DataFrame:
+def zone_stay(t: Tables, ordered: bool = True, paired: bool = False) -> DataFrame:
     """Q10: visits per patient and zone with mean and longest stay in minutes.
 
     A stay runs from one entry to the next entry of the same zone, as the
@@ -228,7 +227,7 @@ def zone_stay(t: Tables, ordered: bool = True, paired: bool = False,
     if not paired:
         e = e.where(F.col("tipo_evento") == "Entrada")
     stays = shifted(e, ["id_paciente", "id_zona"], "timestamp_evento", "tipo_evento",
-                    "timestamp_evento", "_until", 1, chunk_days * clock.SECONDS_PER_DAY)
+                    "timestamp_evento", "_until", 1)
     stays = stays.where((F.col("tipo_evento") == "Entrada") & F.col("_until").isNotNull())
     span = clock.micros_between(F.col("timestamp_evento"), F.col("_until"))
     per_zone = stays.groupBy("id_paciente", "id_zona").agg(
