@@ -65,6 +65,8 @@ QUERIES = {
     "monthly_report_current": lambda s, d: q.monthly_report(clinic(s, d), ORDERS_NOW),
     "adherence_index": lambda s, d: q.adherence_index(
         clinic(s, d), "1998-01-01", "2000-12-31", 6),
+    "zone_exit_audit": lambda s, d: alerts.zone_exit_audit(
+        alerts.zone_exit_alerts(clinic(s, d)["evento_gps"], clinic(s, d))),
     "assessment_alerts": lambda s, d: alerts.assessment_alerts(clinic(s, d)["aplicacion_escala"]),
     "zone_exit_alerts": lambda s, d: alerts.zone_exit_alerts(
         clinic(s, d)["evento_gps"], clinic(s, d)),
@@ -294,3 +296,8 @@ LEFT JOIN aplicacion_escala x
 QUALIFY ROW_NUMBER() OVER (PARTITION BY a.id_alerta
                            ORDER BY x.fecha_aplicacion DESC, x.id_aplicacion DESC) = 1"""),
 }
+
+ZONE_AUDIT = f"""SELECT 0::BIGINT AS id_usuario, 'INSERT' AS operacion, 'alerta_riesgo' AS tabla_afectada,
+       fecha_generacion AS timestamp_operacion, CAST(NULL AS VARCHAR) AS ip_origen
+FROM ({ORACLES["zone_exit_alerts"]})"""
+ORACLES["zone_exit_audit"] = ZONE_AUDIT

@@ -77,9 +77,21 @@ def assessment_alerts(assessments: DataFrame, closed: DataFrame | None = None,
     ``closed`` (id_paciente, id_escala, fecha_aplicacion) holds closing times;
     ``active`` the last active alert per key from before these rows.
     """
-    risky = assessments.where(F.col("nivel_riesgo").isin(*ALERT_LEVELS))
-    fired = suppress(risky, ["id_paciente", "id_escala"], "fecha_aplicacion", "id_aplicacion", DAY,
-                     closed=closed, carry=active)
+    return described_assessments(suppress(
+        risky_assessments(assessments), SCALE_KEYS, "fecha_aplicacion", "id_aplicacion", DAY,
+        closed=closed, carry=active))
+
+
+SCALE_KEYS = ["id_paciente", "id_escala"]
+
+
+def risky_assessments(assessments: DataFrame) -> DataFrame:
+    """S4's candidates."""
+    return assessments.where(F.col("nivel_riesgo").isin(*ALERT_LEVELS))
+
+
+def described_assessments(fired: DataFrame) -> DataFrame:
+    """S4's alerts of the assessments that fired."""
     return fired.select(
         "id_paciente", "id_escala", "id_aplicacion",
         F.concat(F.lit("Evaluación "), F.col("id_escala"), F.lit(": Riesgo "),
@@ -104,7 +116,11 @@ def zone_exit_alerts(gps: DataFrame, t: Tables, closed: DataFrame | None = None,
     """Severe alert on leaving the safe zone, linked to the patient's latest
     assessment at that time, with the coordinates."""
     # Few rows, looked at more than once by the join: worked out once.
-    fired = materialise(zone_exits(gps, closed, active))
+    return linked_zone_alerts(materialise(zone_exits(gps, closed, active)), t)
+
+
+def linked_zone_alerts(fired: DataFrame, t: Tables) -> DataFrame:
+    """S5's alerts of the zone exits that fired."""
     taken = t["aplicacion_escala"].join(fired.select("id_paciente").distinct(), "id_paciente", "left_semi")
     linked = asof_join(fired, taken, ["id_paciente"], "timestamp_evento",
                        "fecha_aplicacion", "id_aplicacion", ["id_aplicacion"])

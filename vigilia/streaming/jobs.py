@@ -10,7 +10,7 @@ keys that hold a large part of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +18,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from vigilia.operators.ranking import latest_per_key
 from vigilia.operators.suppress import suppress
+from vigilia.sources.work import materialise
+from vigilia.streaming.windows import pane_counts
 
 BATCH = StructField("batch", LongType())
 
@@ -45,18 +47,46 @@ def _folder(out: str, batch: int) -> str:
     return f"{out}/batch={batch}"
 
 
+#: Every so many batches a table of latest rows is written whole.
+FOLD = 16
+
+
+def _batches(spark, out: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema, BATCH])).parquet(out)
+
+
 def keep_latest(stream: DataFrame, key: str, ts: str, tie: str, out: str, checkpoint: str,
-                every: str | None = None) -> StreamingQuery:
-    """The latest row per key. ``batch=<n>`` holds the table after batch n;
-    a late row never replaces a newer one."""
+                every: str | None = None, fold: int = FOLD) -> StreamingQuery:
+    """The latest row per key; read it with `latest_rows`.
 
-    def merge(rows: DataFrame, batch: int) -> None:
-        if batch > 0:
-            rows = rows.unionByName(rows.sparkSession.read.schema(rows.schema).parquet(
-                _folder(out, batch - 1)))
+    ``batch=<n>`` holds the latest rows of the keys that batch n brought, so what
+    a batch writes follows the batch; every ``fold``-th holds the table so far.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        if batch > 0 and batch % fold == 0:
+            earlier = _batches(rows.sparkSession, out, rows.schema).where(
+                (F.col("batch") >= batch - fold) & (F.col("batch") < batch))
+            rows = rows.unionByName(earlier.drop("batch"))
         latest_per_key(rows, [key], ts, tie).write.mode("overwrite").parquet(_folder(out, batch))
 
-    return each_batch(stream, merge, checkpoint, every)
+    return each_batch(stream, write, checkpoint, every)
+
+
+def latest_rows(spark, out: str, schema: StructType, key: str, ts: str, tie: str, fold: int = FOLD) -> DataFrame:
+    """The table that `keep_latest` keeps: a late row never replaces a newer one."""
+    rows = _batches(spark, out, schema)
+    last = rows.agg(F.max("batch").alias("b"))
+    whole = last.select((F.floor(F.col("b") / fold) * fold).alias("b")).scalar()
+    return latest_per_key(rows.where(F.col("batch") >= whole).drop("batch"), [key], ts, tie)
+
+
+def keep_panes(stream: DataFrame, key: str, ts: str, slide: int, out: str, checkpoint: str,
+               every: str | None = None) -> StreamingQuery:
+    """``batch=<n>`` holds batch n's own counts per key and pane, for
+    `windows.rolling_counts`; a replayed batch writes the same."""
+    return each_batch(stream, lambda rows, batch: pane_counts(rows, key, ts, slide).write.mode(
+        "overwrite").parquet(_folder(out, batch)), checkpoint, every)
 
 
 def keep_counts(counts: DataFrame, out: str, checkpoint: str,
@@ -70,11 +100,17 @@ def keep_counts(counts: DataFrame, out: str, checkpoint: str,
 
 def fire_quietly(candidates: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet: int,
                  out: str, checkpoint: str, closed: Callable[[], DataFrame] | None = None,
-                 every: str | None = None) -> StreamingQuery:
+                 every: str | None = None,
+                 also: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
     """Write the candidates that fire, given the alerts already written.
 
     ``closed`` re-reads the closing times (keys + ``ts``) for every batch. A
     candidate older than an active alert stays silent, as in the database.
+
+    ``also`` maps a folder to what is written there of the rows that fire, under
+    the same batch id and before the rows themselves. A batch counts once its
+    rows are written: `batch_output` leaves out what a broken batch left behind,
+    and the batch that is run again overwrites it.
     """
 
     def work(rows: DataFrame, batch: int) -> None:
@@ -90,6 +126,16 @@ def fire_quietly(candidates: DataFrame, keys: Sequence[str], ts: str, tie: str,
             )
         fired = suppress(rows, keys, ts, tie, quiet, closed=closed() if closed else None,
                          carry=carry)
+        if also:
+            fired = materialise(fired)
+        for folder, derived in (also or {}).items():
+            derived(fired).write.mode("overwrite").parquet(_folder(folder, batch))
         fired.write.mode("overwrite").parquet(_folder(out, batch))
 
     return each_batch(candidates, work, checkpoint, every)
+
+
+def batch_output(spark, folder: str, schema: StructType, out: str, fired: StructType) -> DataFrame:
+    """A further output of `fire_quietly`, of the batches whose rows are written."""
+    done = _batches(spark, out, fired).select("batch").distinct()
+    return _batches(spark, folder, schema).join(done, "batch", "left_semi").drop("batch")
