@@ -11,6 +11,8 @@ from vigilia.functions import values as v
 from vigilia.operators import checks as rules
 from vigilia.operators.ranking import counts_by, head_and_rest
 from vigilia.plans import alerts, dims, lists, reports, views
+from vigilia.sources import CARE as SCHEMAS, load_tables, write_table
+from vigilia.sources.work import new_folder
 
 NOW = f"TIMESTAMP '{EVENTS_NOW}'"
 TODAY = f"DATE '{EVENTS_NOW[:10]}'"
@@ -71,28 +73,66 @@ def _severity_counts(s, d):
                      ["Alta", "Media", "Baja", "Ninguna"])
 
 
+def _round_trip(s, d):
+    """A table written by day and opened again with its declared schema."""
+    name, folder = "checkin_estado_animo", new_folder(s, "tables")
+    write_table(care(s, d)[name], f"{folder}/{name}", name)
+    return load_tables(s, folder, SCHEMAS, [name])[name]
+
+
+RULES_DAY = "2021-06-30"
+ALL_TABLES = " ".join(rules.UNIQUE)
+
+
 def _row_rules(s, d):
-    t = care(s, d)
-    return rules.row_violations(t["residente"], "id_residente",
-                                rules.row_rules("residente", "2021-06-30"))
+    t, out = care(s, d), None
+    for name in rules.UNIQUE:
+        key = rules.UNIQUE[name][0][0]
+        part = rules.row_violations(t[name], key, rules.row_rules(name, RULES_DAY)).select(
+            F.lit(name).alias("tabla"), F.col(key).alias("clave"), "regla")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _duplicates(s, d):
+    t, out = care(s, d), None
+    for name, columns in ((n, c) for n, sets in rules.UNIQUE.items() for c in sets):
+        part = rules.duplicate_keys(t[name], columns).select(
+            F.lit(name).alias("tabla"), F.lit("_".join(columns)).alias("columnas"),
+            F.col(columns[0]).cast("string").alias("valor"), "filas")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _orphans(s, d):
-    t = care(s, d)
-    out = None
-    for table, column in (("checkin_estado_animo", "id_cuidador"), ("acceso_rfid", "id_lector"),
-                          ("asignacion", "id_staff"), ("log_auditoria", "id_usuario")):
-        parent, key = rules.REFERENCES[table][column]
-        part = rules.orphan_keys(t[table], column, t[parent], key).withColumn(
-            "tabla", F.lit(table))
+    t, out = care(s, d), None
+    for table, column, parent, key in _references():
+        part = rules.orphan_keys(t[table], column, t[parent], key).withColumns(
+            {"tabla": F.lit(table), "columna": F.lit(column)})
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _references():
+    return [(table, column, parent, key) for table, links in rules.REFERENCES.items()
+            for column, (parent, key) in links.items()]
+
+
 def _rule_report(s, d):
     t = care(s, d)
-    names = ("residente", "sesion_terapia", "asignacion", "medicamento", "staff", "sala")
-    return rules.table_report({n: t[n] for n in names}, "2021-06-30")
+    return rules.table_report({n: t[n] for n in rules.UNIQUE}, RULES_DAY)
+
+
+def _row_rule_sql():
+    """(table, rule, condition that a row breaks it on)."""
+    for table in rules.UNIQUE:
+        for rule, text in rules.ROW_RULES.get(table, {}).items():
+            ok = text.replace("add_months({today}, -720)", f"DATE '{RULES_DAY}' - INTERVAL 720 MONTH")
+            yield table, rule, f"NOT ({ok})"
+        for c in rules.REQUIRED[table].split():
+            yield table, f"{c}_requerido", f"{c} IS NULL"
+        for c, longest in rules.LENGTHS.get(table, {}).items():
+            yield table, f"{c}_largo", f"length({c}) > {longest}"
 
 
 QUERIES = {
@@ -166,8 +206,11 @@ QUERIES = {
         [F.asc("hora_programada"), F.asc("id_horario")]),
     "constraint_violations": _row_rules,
     "orphans": _orphans,
-    "duplicates": lambda s, d: rules.duplicate_keys(care(s, d)["medicamento"], ["nombre"]),
+    "duplicates": _duplicates,
     "rule_report": _rule_report,
+    "resident_by_id": lambda s, d: lists.resident_detail(care(s, d), EVENTS_NOW, 7),
+    "sessions_by_week": lambda s, d: reports.sessions_by_week(care(s, d)),
+    "table_round_trip": _round_trip,
 }
 
 # --- SQL -------------------------------------------------------------------
@@ -258,12 +301,6 @@ def _load(table: str, key: str, ts: str) -> str:
     return f"(SELECT COUNT(*) FROM {table} x WHERE x.{key} = s.id_staff AND {_last_days('x.' + ts, 14)})"
 
 
-def _orphan(table: str, column: str, parent: str, key: str) -> str:
-    return (f"SELECT c.{column} AS valor, COUNT(*) AS filas, '{table}' AS tabla FROM {table} c "
-            f"LEFT JOIN {parent} p ON p.{key} = c.{column} "
-            f"WHERE p.{key} IS NULL AND c.{column} IS NOT NULL GROUP BY 1")
-
-
 ORACLES = {
     "geofence_status": STATUS,
     "residents_outdoors": STATUS,
@@ -526,32 +563,25 @@ LEFT JOIN x USING (severidad) GROUP BY 1"""),
     "pending_head": _of(PENDING_TABLES, PENDING + """
 SELECT *, GREATEST((SELECT COUNT(*) FROM pending) - 5, 0) AS restantes
 FROM pending ORDER BY hora_programada, id_horario LIMIT 5"""),
-    "constraint_violations": _of("residente", """
-SELECT id_residente, 'edad_minima' AS regla FROM residente
-WHERE fecha_nacimiento > DATE '1961-06-30'"""),
-    "orphans": _of("checkin_estado_animo acceso_rfid asignacion log_auditoria staff lector_rfid "
-                   "usuario_sistema", " UNION ALL ".join([
-                       _orphan("checkin_estado_animo", "id_cuidador", "staff", "id_staff"),
-                       _orphan("acceso_rfid", "id_lector", "lector_rfid", "id_lector"),
-                       _orphan("asignacion", "id_staff", "staff", "id_staff"),
-                       _orphan("log_auditoria", "id_usuario", "usuario_sistema", "id_usuario")])),
-    "duplicates": _of("medicamento", """
-SELECT nombre, COUNT(*) AS filas FROM medicamento GROUP BY nombre HAVING COUNT(*) >= 2"""),
-    "rule_report": _of("residente sesion_terapia asignacion medicamento staff sala", """
-, r AS (
-SELECT 'residente' AS tabla, 'edad_minima' AS regla FROM residente
- WHERE fecha_nacimiento > DATE '1961-06-30'
-UNION ALL SELECT 'medicamento', 'nombre_unico' FROM medicamento WHERE nombre IN
- (SELECT nombre FROM medicamento GROUP BY 1 HAVING COUNT(*) > 1)
-UNION ALL SELECT 'asignacion', 'fechas_orden' FROM asignacion WHERE fecha_fin <= fecha_inicio
-UNION ALL SELECT 'asignacion', 'id_staff_referencia' FROM asignacion
- WHERE id_staff NOT IN (SELECT id_staff FROM staff)
-UNION ALL SELECT 'sesion_terapia', 'id_sala_referencia' FROM sesion_terapia
- WHERE id_sala NOT IN (SELECT id_sala FROM sala)
-UNION ALL SELECT 'sesion_terapia', 'id_terapeuta_referencia' FROM sesion_terapia
- WHERE id_terapeuta NOT IN (SELECT id_staff FROM staff)
-UNION ALL SELECT 'sesion_terapia', 'id_residente_referencia' FROM sesion_terapia
- WHERE id_residente NOT IN (SELECT id_residente FROM residente))
-SELECT tabla, regla, COUNT(*) AS filas FROM r GROUP BY ALL"""),
+    "constraint_violations": _of(ALL_TABLES, " UNION ALL ".join(
+        f"SELECT '{t}' AS tabla, {rules.UNIQUE[t][0][0]} AS clave, '{r}' AS regla FROM {t} WHERE {bad}"
+        for t, r, bad in _row_rule_sql())),
+    "orphans": _of(ALL_TABLES, " UNION ALL ".join(
+        f"SELECT '{t}' AS tabla, '{c}' AS columna, {c} AS valor, COUNT(*) AS filas FROM {t} WHERE {c} IS NOT NULL "
+        f"AND {c} NOT IN (SELECT {k} FROM {p}) GROUP BY {c}" for t, c, p, k in _references())),
+    "duplicates": _of(ALL_TABLES, " UNION ALL ".join(
+        f"SELECT '{t}' AS tabla, '{c[0]}' AS columnas, {c[0]}::VARCHAR AS valor, COUNT(*) AS filas FROM {t} "
+        f"WHERE {c[0]} IS NOT NULL GROUP BY {c[0]} HAVING COUNT(*) > 1"
+        for t, sets in rules.UNIQUE.items() for c in sets)),
+    "rule_report": _of(ALL_TABLES, ", r AS (" + " UNION ALL ".join([
+        *(f"SELECT '{t}' AS tabla, '{r}' AS regla, COUNT(*) AS filas FROM {t} WHERE {bad}" for t, r, bad in _row_rule_sql()),
+        *(f"SELECT '{t}', '{c[0]}_unico', COALESCE(SUM(n), 0)::BIGINT FROM (SELECT COUNT(*) AS n FROM {t} "
+          f"WHERE {c[0]} IS NOT NULL GROUP BY {c[0]} HAVING COUNT(*) > 1)" for t, sets in rules.UNIQUE.items() for c in sets),
+        *(f"SELECT '{t}', '{c}_referencia', COUNT(*) FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {p})"
+          for t, c, p, k in _references())]) + ") SELECT tabla, regla, filas FROM r WHERE filas > 0"),
+    "sessions_by_week": _of("sesion_terapia", """
+SELECT CAST(date_trunc('week', fecha_sesion) AS DATE) AS semana, COUNT(*) AS sesiones,
+       COUNT(DISTINCT id_residente) AS residentes FROM sesion_terapia GROUP BY 1"""),
+    "table_round_trip": _of("checkin_estado_animo", "SELECT * FROM checkin_estado_animo"),
 }
-
+ORACLES["resident_by_id"] = f"SELECT * FROM ({ORACLES['resident_detail']}) WHERE id_residente = 7"

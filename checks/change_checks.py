@@ -45,12 +45,31 @@ REQUESTS = {
         change_id="event_id", id_log="event_id * 3 + 5")),
     "discharge": dict(source="events", columns=dict(
         change_id="event_id", actor_id="user_id + 60", id_residente="user_id * 12")),
-    "booking": dict(source="events", where="event_type IN ('error', 'view')", columns=dict(
+    "booking": dict(source="events", columns=dict(
         change_id="event_id", id_residente="user_id + 1", id_terapeuta=f"CAST({K} + 1 AS BIGINT)",
         id_sala=f"CAST((user_id * 3 + {K}) % 100 + 1 AS BIGINT)",
         fecha_sesion="CAST(date_trunc('minute', ts) AS {ts}) + INTERVAL '200' MINUTE",
         duracion_min=f"15 + {K} % 90", tipo_sesion="'Individual'")),
-    "scan": dict(source="events", where="event_type IN ('click', 'view')", columns=dict(
+    "new_incident": dict(source="events", columns=dict(
+        change_id="event_id", id_residente="user_id + 1", id_staff=f"CAST({K} + 5 AS BIGINT)",
+        tipo="CASE WHEN event_type = 'signup' THEN 'Fuga' ELSE 'Otro' END", descripcion="props",
+        severidad=f"CASE {K} % 4 WHEN 0 THEN 'Alta' WHEN 1 THEN 'Media' WHEN 2 THEN 'Baja' ELSE 'Nula' END")),
+    "new_access": dict(source="events", columns=dict(
+        change_id="event_id", id_lector="user_id % 120 + 1", id_staff=f"CAST({K} + 5 AS BIGINT)",
+        acceso_concedido="CASE WHEN value >= 60 THEN value < 100 END")),
+    "new_audit": dict(source="events", columns=dict(
+        change_id="event_id", id_usuario="user_id * 3", tabla_afectada="'staff'",
+        operacion="CASE WHEN event_type = 'click' THEN 'MERGE' ELSE 'UPDATE' END", id_registro="event_id")),
+    "staff_edit": dict(source="events", columns=dict(
+        change_id="event_id", actor_id="user_id * 2", id_staff="(event_id * 7) % 130", nombre="event_type",
+        apellidos="props", especialidad="'General'",
+        email="CONCAT('s', CAST((event_id * 3) % 20011 AS STRING), '@example.org')",
+        id_rol=f"CAST({K} % 7 AS BIGINT)")),
+    "incident_edit": dict(source="events", columns=dict(
+        change_id="event_id", id_incidente="(event_id * 2) % 12000",
+        tipo="CASE WHEN event_type = 'signup' THEN 'Fuga' ELSE 'Caida' END", descripcion="event_type",
+        severidad=f"CASE {K} % 4 WHEN 0 THEN 'Alta' WHEN 1 THEN 'Media' WHEN 2 THEN 'Baja' ELSE 'Nula' END")),
+    "scan": dict(source="events", columns=dict(
         change_id="event_id", codigo_tag="CONCAT('NFC-', CAST(user_id * 11 AS STRING))",
         id_staff=f"CAST({K} + 4 AS BIGINT)", escaneado_en="ts")),
 }
@@ -99,6 +118,24 @@ QUERIES = {name: _run(f) for name, f in {
     "booking_conflicts": lambda t: changes.booking_conflicts(t["booking"], t["sesion_terapia"]),
     "booking_outcomes": lambda t: changes.book_sessions(t, t["booking"], EVENTS_NOW).outcome,
     "nearest_schedule": lambda t: changes.confirm_medication(t, t["scan"], EVENTS_NOW).outcome,
+    "incident_append": lambda t: changes.add_incidents(t, t["new_incident"], EVENTS_NOW).outcome,
+    "incident_created": lambda t: changes.add_incidents(
+        t, t["new_incident"], EVENTS_NOW).created["reporte_incidente"],
+    "access_append": lambda t: changes.add_accesses(t, t["new_access"], EVENTS_NOW).outcome,
+    "access_created": lambda t: changes.add_accesses(t, t["new_access"], EVENTS_NOW).created["acceso_rfid"],
+    "audit_append": lambda t: changes.add_audit(t, t["new_audit"], EVENTS_NOW).outcome,
+    "audit_created": lambda t: changes.add_audit(t, t["new_audit"], EVENTS_NOW).created["log_auditoria"],
+    "staff_update": lambda t: changes.update_staff(t, t["staff_edit"], EVENTS_NOW).outcome,
+    "staff_update_audit": lambda t: changes.update_staff(t, t["staff_edit"], EVENTS_NOW).audit,
+    "staff_updated": lambda t: changes.update_staff(t, t["staff_edit"], EVENTS_NOW).tables["staff"],
+    "incident_update": lambda t: changes.update_incidents(t, t["incident_edit"], EVENTS_NOW).outcome,
+    "incident_updated": lambda t: changes.update_incidents(
+        t, t["incident_edit"], EVENTS_NOW).tables["reporte_incidente"],
+    "staff_toggle_outcome": lambda t: changes.toggle_staff(t, t["staff_toggle"], EVENTS_NOW).outcome,
+    "staff_toggle_audit": lambda t: changes.toggle_staff(t, t["staff_toggle"], EVENTS_NOW).audit,
+    "discharge_audit": lambda t: changes.discharge_residents(t, t["discharge"], "2022-05-01").audit,
+    "nearest_schedule_events": lambda t: changes.confirm_medication(
+        t, t["scan"], EVENTS_NOW).created["nfc_evento"],
     "nearest_schedule_logs": lambda t: changes.confirm_medication(
         t, t["scan"], EVENTS_NOW).created["log_medicamento"],
 }.items()}
@@ -131,7 +168,53 @@ SELECT d.*, CASE WHEN d.id_residente NOT IN (SELECT id_residente FROM residente)
             WHEN d.actor_id NOT IN (SELECT id_usuario FROM usuario_sistema)
             THEN 'Error: id_usuario_referencia' END AS bad
 FROM discharge d)"""
-_OUTCOME = "SELECT change_id, CAST(bad IS NULL AS INTEGER) AS ok, COALESCE(bad, '{}') AS msg FROM c"
+_TOGGLE = """, c AS (
+SELECT f.*, CASE WHEN f.id_staff NOT IN (SELECT id_staff FROM staff) THEN 'Personal no encontrado.'
+            WHEN COALESCE(f.actor_id, 0) NOT IN (SELECT id_usuario FROM usuario_sistema)
+            THEN 'Error: id_usuario_referencia' END AS bad
+FROM staff_toggle f)"""
+_INCIDENT = """, c AS (
+SELECT n.*, concat_ws(', ', IF(n.tipo = 'Fuga', 'tipo_valor', NULL), IF(n.severidad = 'Nula', 'severidad_valor', NULL),
+       IF(n.id_residente NOT IN (SELECT id_residente FROM residente), 'id_residente_referencia', NULL),
+       IF(n.id_staff NOT IN (SELECT id_staff FROM staff), 'id_staff_referencia', NULL)) AS bad
+FROM new_incident n)"""
+_ACCESS = """, c AS (
+SELECT n.*, concat_ws(', ', IF(n.id_lector NOT IN (SELECT id_lector FROM lector_rfid), 'id_lector_referencia', NULL),
+       IF(n.id_staff NOT IN (SELECT id_staff FROM staff), 'id_staff_referencia', NULL)) AS bad
+FROM new_access n)"""
+_AUDIT = """, c AS (
+SELECT n.*, concat_ws(', ', IF(n.operacion = 'MERGE', 'operacion_valor', NULL),
+       IF(n.id_usuario NOT IN (SELECT id_usuario FROM usuario_sistema), 'id_usuario_referencia', NULL)) AS bad
+FROM new_audit n)"""
+_STAFF = """, first AS (SELECT email, arg_min(id_staff, change_id) AS id_staff FROM staff_edit GROUP BY email)
+, c AS (
+SELECT e.*, CASE WHEN e.id_staff NOT IN (SELECT id_staff FROM staff) THEN 'Personal no encontrado.'
+            WHEN e.id_rol NOT IN (SELECT id_rol FROM rol) THEN 'Error: id_rol_referencia'
+            WHEN COALESCE(e.actor_id, 0) NOT IN (SELECT id_usuario FROM usuario_sistema)
+            THEN 'Error: id_usuario_referencia'
+            WHEN h.id_staff <> e.id_staff OR f.id_staff <> e.id_staff THEN 'Error: email_unico' END AS bad
+FROM staff_edit e LEFT JOIN staff h ON h.email = e.email LEFT JOIN first f ON f.email = e.email)"""
+_STAFF_TABLES = "staff_edit staff rol usuario_sistema"
+_INCIDENT_EDIT = """, c AS (
+SELECT e.*, CASE WHEN e.id_incidente NOT IN (SELECT id_incidente FROM reporte_incidente)
+            THEN 'Incidente no encontrado.'
+            WHEN e.tipo = 'Fuga' OR e.severidad = 'Nula'
+            THEN 'Error: ' || concat_ws(', ', IF(e.tipo = 'Fuga', 'tipo_valor', NULL),
+                                        IF(e.severidad = 'Nula', 'severidad_valor', NULL)) END AS bad
+FROM incident_edit e)"""
+
+
+def _audited(table: str, key: str, at: str) -> str:
+    return (f" SELECT actor_id AS id_usuario, '{table}' AS tabla_afectada, 'UPDATE' AS operacion, {key} AS id_registro, "
+            f"CAST(NULL AS VARCHAR) AS ip_origen, TIMESTAMP '{at}' AS timestamp_operacion FROM c WHERE bad IS NULL")
+
+
+def _said(message: str) -> str:
+    return (" SELECT change_id, CAST(bad = '' AS INTEGER) AS ok, "
+            f"IF(bad = '', '{message}', 'Error: ' || bad) AS msg FROM c")
+
+
+_OUTCOME = " SELECT change_id, CAST(bad IS NULL AS INTEGER) AS ok, COALESCE(bad, '{}') AS msg FROM c"
 _SCAN = """, c AS (
 SELECT s.*, g.id_tag, g.id_residente, h.id_horario,
        abs(epoch_us(s.escaneado_en) % 86400000000 - CAST(h.hora_programada AS BIGINT) * 1000000) AS gap
@@ -232,6 +315,44 @@ FROM booking b"""),
     "nearest_schedule": _of(_SCAN_TABLES, _SCAN + """
 SELECT change_id, CAST(bad IS NULL AS INTEGER) AS ok,
        COALESCE(bad, 'Medicamento registrado para residente ID ' || id_residente) AS msg FROM r"""),
+    "incident_append": _of("new_incident residente staff", _INCIDENT + _said("Incidente registrado.")),
+    "incident_created": _of("new_incident residente staff reporte_incidente", _INCIDENT + f"""
+SELECT (SELECT MAX(id_incidente) FROM reporte_incidente) + ROW_NUMBER() OVER (ORDER BY change_id) AS id_incidente,
+       id_residente, id_staff, TIMESTAMP '{EVENTS_NOW}' AS fecha, tipo, descripcion, severidad
+FROM c WHERE bad = ''"""),
+    "access_append": _of("new_access lector_rfid staff", _ACCESS + _said("Acceso registrado.")),
+    "access_created": _of("new_access lector_rfid staff acceso_rfid", _ACCESS + f"""
+SELECT (SELECT MAX(id_acceso) FROM acceso_rfid) + ROW_NUMBER() OVER (ORDER BY change_id) AS id_acceso,
+       id_lector, id_staff, TIMESTAMP '{EVENTS_NOW}' AS accedido_en, COALESCE(acceso_concedido, TRUE) AS acceso_concedido
+FROM c WHERE bad = ''"""),
+    "audit_append": _of("new_audit usuario_sistema", _AUDIT + _said("Auditoría registrada.")),
+    "audit_created": _of("new_audit usuario_sistema log_auditoria", _AUDIT + f"""
+SELECT (SELECT MAX(id_log) FROM log_auditoria) + ROW_NUMBER() OVER (ORDER BY change_id) AS id_log, id_usuario,
+       tabla_afectada, operacion, id_registro, CAST(NULL AS VARCHAR) AS ip_origen,
+       TIMESTAMP '{EVENTS_NOW}' AS timestamp_operacion FROM c WHERE bad = ''"""),
+    "staff_update": _of(_STAFF_TABLES, _STAFF + _OUTCOME.format("Personal actualizado.")),
+    "staff_update_audit": _of(_STAFF_TABLES, _STAFF + _audited("staff", "id_staff", EVENTS_NOW)),
+    "staff_updated": _of(_STAFF_TABLES, _STAFF + """
+, n AS (SELECT * FROM c WHERE bad IS NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY id_staff ORDER BY change_id DESC) = 1)
+SELECT s.* REPLACE (COALESCE(n.nombre, s.nombre) AS nombre, COALESCE(n.apellidos, s.apellidos) AS apellidos,
+    COALESCE(n.especialidad, s.especialidad) AS especialidad, COALESCE(n.email, s.email) AS email,
+    COALESCE(n.id_rol, s.id_rol) AS id_rol) FROM staff s LEFT JOIN n USING (id_staff)"""),
+    "incident_update": _of("incident_edit reporte_incidente",
+                           _INCIDENT_EDIT + _OUTCOME.format("Incidente actualizado.")),
+    "incident_updated": _of("incident_edit reporte_incidente", _INCIDENT_EDIT + """
+, n AS (SELECT * FROM c WHERE bad IS NULL
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY id_incidente ORDER BY change_id DESC) = 1)
+SELECT r.* REPLACE (COALESCE(n.tipo, r.tipo) AS tipo, COALESCE(n.descripcion, r.descripcion) AS descripcion,
+    COALESCE(n.severidad, r.severidad) AS severidad) FROM reporte_incidente r LEFT JOIN n USING (id_incidente)"""),
+    "staff_toggle_outcome": _of("staff_toggle staff usuario_sistema",
+                                _TOGGLE + _OUTCOME.format("Estado del personal actualizado.")),
+    "staff_toggle_audit": _of("staff_toggle staff usuario_sistema", _TOGGLE + _audited("staff", "id_staff", EVENTS_NOW)),
+    "discharge_audit": _of("discharge residente asignacion usuario_sistema",
+                           _LEAVE + _audited("residente", "id_residente", "2022-05-01")),
+    "nearest_schedule_events": _of(_SCAN_TABLES + " log_medicamento nfc_evento", _SCAN + """
+SELECT (SELECT MAX(id_evento) FROM nfc_evento) + ROW_NUMBER() OVER (ORDER BY change_id) AS id_evento, id_tag, id_staff,
+       escaneado_en, (SELECT MAX(id_log) FROM log_medicamento) + ROW_NUMBER() OVER (ORDER BY change_id) AS id_log_med
+FROM r WHERE bad IS NULL"""),
     "nearest_schedule_logs": _of(_SCAN_TABLES + " log_medicamento", _SCAN + """
 SELECT (SELECT MAX(id_log) FROM log_medicamento) + ROW_NUMBER() OVER (ORDER BY change_id) AS id_log,
        id_horario, id_staff AS id_cuidador, escaneado_en AS fecha_administracion,

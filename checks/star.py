@@ -95,15 +95,15 @@ CLINIC = {
     "cuidador": dict(source="supplier", columns=dict(
         id_cuidador="s_suppkey", nombre="CONCAT('C', CAST(s_nationkey AS STRING))",
         apellidos="s_name", telefono="CONCAT('33', CAST(s_suppkey AS STRING))")),
-    "evento_gps": dict(source="events", where="event_type IN ('click', 'error')", columns=dict(
+    "evento_gps": dict(source="events", columns=dict(
         id_dispositivo="user_id", id_paciente="user_id",
         latitud="CAST(20 + value / 1000 AS DECIMAL(10, 7))",
         longitud=f"CAST(-103 - {K} / 1000 AS DECIMAL(10, 7))", timestamp_evento="ts",
         dentro_zona_segura=f"value <= 100 AND {K} BETWEEN 20 AND 80")),
-    "evento_nfc": dict(source="events", where="event_type IN ('view', 'signup')", columns=dict(
+    "evento_nfc": dict(source="events", columns=dict(
         id_paciente="user_id", id_zona=f"CAST({K} % 25 AS BIGINT)", timestamp_evento="ts",
-        tipo_evento="CASE WHEN event_type = 'view' THEN 'Entrada' ELSE 'Salida' END")),
-    "evento_beacon": dict(source="events", where="event_type = 'purchase'", columns=dict(
+        tipo_evento="CASE WHEN event_type IN ('view', 'click', 'error') THEN 'Entrada' ELSE 'Salida' END")),
+    "evento_beacon": dict(source="events", columns=dict(
         id_paciente="user_id", timestamp_evento="ts")),
     "zona": dict(source="nation", columns=dict(
         id_zona="CAST(n_nationkey AS BIGINT)", nombre_zona="n_name")),
@@ -212,7 +212,7 @@ CARE = {
         id_tag="c_custkey + 1", codigo_tag="CONCAT('NFC-', CAST(c_custkey AS STRING))",
         id_residente="c_custkey + 1",
         descripcion="CONCAT('Estacion ', CAST(c_nationkey AS STRING))")),
-    "nfc_evento": dict(source="events", where="event_type IN ('view', 'click')", columns=dict(
+    "nfc_evento": dict(source="events", columns=dict(
         id_evento="event_id + 1", id_tag="user_id + 1", id_staff=f"CAST({K} + 1 AS BIGINT)",
         escaneado_en="ts",
         id_log_med="CASE WHEN event_type = 'view' THEN event_id + 1 END")),
@@ -227,8 +227,7 @@ CARE = {
     "beacon": dict(source="nation", columns=dict(
         id_beacon="CAST(n_nationkey + 1 AS BIGINT)",
         id_ala="CAST((n_nationkey * 7) % 25 + 1 AS BIGINT)", nombre="CONCAT('Beacon-', n_name)")),
-    "deteccion_beacon": dict(source="events", where="event_type IN ('signup', 'purchase')",
-                             columns=dict(
+    "deteccion_beacon": dict(source="events", columns=dict(
         id_deteccion="event_id + 1", id_beacon="user_id % 25 + 1",
         id_staff=f"CAST({K} + 1 AS BIGINT)", detectado_en="ts")),
     "log_auditoria": dict(source="events", columns=dict(

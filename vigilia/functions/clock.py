@@ -94,6 +94,11 @@ def week_start(as_of) -> Column:
     return F.trunc(day(as_of), "week")
 
 
+def week_of(ts: Column) -> Column:
+    """Monday of the week of every row."""
+    return F.trunc(F.to_date(ts), "week")
+
+
 def seconds_of_day(ts: Column) -> Column:
     """Second of the day with its fraction, exact."""
     micros = F.pmod(epoch_micros(ts), F.lit(86_400_000_000))

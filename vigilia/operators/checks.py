@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilia.sources.work import written
+
 
 # Row rules (fixed values): table -> {rule: condition that must not be false}.
 ROW_RULES = {
@@ -187,28 +189,49 @@ def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_key: st
     return held.join(parent.select(F.col(parent_key).alias("valor")), "valor", "left_anti")
 
 
+def _facts(name: str, df: DataFrame, as_of) -> DataFrame:
+    """(tabla, kind, regla, padre, valor, n): what one scan of a table tells: the
+    rows that break each row rule, and the rows of each value of its unique keys
+    and of its references, counted before they move."""
+    text, none = F.lit, F.lit(None).cast("string")
+
+    def fact(kind: str, rule: Column, parent: Column, value: Column) -> Column:
+        return F.struct(text(kind).alias("kind"), rule.alias("regla"), parent.alias("padre"), value.alias("valor"))
+
+    rules = row_rules(name, as_of)
+    broken = F.transform(broken_rules(rules), lambda r: fact("row", r, none, none))
+    keys = [fact("key", text("_".join(columns) + "_unico"), text(f"{name}.{'.'.join(columns)}"), _value(columns))
+            for columns in UNIQUE.get(name, [])]
+    links = [fact("link", text(f"{column}_referencia"), text(f"{parent}.{key}"), _value([column]))
+             for column, (parent, key) in REFERENCES.get(name, {}).items()]
+    known = F.filter(F.array(*keys, *links), lambda x: x["valor"].isNotNull())
+    return df.select(F.explode(F.concat(broken, known)).alias("x")).groupBy(
+        F.lit(name).alias("tabla"), "x.kind", "x.regla", "x.padre", "x.valor").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _value(columns: Sequence[str]) -> Column:
+    """A key as text, NULL if a part is: parts with their lengths, which tells all keys apart."""
+    parts = [F.col(c).cast("string") for c in columns]
+    if len(parts) == 1:
+        return parts[0]
+    return F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
+
+
 def table_report(tables: Mapping[str, DataFrame], as_of) -> DataFrame:
-    """Broken rules of every table at hand: (tabla, regla, filas)."""
-    parts = []
+    """Broken rules of every table at hand: (tabla, regla, filas).
+
+    Each table is scanned once. References are checked against the values their
+    parents' keys were counted with; a parent that is not at hand is not asked.
+    """
+    facts = None
     for name, df in tables.items():
-        rules = row_rules(name, as_of)
-        if rules:
-            parts.append(df.select(F.explode(broken_rules(rules)).alias("regla")).groupBy("regla")
-                         .agg(F.count(F.lit(1)).alias("filas"))
-                         .select(F.lit(name).alias("tabla"), "regla", "filas"))
-        for columns in UNIQUE.get(name, []):
-            twice = duplicate_keys(df, columns).agg(F.sum("filas").alias("filas")).where(
-                F.col("filas") > 0)
-            parts.append(twice.select(F.lit(name).alias("tabla"),
-                                      F.lit("_".join(columns) + "_unico").alias("regla"), "filas"))
-        for column, (parent, parent_key) in REFERENCES.get(name, {}).items():
-            if parent not in tables:
-                continue
-            lost = orphan_keys(df, column, tables[parent], parent_key).agg(
-                F.sum("filas").alias("filas")).where(F.col("filas") > 0)
-            parts.append(lost.select(F.lit(name).alias("tabla"),
-                                     F.lit(f"{column}_referencia").alias("regla"), "filas"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        some = _facts(name, df, as_of)
+        facts = some if facts is None else facts.unionByName(some)
+    facts = written(facts, "rules")
+    rows = facts.where("kind = 'row'").groupBy("tabla", "regla").agg(F.sum("n").alias("filas"))
+    twice = facts.where("kind = 'key' AND n > 1").groupBy("tabla", "regla").agg(F.sum("n").alias("filas"))
+    at_hand = [f"{t}.{'.'.join(k)}" for t in tables for k in UNIQUE.get(t, [])]
+    held = facts.where("kind = 'key'").select("padre", "valor")
+    lost = (facts.where((F.col("kind") == "link") & F.col("padre").isin(at_hand))
+            .join(held, ["padre", "valor"], "left_anti").groupBy("tabla", "regla").agg(F.sum("n").alias("filas")))
+    return rows.unionByName(twice).unionByName(lost)

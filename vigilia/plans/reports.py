@@ -251,3 +251,7 @@ def caregiver_dashboard(t: Tables, as_of, id_staff: int | None = None) -> DataFr
     )
 
 
+def sessions_by_week(t: Tables) -> DataFrame:
+    """Therapy sessions and the residents in them per calendar week."""
+    return t["sesion_terapia"].groupBy(clock.week_of(F.col("fecha_sesion")).alias("semana")).agg(
+        F.count(F.lit(1)).alias("sesiones"), F.count_distinct("id_residente").alias("residentes"))
