@@ -81,22 +81,33 @@ def _chosen(texts: list, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs // (FEATURES + 1), pairs % (FEATURES + 1)
 
 
-def sample(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` texts of each class, the lowest by a hash of id and text:
-    (doc_id, version, toxic). An id labelled twice is toxic if one label is; an id
-    with several texts gives each of them.
+def _lowest(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows of each class, the lowest by a hash of ``keys``.
 
     Hashes are even, so about ``2 * most`` rows of a class lie below the share of
     the hashes that would hold as many; only those are ordered.
     """
-    clean = labelled.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    clean = stored(docs.select("doc_id", text_key().alias("version")).join(clean, "doc_id").distinct(), "labels")
-    place = F.pmod(F.xxhash64("doc_id", "version"), F.lit(_PLACES))
-    sizes = clean.groupBy("toxic").agg(F.count("*").alias("_rows"))
-    near = (clean.join(sizes, "toxic").withColumn("_at", place)
+    place = F.pmod(F.xxhash64(*keys), F.lit(_PLACES))
+    sizes = rows.groupBy("toxic").agg(F.count("*").alias("_rows"))
+    near = (rows.join(sizes, "toxic").withColumn("_at", place)
             .where(F.col("_at") < F.lit(2.0 * most * _PLACES) / F.col("_rows")))
-    order = Window.partitionBy("toxic").orderBy("_at", "doc_id", "version")
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", "version", "toxic")
+    order = Window.partitionBy("toxic").orderBy("_at", *keys)
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select(*keys, "toxic")
+
+
+def sample(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """At most ``most`` texts of each class: (doc_id, version, text, toxic).
+
+    At most as many ids are drawn from the labels; of their texts, one unless ids
+    repeat, as many are drawn again. An id labelled twice is toxic if one label is.
+    """
+    clean = labelled.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = _lowest(stored(clean, "labels"), ["doc_id"], most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("version", text_key())
+    texts = stored(texts, "sample")
+    picked = _lowest(texts.select("doc_id", "version", "toxic").distinct(), ["doc_id", "version"], most)
+    return (texts.join(F.broadcast(picked.drop("toxic")), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+            .select("doc_id", "version", "text", "toxic"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +146,11 @@ def _fit(index: np.ndarray, owner: np.ndarray, y: np.ndarray, ratio: np.ndarray,
 def train(docs: DataFrame, labelled: DataFrame) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic).
 
-    The sample's keys, at most 2 * SAMPLE, are broadcast, so only their texts move.
+    The sample's ids, at most 2 * SAMPLE, are broadcast, so only their texts move.
     Labels that are null or neither 0 nor 1 are left out. Without a labelled text
     of each class every score is 0.5.
     """
-    chosen = F.broadcast(sample(docs, labelled))
-    texts = docs.select("doc_id", "text", text_key().alias("version")).join(chosen, ["doc_id", "version"])
-    texts = stored(texts.dropDuplicates(["doc_id", "version"]).select("doc_id", "text", "toxic"), "sample")
+    texts = stored(sample(docs, labelled).select("doc_id", "text", "toxic"), "sample")
     slot = np.zeros(1 << BITS, dtype=np.int16)
     totals = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not (totals.get(0) and totals.get(1)):
