@@ -37,13 +37,13 @@ def test_booking_cases(spark, t):
         return dt.datetime(2026, 3, day, hour, minute)
 
     got = said(changes.book_sessions(t, booking(spark, [
-        (1, 2, 4, at(20, 18, 30), 30),    # therapist busy until 18:50
-        (2, 2, 1, at(20, 18, 50), 30),    # touches both: fine
-        (3, 3, 1, at(18, 18, 10), 30),    # room busy
-        (4, 3, 4, at(25, 9, 0), 60),
-        (5, 3, 3, at(25, 9, 30), 60),     # loses to 4
-        (6, 2, 3, at(25, 10, 0), 60),     # overlaps only the loser
-        (7, 3, 4, at(26, 9, 0), 481)]), AS_OF))
+        (1, 1, 3, at(17, 10, 20), 30),    # therapist busy until 10:40
+        (2, 1, 1, at(17, 10, 40), 30),    # touches: fine
+        (3, 5, 2, at(10, 10, 10), 30),    # room busy
+        (4, 5, 3, at(25, 9, 0), 60),
+        (5, 5, 1, at(25, 9, 30), 60),     # loses to 4
+        (6, 1, 1, at(25, 10, 0), 60),     # overlaps only the loser
+        (7, 5, 3, at(26, 9, 0), 481)]), AS_OF))
     busy, room = (0, changes.THERAPIST_BUSY), (0, changes.ROOM_BUSY)
     booked = (1, changes.BOOKED)
     assert got == {1: busy, 2: booked, 3: room, 4: booked, 5: busy, 6: booked,
@@ -102,24 +102,24 @@ def test_hiring_equals_one_by_one(spark, small):
 
 
 def test_tag_scans(spark, t):
-    def scan(i, tag, hour, minute, staff=6):
+    def scan(i, tag, hour, minute, staff=4):
         return (i, tag, staff, dt.datetime(2026, 3, 21, hour, minute))
 
     schema = "change_id long, codigo_tag string, id_staff long, escaneado_en timestamp_ntz"
     scans = spark.createDataFrame([
-        scan(1, "NFC-LM-103", 9, 0), scan(2, "NFC-LM-103", 12, 0), scan(3, "NFC-LM-103", 23, 30),
-        scan(4, "NFC-X", 9, 0), scan(5, "NFC-LM-103", 9, 0, staff=99)], schema)
+        scan(1, "TAG-S1", 8, 30), scan(2, "TAG-S1", 12, 0), scan(3, "TAG-S1", 5, 40),
+        scan(4, "TAG-X", 9, 0), scan(5, "TAG-S1", 9, 0, staff=99)], schema)
     result = changes.confirm_medication(t, scans, AS_OF)
     done = (1, "Medicamento registrado para residente ID 3")
     assert said(result) == {1: done, 2: (0, changes.NO_SCHEDULE), 3: done,
                             4: (0, changes.UNKNOWN_TAG), 5: (0, "Error: id_cuidador_referencia")}
     assert {(r.id_log, r.id_horario) for r in result.created["log_medicamento"].collect()} == {
-        (6, 4), (7, 5)}
+        (4, 3), (5, 3)}
     assert {(r.id_evento, r.id_log_med) for r in result.created["nfc_evento"].collect()} == {
-        (2, 6), (3, 7)}
+        (2, 4), (3, 5)}
     late = {**t, "horario_medicamento": t["horario_medicamento"].withColumn(
         "hora_programada", F.lit(23 * 3600 + 45 * 60))}
-    night = spark.createDataFrame([scan(1, "NFC-LM-103", 0, 30)], schema)
+    night = spark.createDataFrame([scan(1, "TAG-S1", 0, 30)], schema)
     assert said(changes.confirm_medication(late, night, AS_OF))[1] == done
     assert said(changes.confirm_medication(late, night, AS_OF, wrap=False))[1][0] == 0
 
@@ -132,7 +132,7 @@ def test_appends_and_admission(spark, t):
     assert said(result) == {1: (1, "Check-in registrado."), 2: (0, "Error: puntaje_rango"),
                             3: (0, "Error: id_residente_referencia")}
     assert [(r.id_checkin, r.fecha_registro) for r in
-            result.created["checkin_estado_animo"].collect()] == [(9, NOW)]
+            result.created["checkin_estado_animo"].collect()] == [(6, NOW)]
     access = spark.createDataFrame([(1, 1, 4, None)], "change_id long, id_lector long, "
                                    "id_staff long, acceso_concedido boolean")
     assert changes.add_accesses(t, access, AS_OF).created["acceso_rfid"].first().acceso_concedido
@@ -147,8 +147,8 @@ def test_appends_and_admission(spark, t):
         people = people.withColumn(c, F.lit(None).cast("string"))
     result = changes.admit_residents(t, people, AS_OF)
     assert said(result) == {
-        1: (1, "Residente registrado con ID 5"), 2: (0, "Error: edad_minima"),
-        3: (0, "Error: id_staff_referencia"), 4: (1, "Residente registrado con ID 6")}
+        1: (1, "Residente registrado con ID 6"), 2: (0, "Error: edad_minima"),
+        3: (0, "Error: id_staff_referencia"), 4: (1, "Residente registrado con ID 7")}
     assert result.created["asignacion"].count() == 1
 
 
@@ -159,18 +159,18 @@ def test_discharge(spark, t):
     gone = (1, "Residente dado de baja correctamente.")
     assert said(result) == {1: gone, 2: (0, "Residente no encontrado."),
                             3: (0, "Error: id_usuario_referencia"), 4: gone}
-    closed = result.tables["asignacion"].where("fecha_fin IS NOT NULL").collect()
+    closed = result.tables["asignacion"].where("fecha_fin = DATE '2026-03-21'").collect()
     assert {r.id_residente for r in closed} == {1} and len(closed) == 3
     assert result.audit.count() == 2
     fresh = {**t, "asignacion": t["asignacion"].withColumn("fecha_inicio", F.lit(seed.TODAY))}
     refused = changes.discharge_residents(fresh, asked.where("change_id = 1"), AS_OF)
     assert said(refused)[1] == (0, "Error: fechas_orden")
-    assert refused.tables["residente"].where("NOT activo").count() == 0
+    assert refused.tables["residente"].where("NOT activo").count() == 1
 
 
 def test_updates_toggles_deletes(spark, t):
     edits = spark.createDataFrame(
-        [(1, 1, 4, "x@x.org", 3), (2, 1, 4, "ana@x.org", 3), (3, 1, 5, "x@x.org", 3),
+        [(1, 1, 4, "x@x.org", 3), (2, 1, 4, "bruno@casa.example", 3), (3, 1, 5, "x@x.org", 3),
          (4, 1, 4, "y@x.org", 9), (5, 1, 4, "z@x.org", 2)],
         "change_id long, actor_id long, id_staff long, email string, id_rol long")
     for c in ("nombre", "apellidos", "especialidad"):
@@ -178,15 +178,15 @@ def test_updates_toggles_deletes(spark, t):
     result = changes.update_staff(t, edits, AS_OF)
     assert {c: ok for c, (ok, _) in said(result).items()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
     assert result.tables["staff"].where("id_staff = 4").first().email == "z@x.org"
-    flips = spark.createDataFrame([(1, 1, 4), (2, 1, 4), (3, 1, 5), (4, 1, 44)],
+    flips = spark.createDataFrame([(1, 1, 4), (2, 1, 4), (3, 1, 2), (4, 1, 44)],
                                   "change_id long, actor_id long, id_staff long")
     toggled = changes.toggle_staff(t, flips, AS_OF)
-    assert {r.id_staff for r in toggled.tables["staff"].where("NOT activo").collect()} == {5}
-    drops = spark.createDataFrame([(1, 1, 3), (2, 1, 2), (3, 1, 2)],
+    assert {r.id_staff for r in toggled.tables["staff"].where("NOT activo").collect()} == {2, 5}
+    drops = spark.createDataFrame([(1, 1, 3), (2, 1, 1), (3, 1, 1)],
                                   "change_id long, id_sesion long, id_terapeuta long")
     deleted = changes.delete_sessions(t, drops)
     assert {c: ok for c, (ok, _) in said(deleted).items()} == {1: 0, 2: 1, 3: 0}
-    assert deleted.tables["sesion_terapia"].count() == 4
+    assert deleted.tables["sesion_terapia"].count() == 3
     logs = spark.createDataFrame([(1, 3), (2, 300)], "change_id long, id_log long")
     assert {ok for ok, _ in said(changes.guard_deletes(
         t, "log_medicamento", "id_log", logs)).values()} == {0}
