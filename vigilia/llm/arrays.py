@@ -46,7 +46,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``limit`` bytes of text, whole rows each, so
     that working memory follows ``limit`` and the longest text only."""
     _, offsets = utf8(batch.column(column))
@@ -56,6 +56,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000)
         end = min(max(end - 1, start + 1), len(offsets) - 1)
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()  # a worker goes on to other stages
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

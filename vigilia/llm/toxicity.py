@@ -61,7 +61,7 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def _pieces(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, list]]:
+def _pieces(texts: list, limit: int = 300_000) -> Iterator[tuple[int, list]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t or "") > limit:
