@@ -358,12 +358,15 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     columns = docs.columns
     several = shared_ids(docs)
-    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("m")).first()[0]
-    numbered = running(several.withColumn("one", F.lit(1)), ["one"], ["doc_id", "version"], {"n": F.lit(1)}).select(
-        "doc_id", "version", (F.col("n") + F.lit(last)).cast("bigint").alias("_own"))
-    keyed = (docs.where("doc_id is not null").withColumn("version", text_key())
-             .join(numbered, ["doc_id", "version"], "left")
-             .withColumn("_own", F.coalesce("_own", "doc_id")))
+    keyed = docs.where("doc_id is not null").withColumn("_own", F.col("doc_id"))
+    # Texts are shuffled for new ids only if an id stands for several of them.
+    if not several.isEmpty():
+        last = docs.agg(F.max("doc_id").alias("m")).first()[0]
+        numbered = stored(running(
+            several.withColumn("one", F.lit(1)), ["one"], ["doc_id", "version"], {"n": F.lit(1)}).select(
+            "doc_id", "version", (F.col("n") + F.lit(last)).cast("bigint").alias("_new")), "numbered")
+        keyed = (keyed.withColumn("version", text_key()).join(numbered, ["doc_id", "version"], "left")
+                 .withColumn("_own", F.coalesce("_new", "doc_id")))
     kept = near_duplicates(keyed.select(F.col("_own").alias("doc_id"), "text"), size, percent)
     kept = kept.where("kept").select(F.col("doc_id").alias("_own")).distinct()
     return (keyed.join(kept, "_own").dropDuplicates(["_own", "text"]).select(*columns)
