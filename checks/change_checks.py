@@ -82,8 +82,8 @@ def _run(operation):
     return query
 
 
-def _of(names: str, body: str) -> str:
-    return with_tables(ALL, names, body)
+def _of(names: str, body: str, recursive: bool = False) -> str:
+    return with_tables(ALL, names, body, recursive)
 
 
 QUERIES = {name: _run(f) for name, f in {
@@ -203,6 +203,55 @@ SELECT e.*, CASE WHEN e.id_incidente NOT IN (SELECT id_incidente FROM reporte_in
                                         IF(e.severidad = 'Nula', 'severidad_valor', NULL)) END AS bad
 FROM incident_edit e)"""
 
+# Requests of ``live`` in turn: state 1 wins, 2 loses, 0 still has an open rival among ``pairs`` (earlier a, later b).
+_IN_TURN = """
+, turn AS (
+SELECT change_id, 0 AS state, 0 AS round FROM live
+UNION ALL
+SELECT t.change_id, CASE WHEN t.state > 0 THEN t.state WHEN r.beaten THEN 2 WHEN r.waits THEN 0 ELSE 1 END, t.round + 1
+FROM turn t LEFT JOIN (SELECT p.b, bool_or(x.state = 1) AS beaten, bool_or(x.state = 0) AS waits
+                       FROM pairs p JOIN turn x ON x.change_id = p.a GROUP BY p.b) r ON r.b = t.change_id
+WHERE EXISTS (SELECT 1 FROM turn WHERE state = 0))
+, won AS (SELECT change_id FROM turn WHERE state = 1 AND round = (SELECT MAX(round) FROM turn))"""
+_BOOK = """, x AS (SELECT id_terapeuta, id_sala, fecha_sesion, fecha_sesion + duracion_min * INTERVAL '1' MINUTE AS until
+       FROM sesion_terapia)
+, n AS (SELECT b.*, fecha_sesion + duracion_min * INTERVAL '1' MINUTE AS until,
+               concat_ws(', ', IF(id_residente NOT IN (SELECT id_residente FROM residente), 'id_residente_referencia', NULL),
+                         IF(id_terapeuta NOT IN (SELECT id_staff FROM staff), 'id_terapeuta_referencia', NULL),
+                         IF(id_sala NOT IN (SELECT id_sala FROM sala), 'id_sala_referencia', NULL)) AS bad FROM booking b)
+, held AS (SELECT n.*, EXISTS (SELECT 1 FROM x WHERE x.id_terapeuta = n.id_terapeuta
+                               AND x.fecha_sesion < n.until AND x.until > n.fecha_sesion) AS therapist,
+                  EXISTS (SELECT 1 FROM x WHERE x.id_sala = n.id_sala
+                          AND x.fecha_sesion < n.until AND x.until > n.fecha_sesion) AS room FROM n)
+, live AS (SELECT * FROM held WHERE bad = '' AND NOT therapist AND NOT room)
+, pairs AS (
+SELECT e.change_id AS a, l.change_id AS b FROM live e JOIN live l ON e.id_terapeuta = l.id_terapeuta
+ AND e.change_id < l.change_id AND e.fecha_sesion < l.until AND e.until > l.fecha_sesion
+UNION
+SELECT e.change_id, l.change_id FROM live e JOIN live l ON e.id_sala = l.id_sala
+ AND e.change_id < l.change_id AND e.fecha_sesion < l.until AND e.until > l.fecha_sesion)""" + _IN_TURN + """
+, kept AS (SELECT * FROM live WHERE change_id IN (SELECT change_id FROM won))
+, c AS (SELECT h.change_id, CASE
+    WHEN therapist OR EXISTS (SELECT 1 FROM kept k WHERE k.id_terapeuta = h.id_terapeuta AND k.change_id < h.change_id
+                              AND k.fecha_sesion < h.until AND k.until > h.fecha_sesion)
+    THEN 'El terapeuta ya tiene una sesión en ese horario.'
+    WHEN room OR EXISTS (SELECT 1 FROM kept k WHERE k.id_sala = h.id_sala AND k.change_id < h.change_id
+                         AND k.fecha_sesion < h.until AND k.until > h.fecha_sesion)
+    THEN 'La sala ya está ocupada en ese horario.'
+    WHEN bad <> '' THEN 'Error: ' || bad END AS bad FROM held h)"""
+_HIRE = """, n AS (
+SELECT s.*, CASE WHEN id_rol NOT IN (SELECT id_rol FROM rol) THEN 'id_rol_referencia'
+            WHEN email IN (SELECT email FROM staff) THEN 'email_unico'
+            WHEN username IN (SELECT username FROM usuario_sistema) THEN 'username_unico' END AS bad FROM new_staff s)
+, live AS (SELECT * FROM n WHERE bad IS NULL)
+, pairs AS (
+SELECT e.change_id AS a, l.change_id AS b FROM live e JOIN live l ON e.email = l.email AND e.change_id < l.change_id
+UNION
+SELECT e.change_id, l.change_id FROM live e JOIN live l ON e.username = l.username AND e.change_id < l.change_id)
+""" + _IN_TURN + """
+, ids AS (SELECT change_id, (SELECT MAX(id_staff) FROM staff) + ROW_NUMBER() OVER (ORDER BY change_id) AS id_staff
+          FROM won)"""
+
 
 def _audited(table: str, key: str, at: str) -> str:
     return (f" SELECT actor_id AS id_usuario, '{table}' AS tabla_afectada, 'UPDATE' AS operacion, {key} AS id_registro, "
@@ -312,6 +361,13 @@ SELECT b.*,
         AND x.fecha_sesion < b.fecha_sesion + b.duracion_min * INTERVAL '1' MINUTE
         AND x.until > b.fecha_sesion) AS conflictos_sala
 FROM booking b"""),
+    "booking_outcomes": _of("booking sesion_terapia residente staff sala",
+                            _BOOK + _OUTCOME.format("Sesión registrada correctamente."), recursive=True),
+    "staff_hiring": _of("new_staff staff rol usuario_sistema", _HIRE + """
+SELECT n.change_id, CAST(ids.id_staff IS NOT NULL AS INTEGER) AS ok,
+       COALESCE('Personal registrado con ID ' || ids.id_staff,
+                'Error: ' || COALESCE(n.bad, 'email_o_username_unico')) AS msg
+FROM n LEFT JOIN ids USING (change_id)""", recursive=True),
     "nearest_schedule": _of(_SCAN_TABLES, _SCAN + """
 SELECT change_id, CAST(bad IS NULL AS INTEGER) AS ok,
        COALESCE(bad, 'Medicamento registrado para residente ID ' || id_residente) AS msg FROM r"""),
