@@ -80,6 +80,24 @@ def _round_trip(s, d):
     return load_tables(s, folder, SCHEMAS, [name])[name]
 
 
+def _by_day(report, names: str):
+    """``report`` on tables written to the shared folder, events by day, and read back."""
+    def query(s, d):
+        t, folder = care(s, d), new_folder(s, "tables")
+        for name in names.split():
+            write_table(t[name], f"{folder}/{name}", name)
+        return report(load_tables(s, folder, SCHEMAS, names.split()))
+    return query
+
+
+BY_DAY = {
+    "sessions_today": (lambda t: views.sessions_today(t, EVENTS_NOW), "sesion_terapia residente staff sala"),
+    "rfid_today": (lambda t: views.rfid_today(t, EVENTS_NOW), "acceso_rfid staff lector_rfid ala"),
+    "daily_evolution": (lambda t: reports.global_mood(t, EVENTS_NOW, 30), "checkin_estado_animo"),
+    "feed_counts": (lambda t: reports.sensor_summary(t, EVENTS_NOW, 10),
+                    "gps_ping nfc_evento acceso_rfid deteccion_beacon"),
+}
+
 RULES_DAY = "2021-06-30"
 ALL_TABLES = " ".join(rules.UNIQUE)
 
@@ -211,7 +229,7 @@ QUERIES = {
     "resident_by_id": lambda s, d: lists.resident_detail(care(s, d), EVENTS_NOW, 7),
     "sessions_by_week": lambda s, d: reports.sessions_by_week(care(s, d)),
     "table_round_trip": _round_trip,
-}
+} | {f"{name}_by_day": _by_day(*what) for name, what in BY_DAY.items()}
 
 # --- SQL -------------------------------------------------------------------
 
@@ -585,3 +603,4 @@ SELECT CAST(date_trunc('week', fecha_sesion) AS DATE) AS semana, COUNT(*) AS ses
     "table_round_trip": _of("checkin_estado_animo", "SELECT * FROM checkin_estado_animo"),
 }
 ORACLES["resident_by_id"] = f"SELECT * FROM ({ORACLES['resident_detail']}) WHERE id_residente = 7"
+ORACLES |= {f"{name}_by_day": ORACLES[name] for name in BY_DAY}

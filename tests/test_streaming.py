@@ -9,8 +9,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 import seed
 from vigilia.operators.suppress import suppress
-from vigilia.plans import alerts
-from vigilia.sources import CARE, load_tables, read_feed, write_table
+from vigilia.plans import alerts, reports, views
+from vigilia.sources import CARE, layout, load_tables, read_feed, write_table
 from vigilia.sources.tables import day_range
 from vigilia.sources.work import shared_folder
 from vigilia.streaming import jobs, windows
@@ -202,5 +202,19 @@ def test_event_tables_are_laid_out_by_day(spark, tmp_path):
     assert day_range(original, "2026-03-21").count() == original.count()
 
 
+def test_time_filters_prune_day_folders(spark, tmp_path):
+    """The reports' own filters reach the folders, with no span given, and change no row."""
+    t = seed.tables(spark)
+    for name in ("checkin_estado_animo", "acceso_rfid", "staff", "lector_rfid", "ala"):
+        write_table(t[name], str(tmp_path / name), name)
+    laid_out = load_tables(spark, str(tmp_path), CARE, ["checkin_estado_animo", "acceso_rfid", "staff", "lector_rfid", "ala"])
+    for report in (lambda x: reports.global_mood(x, seed.AS_OF, 2), lambda x: views.rfid_today(x, seed.AS_OF),
+                   lambda x: layout.rows_in_week(x["checkin_estado_animo"], "fecha_registro", "2026-03-16")):
+        got, want = report(laid_out), report(t)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert "PartitionFilters: [isnotnull(dia" in got._jdf.queryExecution().toString()
+        assert want.count() > 0
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")

@@ -25,9 +25,9 @@ def at(moment: dt.datetime | dt.date | str) -> Column:
     return F.lit(str(moment)).cast("timestamp_ntz")
 
 
-def day(moment: dt.datetime | dt.date | str) -> Column:
-    """Literal date (the calendar day of ``moment``)."""
-    return F.lit(str(moment)[:10]).cast("date")
+def day(moment: dt.datetime | dt.date | str | Column) -> Column:
+    """Literal date (the calendar day of ``moment``); a date column stays as it is."""
+    return moment if isinstance(moment, Column) else F.lit(str(moment)[:10]).cast("date")
 
 
 def ago(moment, **parts: int) -> Column:

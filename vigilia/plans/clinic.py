@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigilia.functions import clock, values as v
 from vigilia.operators.ranking import latest_per_key, share_within
 from vigilia.operators.sequence import shifted
+from vigilia.sources import layout
 
 Tables = Mapping[str, DataFrame]
 
@@ -198,8 +199,8 @@ def lapsed_patients(t: Tables, as_of, days: int = 30, ordered: bool = True) -> D
 
 def out_of_zone(t: Tables, as_of, hours: int = 24, ordered: bool = True) -> DataFrame:
     """Q9: GPS events outside the safe zone in the last hours."""
-    g = t["evento_gps"].where(
-        ~F.col("dentro_zona_segura") & clock.since(F.col("timestamp_evento"), as_of, hours=hours)
+    g = t["evento_gps"].transform(layout.rows_since, "timestamp_evento", as_of, hours=hours).where(
+        ~F.col("dentro_zona_segura")
     ).select("id_dispositivo", "id_paciente", "latitud", "longitud", "timestamp_evento")
     devices = t["dispositivo_iot"].select("id_dispositivo", "tipo_dispositivo", "identificador_hw")
     out = (
@@ -262,7 +263,7 @@ def feed_summary(t: Tables, as_of, hours: int = 48, ordered: bool = True) -> Dat
     """Q12: events per patient over the GPS, NFC and beacon feeds."""
 
     def recent(name: str) -> DataFrame:
-        return t[name].where(clock.since(F.col("timestamp_evento"), as_of, hours=hours))
+        return t[name].transform(layout.rows_since, "timestamp_evento", as_of, hours=hours)
 
     gps = recent("evento_gps").groupBy("id_paciente").agg(
         F.count(F.lit(1)).alias("gps"), v.sum_if(~F.col("dentro_zona_segura")).alias("fuera"))

@@ -13,6 +13,7 @@ from vigilia.operators.ranking import latest_per_key, top_k_per_key
 from vigilia.plans.views import (
     CARER, Tables, named, open_assignments, ordered_by, pending_medication, residents_summary,
 )
+from vigilia.sources import layout
 
 
 def _only(df: DataFrame, **ids) -> DataFrame:
@@ -109,7 +110,7 @@ def therapist_sessions_today(t: Tables, as_of, id_staff: int | None = None,
     """today's sessions of a therapist."""
     out = (
         _only(t["sesion_terapia"], id_terapeuta=id_staff)
-        .where(clock.on_day(F.col("fecha_sesion"), as_of))
+        .transform(layout.rows_on_day, "fecha_sesion", as_of)
         .join(_residents(t), "id_residente").join(_rooms(t), "id_sala")
         .withColumn("hora_inicio", F.date_format("fecha_sesion", clock.CLOCK))
     )
@@ -225,7 +226,7 @@ def medication_given_today(t: Tables, as_of, id_staff: int | None = None,
         F.col("id_log_med").alias("id_log"), F.lit("NFC").alias("_how"))
     out = (
         _only(t["log_medicamento"], id_cuidador=id_staff)
-        .where(clock.on_day(F.col("fecha_administracion"), as_of))
+        .transform(layout.rows_on_day, "fecha_administracion", as_of)
         .join(schedules, "id_horario")
         .join(t["medicamento"].select("id_medicamento", F.col("nombre").alias("medicamento")),
               "id_medicamento")
@@ -260,8 +261,7 @@ def nfc_tags(t: Tables, ordered: bool = True) -> DataFrame:
 def nfc_scans_today(t: Tables, as_of, id_staff: int | None = None, k: int = 10,
                     ordered: bool = True) -> DataFrame:
     """Last ten scans of today per staff member."""
-    scans = _only(t["nfc_evento"], id_staff=id_staff).where(
-        clock.on_day(F.col("escaneado_en"), as_of))
+    scans = _only(t["nfc_evento"], id_staff=id_staff).transform(layout.rows_on_day, "escaneado_en", as_of)
     tags = t["nfc_tag"].select(
         "id_tag", "id_residente", F.col("descripcion").alias("medicamento")).join(
         _residents(t), "id_residente")

@@ -10,6 +10,7 @@ from vigilia.plans.views import (
     CARER, Tables, accesses_on, gps_status, located_staff, named, open_assignments, ordered_by,
     pending_medication, rfid_today,
 )
+from vigilia.sources import layout
 
 SEVERITIES = ("Alta", "Media", "Baja")
 FEEDS = {
@@ -69,15 +70,15 @@ def weekly_summary(t: Tables, week_start, id_staff: int | None = None,
         "id_staff", "id_residente", "fecha_fin")
     residents = carers.where(F.col("fecha_fin").isNull() | (F.col("fecha_fin") >= first)).groupBy(
         "id_staff").agg(F.count_distinct("id_residente").alias("residentes_atendidos"))
-    checkins = t["checkin_estado_animo"].where(
-        clock.in_week(F.col("fecha_registro"), week_start)
+    checkins = t["checkin_estado_animo"].transform(
+        layout.rows_in_week, "fecha_registro", week_start
     ).groupBy(F.col("id_cuidador").alias("id_staff")).agg(
         F.count(F.lit(1)).alias("total_checkins"),
         v.mean(F.col("puntaje"), 2).alias("puntaje_animo_promedio"))
-    logs = t["log_medicamento"].where(clock.in_week(F.col("fecha_administracion"), week_start))
+    logs = t["log_medicamento"].transform(layout.rows_in_week, "fecha_administracion", week_start)
     given = _count_per(logs, "id_cuidador", "meds_administrados")
     incidents = _count_per(
-        t["reporte_incidente"].where(clock.in_week(F.col("fecha"), week_start)), "id_staff",
+        t["reporte_incidente"].transform(layout.rows_in_week, "fecha", week_start), "id_staff",
         "incidentes_reportados")
     unlogged = (
         t["horario_medicamento"].where(F.col("activo"))
@@ -111,7 +112,7 @@ def _daily_mood(df: DataFrame, *keys: str) -> DataFrame:
 def resident_mood(t: Tables, as_of, days: int = 30, id_residente: int | None = None,
                   ordered: bool = True) -> DataFrame:
     """Daily mean mood of one resident, or of each."""
-    c = t["checkin_estado_animo"].where(clock.since(F.col("fecha_registro"), as_of, days=days))
+    c = t["checkin_estado_animo"].transform(layout.rows_since, "fecha_registro", as_of, days=days)
     if id_residente is not None:
         c = c.where(F.col("id_residente") == id_residente)
     return ordered_by(_daily_mood(c, "id_residente"), ordered, F.asc("id_residente"),
@@ -120,14 +121,14 @@ def resident_mood(t: Tables, as_of, days: int = 30, id_residente: int | None = N
 
 def global_mood(t: Tables, as_of, days: int = 30, ordered: bool = True) -> DataFrame:
     """Daily mean mood over all residents."""
-    c = t["checkin_estado_animo"].where(clock.since(F.col("fecha_registro"), as_of, days=days))
+    c = t["checkin_estado_animo"].transform(layout.rows_since, "fecha_registro", as_of, days=days)
     return ordered_by(_daily_mood(c), ordered, F.asc("fecha"))
 
 
 def incidents_by_severity(t: Tables, as_of, days: int = 30, ordered: bool = True) -> DataFrame:
     """Incidents per type and severity."""
     out = (
-        t["reporte_incidente"].where(clock.since(F.col("fecha"), as_of, days=days))
+        t["reporte_incidente"].transform(layout.rows_since, "fecha", as_of, days=days)
         .groupBy("tipo", "severidad").agg(F.count(F.lit(1)).alias("total"))
     )
     return ordered_by(out, ordered, F.asc("tipo"), F.asc("severidad"))
@@ -143,7 +144,7 @@ def incident_matrix(t: Tables, as_of, days: int = 30, ordered: bool = True) -> D
 def therapy_attendance(t: Tables, as_of, days: int = 30, ordered: bool = True) -> DataFrame:
     """Planned, attended and missed sessions per active therapist, with the
     attended percentage cut to an integer."""
-    held = t["sesion_terapia"].where(clock.since(F.col("fecha_sesion"), as_of, days=days)).groupBy(
+    held = t["sesion_terapia"].transform(layout.rows_since, "fecha_sesion", as_of, days=days).groupBy(
         F.col("id_terapeuta").alias("id_staff")).agg(
         F.count("id_sesion").alias("_planned"), v.count_if(F.col("asistio")).alias("_held"),
         v.count_if(~F.col("asistio")).alias("_missed"))
@@ -158,7 +159,7 @@ def therapy_attendance(t: Tables, as_of, days: int = 30, ordered: bool = True) -
 def sensor_summary(t: Tables, as_of, days: int = 30, ordered: bool = True) -> DataFrame:
     """Events per sensor feed; a feed without events counts 0."""
     parts = [
-        t[table].where(clock.since(F.col(ts), as_of, days=days)).agg(
+        t[table].transform(layout.rows_since, ts, as_of, days=days).agg(
             F.lit(label).alias("tipo_evento"), F.count(F.lit(1)).alias("total"))
         for label, (table, ts) in FEEDS.items()
     ]
@@ -178,7 +179,7 @@ def operational_load(t: Tables, as_of, days: int = 30, ordered: bool = True) ->
     )
     out = _active_staff(t)
     for table, ts, key, name in facts:
-        recent = t[table].where(clock.since(F.col(ts), as_of, days=days))
+        recent = t[table].transform(layout.rows_since, ts, as_of, days=days)
         out = out.join(_count_per(recent, key, name), "id_staff", "left")
     out = out.na.fill(0, [f[3] for f in facts])
     out = ordered_by(out, ordered, (F.col("sesiones") + F.col("checkins")).desc())
@@ -200,8 +201,8 @@ def _count(df: DataFrame) -> DataFrame:
 
 def admin_dashboard(t: Tables, as_of) -> DataFrame:
     """Active residents and staff, severe incidents of the week, doses due."""
-    severe = t["reporte_incidente"].where(
-        (F.col("severidad") == "Alta") & clock.since(F.col("fecha"), as_of, days=7))
+    severe = t["reporte_incidente"].transform(layout.rows_since, "fecha", as_of, days=7).where(
+        F.col("severidad") == "Alta")
     return _one_row(
         t,
         total_residentes=_count(t["residente"].where(F.col("activo"))),
@@ -222,14 +223,13 @@ def therapist_dashboard(t: Tables, as_of, id_staff: int | None = None) -> DataFr
     active = t["residente"].where(F.col("activo")).select("id_residente")
     residents = mine.join(active, "id_residente", "left_semi").groupBy("id_staff").agg(
         F.count_distinct("id_residente").alias("_residents"))
-    per_resident = t["checkin_estado_animo"].where(
-        clock.since(F.col("fecha_registro"), as_of, days=7)
+    per_resident = t["checkin_estado_animo"].transform(
+        layout.rows_since, "fecha_registro", as_of, days=7
     ).groupBy("id_residente").agg(
         F.sum(F.col("puntaje").cast("bigint")).alias("_sum"), F.count("puntaje").alias("_n"))
     mood = mine.join(per_resident, "id_residente").groupBy("id_staff").agg(
         v.ratio(F.sum("_sum"), F.sum("_n"), 1).alias("animo_promedio"))
-    incidents = _count(t["reporte_incidente"].where(
-        clock.since(F.col("fecha"), as_of, days=7))).scalar()
+    incidents = _count(t["reporte_incidente"].transform(layout.rows_since, "fecha", as_of, days=7)).scalar()
     return (
         _staff_keys(t, id_staff).join(residents, "id_staff", "left").join(mood, "id_staff", "left")
         .select("id_staff", v.zero(F.col("_residents")).alias("total_residentes"),
@@ -239,10 +239,10 @@ def therapist_dashboard(t: Tables, as_of, id_staff: int | None = None) -> DataFr
 
 def caregiver_dashboard(t: Tables, as_of, id_staff: int | None = None) -> DataFrame:
     """today's check-ins and incidents of every staff member."""
-    checkins = _count_per(t["checkin_estado_animo"].where(
-        clock.on_day(F.col("fecha_registro"), as_of)), "id_cuidador", "_checkins")
-    incidents = _count_per(t["reporte_incidente"].where(
-        clock.on_day(F.col("fecha"), as_of)), "id_staff", "_incidents")
+    checkins = _count_per(
+        t["checkin_estado_animo"].transform(layout.rows_on_day, "fecha_registro", as_of), "id_cuidador", "_checkins")
+    incidents = _count_per(
+        t["reporte_incidente"].transform(layout.rows_on_day, "fecha", as_of), "id_staff", "_incidents")
     return (
         _staff_keys(t, id_staff).join(checkins, "id_staff", "left")
         .join(incidents, "id_staff", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilia.functions import clock, values as v
 from vigilia.operators.ranking import latest_per_key
+from vigilia.sources import layout
 
 Tables = Mapping[str, DataFrame]
 
@@ -64,8 +65,7 @@ def residents_summary(t: Tables, as_of, ordered: bool = True) -> DataFrame:
 def pending_medication(t: Tables, as_of, ordered: bool = True) -> DataFrame:
     """VW2: active schedules of active residents without a dose logged today.
     The schedule's frequency is not looked at."""
-    given = t["log_medicamento"].where(
-        clock.on_day(F.col("fecha_administracion"), as_of)).select("id_horario")
+    given = t["log_medicamento"].transform(layout.rows_on_day, "fecha_administracion", as_of).select("id_horario")
     due = t["horario_medicamento"].where(F.col("activo")).join(given, "id_horario", "left_anti")
     out = (
         due.join(named(t, "residente", "id_residente", "residente", "habitacion", "activo")
@@ -82,7 +82,7 @@ def pending_medication(t: Tables, as_of, ordered: bool = True) -> DataFrame:
 def sessions_today(t: Tables, as_of, ordered: bool = True) -> DataFrame:
     """VW3: today's therapy sessions with resident, therapist and room."""
     out = (
-        t["sesion_terapia"].where(clock.on_day(F.col("fecha_sesion"), as_of))
+        t["sesion_terapia"].transform(layout.rows_on_day, "fecha_sesion", as_of)
         .join(named(t, "residente", "id_residente", "residente", "habitacion"), "id_residente")
         .join(named(t, "staff", "id_staff", "terapeuta", as_key="id_terapeuta"), "id_terapeuta")
         .join(t["sala"].select("id_sala", F.col("nombre").alias("sala")), "id_sala")
@@ -111,7 +111,7 @@ def staff_on_shift(t: Tables, as_of, ordered: bool = True) -> DataFrame:
 def accesses_on(t: Tables, date) -> DataFrame:
     """Accesses of one day with staff, reader and wing (wing may be unknown)."""
     return (
-        t["acceso_rfid"].where(clock.on_day(F.col("accedido_en"), date))
+        t["acceso_rfid"].transform(layout.rows_on_day, "accedido_en", date)
         .join(named(t, "staff", "id_staff", "staff", "especialidad"), "id_staff")
         .join(t["lector_rfid"].select("id_lector", "ubicacion", "es_restringido", "id_ala"),
               "id_lector")
@@ -130,7 +130,7 @@ def rfid_today(t: Tables, as_of, ordered: bool = True) -> DataFrame:
 def recent_incidents(t: Tables, as_of, days: int = 7, ordered: bool = True) -> DataFrame:
     """VW6: incidents of the last days, most severe first."""
     out = (
-        t["reporte_incidente"].where(clock.since(F.col("fecha"), as_of, days=days))
+        t["reporte_incidente"].transform(layout.rows_since, "fecha", as_of, days=days)
         .join(named(t, "residente", "id_residente", "residente", "habitacion"), "id_residente")
         .join(named(t, "staff", "id_staff", "reportado_por"), "id_staff")
     )

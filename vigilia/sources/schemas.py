@@ -169,4 +169,7 @@ EVENT_TIME = {
     "acceso_rfid": "accedido_en",
     "deteccion_beacon": "detectado_en",
     "log_auditoria": "timestamp_operacion",
+    "evento_gps": "timestamp_evento",
+    "evento_nfc": "timestamp_evento",
+    "evento_beacon": "timestamp_evento",
 }

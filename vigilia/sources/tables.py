@@ -7,10 +7,9 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vigilia.sources.layout import DAY_COLUMN, noted
 from vigilia.sources.schemas import EVENT_TIME
 
-DAY_COLUMN = "dia"
-
 
 def load_tables(
     spark: SparkSession,
@@ -25,9 +24,9 @@ def load_tables(
 
     The schema is always the declared one, never inferred, so opening a table
     costs no scan. ``fmt`` is any built-in file format (parquet, orc, csv,
-    json); CSV files are expected to carry a header. ``first_day`` and
-    ``last_day`` prune the event tables written by day: pass the span the
-    reports look at and only those directories are read.
+    json); CSV files are expected to carry a header. Event tables written by
+    day are pruned by the reports' own time filters (`layout`); ``first_day``
+    and ``last_day`` cut them to a span besides.
     """
     return {
         name: read_table(spark, os.path.join(path, name), schemas[name], fmt, first_day, last_day)
@@ -69,14 +68,16 @@ def write_table(df: DataFrame, path: str, name: str | None = None, fmt: str = "p
 
 def day_range(df: DataFrame, first=None, last=None) -> DataFrame:
     """A day-partitioned event table cut to the days ``[first, last]``, without
-    the layout column; a table not laid out by day is returned as is."""
+    the layout column; a table not laid out by day is returned as is. Time filters
+    of `layout` go on pruning the folders."""
     if DAY_COLUMN not in df.columns:
         return df
     if first is not None:
         df = df.where(F.col(DAY_COLUMN) >= F.to_date(F.lit(str(first)[:10])))
     if last is not None:
         df = df.where(F.col(DAY_COLUMN) <= F.to_date(F.lit(str(last)[:10])))
-    return df.drop(DAY_COLUMN)
+    times = {c for c in EVENT_TIME.values() if c in df.columns}
+    return noted(df, times.pop()) if len(times) == 1 else df.drop(DAY_COLUMN)
 
 
 def read_feed(
