@@ -50,7 +50,7 @@ def test_booking_cases(spark, t):
                    7: (0, "Error: duracion_rango")}
 
 
-@pytest.mark.parametrize("small", [0, 30, 50_000])
+@pytest.mark.parametrize("small", [2, 50_000])
 def test_booking_equals_one_by_one(spark, small):
     t = Derived(spark, SMALL, change_checks.ALL)
     t["staff"] = spark.range(1, 95).withColumnRenamed("id", "id_staff")
@@ -82,7 +82,7 @@ def test_booking_equals_one_by_one(spark, small):
     assert got == want and sum(ok for ok, _ in want.values()) > 10
 
 
-@pytest.mark.parametrize("small", [0, 50_000])
+@pytest.mark.parametrize("small", [4, 50_000])
 def test_hiring_equals_one_by_one(spark, small):
     t = Derived(spark, SMALL, change_checks.ALL)
     result = changes.hire_staff(t, t["new_staff"], EVENTS_NOW, small)

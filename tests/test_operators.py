@@ -6,9 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from vigilia.functions.clock import epoch_micros
 from vigilia.operators import overlap, ranges, ranking, sequence
 from vigilia.operators.numbering import dense_ids
-from vigilia.operators.rounds import accept_in_order, linked_groups
+from vigilia.operators.rounds import accept_in_order, first_blocks, linked_groups
 from vigilia.operators.suppress import KEEP, NEVER, _hand_down, _merge, _step_function, suppress
 
 T0 = dt.datetime(2024, 1, 1)
@@ -140,23 +141,62 @@ def test_linked_groups(spark):
     assert got == {i: 0 for i in range(200)} | {500 + i: 500 for i in range(9)} | {900: 900, 901: 901}
 
 
-def test_first_come_rounds(spark):
-    rows = intervals(6, 150, 5)
+def rule():
+    """A function made here is sent to workers by value."""
+    def first_come(rows):
+        want = []
+        for i, r, s, e in rows:
+            if not any(r == r2 and s2 < e and e2 > s for _, r2, s2, e2 in want):
+                want.append((i, r, s, e))
+        return {w[0] for w in want}
+    return first_come
+
+
+first_come = rule()
+
+
+def accepted(spark, rows, block):
+    decide = rule()
     df = spark.createDataFrame(rows, "id long, res long, s timestamp_ntz, e timestamp_ntz")
 
-    def earliest(pending):
-        return overlap.earliest_rival(pending, "id", "res", "s", "e", "rival", 60_000_000, 480)
+    def places(pending):
+        hours = [F.floor(epoch_micros(F.col(c)) / F.lit(3_600_000_000)) for c in ("s", "e")]
+        return pending.select("id", "res", F.explode(F.sequence(*hours)).alias("hour")).select(
+            "id", F.struct("res", "hour").alias("_place"))
 
-    def blocked(pending, taken):
-        return overlap.overlap_counts(pending, taken, "id", {"n": "res"}, "s", "e").where(
-            "n > 0").select("id")
+    def blocked(rest, taken):
+        return overlap.overlap_counts(rest, taken, "id", {"n": "res"}, "s", "e").where("n > 0").select("id")
 
-    got = {r.id for r in accept_in_order(df, "id", None, earliest, blocked, list, largest=0).collect()}
-    want = []
-    for i, r, s, e in rows:
-        if not any(r == r2 and s2 < e and e2 > s for _, r2, s2, e2 in want):
-            want.append((i, r, s, e))
-    assert got == {w[0] for w in want}
+    def one_by_one(pdf):
+        assert len(pdf) <= block and pdf["id"].is_monotonic_increasing
+        return sorted(decide(pdf[["id", "res", "s", "e"]].itertuples(index=False)))
+
+    return {r.id for r in accept_in_order(df, "id", places, blocked, one_by_one, block).collect()}
+
+
+@pytest.mark.parametrize("block", [8, 40, 1_000])
+def test_first_come_rounds(spark, block):
+    rows = intervals(6, 150, 5)
+    assert accepted(spark, rows, block) == first_come(rows)
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_first_come_chain(spark, step):
+    """One resource, each request in the way of the next: in key order, and against it."""
+    rows = [(i, 1, T0 + dt.timedelta(minutes=40 * i), T0 + dt.timedelta(minutes=40 * i + 50)) for i in range(600)[::step]]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    assert accepted(spark, rows, 250) == first_come(rows) == set(range(0, 600, 2))
+
+
+def test_first_blocks(spark):
+    """Lowest keys only, groups within the block, and no earlier linked key left out."""
+    links = [(i, f"c{j}") for i in range(100) for j in (i, i + 1)] + [(200 + 7 * i, "star") for i in range(30)] + [(900, "x")]
+    got = {r.id: r._group for r in first_blocks(
+        spark.createDataFrame(links, "id long, _place string"), "id", 16).collect()}
+    chain, star = sorted(i for i in got if i < 100), sorted(i for i in got if 200 <= i < 900)
+    assert chain == list(range(len(chain))) and 1 <= len(chain) <= 16 and {got[i] for i in chain} == {0}
+    assert star == [200 + 7 * i for i in range(len(star))] and 1 <= len(star) <= 16
+    assert got[900] == 900
 
 
 def fold(rows, quiet, closed=(), carry=None):

@@ -163,12 +163,6 @@ def earliest_among(asked: DataFrame, others: DataFrame, key: str, resource: str,
                   levels).select(key, F.col("_hit").alias(out))
 
 
-def earliest_rival(asked: DataFrame, key: str, resource: str, start: str, end: str, out: str,
-                   unit: int, longest_minutes: int) -> DataFrame:
-    """The same among the asked rows themselves; a row overlaps itself."""
-    return earliest_among(asked, asked, key, resource, start, end, out, unit, longest_minutes)
-
-
 def _near(stored: DataFrame, asked: DataFrame, place: list[str], start: str, end: str) -> DataFrame:
     """Stored rows between the first start and the last end asked of their
     resource, however long they are."""

@@ -23,7 +23,7 @@ from vigilia.functions import clock
 from vigilia.operators import checks, overlap
 from vigilia.operators.numbering import dense_ids, highest
 from vigilia.operators.ranking import latest_per_key
-from vigilia.operators.rounds import LARGEST, accept_in_order
+from vigilia.operators.rounds import BLOCK, accept_in_order
 from vigilia.operators.sequence import nearest_daily
 from vigilia.plans.views import Tables
 from vigilia.sources.work import materialise
@@ -217,7 +217,7 @@ def _free_names(pdf: pd.DataFrame) -> list:
     return accepted
 
 
-def hire_staff(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST) -> Result:
+def hire_staff(t: Tables, requests: DataFrame, as_of, block: int = BLOCK) -> Result:
     """New staff with a user each; email and username must be free, counting
     requests accepted earlier in the batch."""
     rows = requests.withColumns({"activo": F.lit(True), "fecha_alta": clock.day(as_of)})
@@ -234,12 +234,6 @@ def hire_staff(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST) ->
             "_error", F.when(F.col("_taken"), F.lit(f"{ERROR}{column}_unico")))).drop("_taken")
     valid = rows.where(F.col("_error").isNull()).select("change_id", "email", "username")
 
-    def earliest(pending: DataFrame) -> DataFrame:
-        def lowest(column):
-            return pending.groupBy(column).agg(F.min("change_id").alias(f"_first_{column}"))
-        return pending.join(lowest("email"), "email").join(lowest("username"), "username").select(
-            "change_id", F.least("_first_email", "_first_username").alias("rival"))
-
     def blocked(pending: DataFrame, taken: DataFrame) -> DataFrame:
         return (pending.join(taken.select("email"), "email", "left_semi").select("change_id")
                 .unionByName(pending.join(taken.select("username"), "username", "left_semi")
@@ -249,8 +243,7 @@ def hire_staff(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST) ->
         return pending.select("change_id", F.explode(F.array(*[
             F.concat(F.lit(f"{c}:"), c) for c in ("email", "username")])).alias("_place"))
 
-    winners = accept_in_order(valid, "change_id", places, earliest, blocked, _free_names,
-                              largest).withColumn("_won", F.lit(True))
+    winners = accept_in_order(valid, "change_id", places, blocked, _free_names, block).withColumn("_won", F.lit(True))
     rows = rows.join(winners, "change_id", "left").withColumn("_error", F.coalesce(
         "_error", F.when(F.col("_won").isNull(), F.lit(ERROR + "email_o_username_unico"))))
     accepted = dense_ids(rows.where(F.col("_error").isNull()), "change_id", "id_staff",
@@ -473,7 +466,7 @@ def _free_slots(pdf: pd.DataFrame) -> list:
     return accepted
 
 
-def book_sessions(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST) -> Result:
+def book_sessions(t: Tables, requests: DataFrame, as_of, block: int = BLOCK) -> Result:
     """Reserve sessions in request order; the therapist is checked before the
     room, against stored sessions and against earlier accepted requests."""
     stored = t["sesion_terapia"]
@@ -489,12 +482,6 @@ def book_sessions(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST)
     unit = overlap.time_unit(_spans(rows), "fecha_sesion", "_end")
     window = ("fecha_sesion", "_end")
 
-    def earliest(pending: DataFrame) -> DataFrame:
-        first = [overlap.earliest_rival(pending, "change_id", r, *window, "rival", unit,
-                                        LONGEST_SESSION) for r in ("id_terapeuta", "id_sala")]
-        return first[0].unionByName(first[1]).groupBy("change_id").agg(
-            F.min("rival").alias("rival"))
-
     def blocked(pending: DataFrame, taken: DataFrame) -> DataFrame:
         return overlap.overlap_hits(pending, taken, "change_id",
                                     {"_t": "id_terapeuta", "_s": "id_sala"}, *window).select(
@@ -508,7 +495,7 @@ def book_sessions(t: Tables, requests: DataFrame, as_of, largest: int = LARGEST)
                 F.struct(F.lit(r).alias("kind"), F.col(r).alias("resource"), "_hour")
                 for r in ("id_terapeuta", "id_sala")])).alias("_place"))
 
-    accepted_ids = accept_in_order(live, "change_id", places, earliest, blocked, _free_slots, largest)
+    accepted_ids = accept_in_order(live, "change_id", places, blocked, _free_slots, block)
     accepted = live.join(accepted_ids, "change_id", "left_semi")
     refused = _spans(rows.join(accepted_ids, "change_id", "left_anti"))
     # Accepted requests are in the way of later ones whatever else is wrong
