@@ -1,6 +1,9 @@
 """Chat formatting, neighbours, archives, components and the pipeline."""
 
+import base64
+import glob
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -109,12 +112,65 @@ def test_few_or_no_vectors(spark, tmp_path):
 
 # --- archives ------------------------------------------------------------------------------
 
+ODD_PAGES = [("http://a/b", "<html>é\r\n\r\nx</html>"), (None, None), ("u", ""), ("a b\r\nContent-Length: 3\r\n\r\nx", "y"),
+             ("%20\x00\x7f é", "\r\n\r\nWARC/1.1\r\n"), ("", "x" * 70_000)]
+
+
+def brute_record(url, html):
+    url, body = (url or "").encode(), (html or "").encode()
+    name = hashlib.sha256(str(len(url)).encode() + b":" + url + body).hexdigest()
+    name = f"{name[:8]}-{name[8:12]}-8{name[13:16]}-a{name[17:20]}-{name[20:32]}"
+    uri = b"".join(b"%%%02X" % c if c <= 32 or c == 127 else bytes([c]) for c in url)
+    kept = b"" if uri == url else b"\r\nWARC-X-Original-URI: " + base64.b64encode(url)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+    return (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:" + name.encode()
+            + b">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: " + uri + kept
+            + b"\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n")
+
+
 def test_records_parse_back(spark):
-    rows = [("http://a/b", "<html>é\r\n\r\nx</html>"), (None, None), ("u", "")]
-    raw = spark.createDataFrame(rows, "url string, html string").withColumn("raw", fixity.record(F.col("url"), F.col("html")))
-    got = raw.select("url", "html", fixity.parse(F.col("raw")).alias("p"), fixity.parse(F.expr("substring(raw, 1, octet_length(raw) - 1)")).alias("cut"))
+    raw = spark.createDataFrame(ODD_PAGES, "url string, html string").withColumn("raw", fixity.record(F.col("url"), F.col("html")))
+    got = raw.select("url", "html", "raw", fixity.parse(F.col("raw")).alias("p"), fixity.parse(F.expr("substring(raw, 1, octet_length(raw) - 1)")).alias("cut"),
+                     fixity.parse(F.expr("substring(raw, 1, 30)")).alias("stump"))
     for r in got.collect():
-        assert (r.p.url, r.p.html) == (r.url or "", r.html or "") and r.cut is None
+        assert (r.p.url, r.p.html) == (r.url or "", r.html or "") and r.cut is None and r.stump is None
+        assert bytes(r.raw) == brute_record(r.url, r.html)
+
+
+def test_archives_are_read_back_record_by_record(spark, tmp_path):
+    pages = [(i, f"http://s/{i} x", "<p>" + "é" * (i % 50)) for i in range(300)] + [(None, *p) for p in ODD_PAGES] + [(4, "http://s/4 x", "<p>éééé")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(5)
+    folder = f"{tmp_path}/archive"
+    fixity.write_archive(df.select("page_id", fixity.record(F.col("url"), F.col("html")).alias("raw")), folder, 40)
+    got = fixity.read_archive(spark, folder).collect()
+    assert sorted(bytes(r.raw) for r in got) == sorted(brute_record(u, h) for _, u, h in pages)
+    files = {}
+    for r in sorted(got, key=lambda r: (r.file, r.start)):
+        assert r.start == files.get(r.file, 0)
+        files[r.file] = r.start + len(r.raw)
+    sizes = [os.path.getsize(x) for x in glob.glob(f"{folder}/part-*")]
+    assert sorted(files.values()) == sorted(s for s in sizes if s) and all(sum(r.file == f for r in got) <= 40 for f in files)
+
+
+def test_a_damaged_file_loses_no_byte_and_one_record_only(spark, tmp_path):
+    whole = [brute_record(f"http://s/{i}", "page " * i) for i in range(20)]
+    for name, spoil in (("length", lambda x: x.replace(b"Content-Length: ", b"Content-Length: 9", 1)),
+                        ("head", lambda x: b"?" + x[1:]), ("cut", lambda x: x[:-9] + b"\r\n\r\n")):
+        data = [spoil(x) if i == 7 else x for i, x in enumerate(whole)]
+        os.makedirs(f"{tmp_path}/{name}")
+        with open(f"{tmp_path}/{name}/a.warc", "wb") as f:
+            f.write(b"".join(data))
+        got = [bytes(r.raw) for r in fixity.read_archive(spark, f"{tmp_path}/{name}").orderBy("start").collect()]
+        assert got == data
+
+
+def test_one_root_leads_to_the_segments_that_differ(spark):
+    kind = "segment bigint, part int, digest string"
+    ours = {(s, p): f"{s}.{p}" for s in (-300, -17, -1, 0, 1, 15, 16, 255, 256, 70_000) for p in range(40)}
+    theirs = {k: v for k, v in ours.items() if k != (16, 39)} | {(-300, 0): "else", (70_000, 17): "else", (5, 2): "new"}
+    a, b = (spark.createDataFrame([(*k, v) for k, v in x.items()], kind) for x in (ours, theirs))
+    assert {tuple(r) for r in fixity._open_segments(a, b).collect()} == {(16, 39), (-300, 0), (70_000, 17), (5, 2)}
+    assert fixity._open_segments(a, a).count() == 0
 
 
 def brute_audit(pages, every=50):
@@ -123,8 +179,7 @@ def brute_audit(pages, every=50):
     records = sorted({(-1 if i is None else i // 512, i, u, h) for i, u, h in pages}, key=repr)
     out, groups = {}, {}
     for seg, i, u, h in records:
-        body = (h or "").encode()
-        raw = (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+        raw = brute_record(u, h)
         digest = hashlib.sha256(raw).hexdigest()
         crc = zlib.crc32(b"" if i is None else str(i).encode())
         copy = raw

@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import functools
 import math
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vigilia.llm.tables import stored
 
@@ -27,26 +30,105 @@ _RANGE = 512
 _CELLS = SEGMENT // FANOUT
 
 
-def record(url: Column, html: Column) -> Column:
-    """The bytes of a WARC response record; nulls are empty."""
-    body = F.coalesce(html, F.lit("")).cast("binary")
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
-                    F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
-                    F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
+#: What a URI in a header may not hold as it is: controls and spaces.
+_UNSAFE = [chr(i) for i in (*range(0x21), 0x7F)]
+_END = "\r\n\r\n"
+
+
+def _escaped(url: Column) -> Column:
+    """Percent-encoded where ``_UNSAFE`` says so."""
+    return functools.reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(f"%{ord(x):02X}")), _UNSAFE, url)
+
+
+def _unsafe(url: Column) -> Column:
+    return url.rlike(r"[\x00-\x20\x7F]")
+
+
+def record(url: Column, html: Column, date: str = "1970-01-01T00:00:00Z") -> Column:
+    """The bytes of a WARC response record, its HTTP response inside; nulls are empty.
+
+    The record's id is a UUID made of the hash of URL and page, so equal pages
+    give equal records wherever they are written. A URL that holds spaces or
+    controls is percent-encoded, and kept as it was, in Base64, in a field of its
+    own. ``date`` is the time of capture, which a table of pages does not tell.
+    """
+    url, body = F.coalesce(url, F.lit("")), F.coalesce(html, F.lit("")).cast("binary")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
+                    F.octet_length(body).cast("string"), F.lit(_END))
+    digest = F.sha2(F.concat(F.octet_length(url).cast("string").cast("binary"), F.lit(":").cast("binary"),
+                             url.cast("binary"), body), 256)
+    name = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4),
+                       F.concat(F.lit("8"), F.substring(digest, 14, 3)),
+                       F.concat(F.lit("a"), F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    kept = F.concat(F.lit("\r\nWARC-X-Original-URI: "), F.translate(F.base64(url.cast("binary")), "\r\n", ""))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:"), name,
+                    F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
+                    F.when(_unsafe(url), F.concat(_escaped(url), kept)).otherwise(url),
+                    F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
+                    (F.octet_length(body) + F.octet_length(http)).cast("string"), F.lit(_END))
+    return F.concat(head.cast("binary"), http.cast("binary"), body, F.lit(_END).cast("binary"))
 
 
 def parse(raw: Column) -> Column:
-    """struct(url, html) read back from a record; null where its header is broken
-    or its length is not the one stated."""
-    text = raw.cast("string")
-    parts = F.split(text, "\r\n\r\n", 2)
-    head, rest = parts[0], F.octet_length(raw) - F.octet_length(parts[0]) - 8
-    stated = F.regexp_extract(head, r"Content-Length: ([0-9]+)$", 1).try_cast("int")
-    good = head.startswith("WARC/1.1\r\n") & (stated == rest)
-    body = F.substring(raw, F.octet_length(parts[0]) + 5, rest)
-    return F.when(good, F.struct(F.regexp_extract(head, r"(?m)^WARC-Target-URI: (.*?)\r?$", 1).alias("url"),
-                                 body.cast("string").alias("html")))
+    """struct(url, html) read back from a record; null where a header is broken
+    or one of the two lengths is not the one stated."""
+    parts = F.split(raw.cast("string"), _END, 3)
+    head, http = parts[0], F.get(parts, F.lit(1))
+
+    def field(block: Column, name: str) -> Column:
+        return F.regexp_extract(block, rf"(?md)^{name}: ([^\r\n]*)\r?$", 1)
+
+    rest = F.octet_length(raw) - F.octet_length(head) - 2 * len(_END)
+    left = rest - F.octet_length(http) - len(_END)
+    good = (head.startswith("WARC/1.1\r\n") & http.startswith("HTTP/1.1 ") & (field(head, "Content-Length").try_cast("int") == rest)
+            & (field(http, "Content-Length").try_cast("int") == left))
+    body = F.substring(raw, F.octet_length(head) + F.octet_length(http) + 2 * len(_END) + 1, left)
+    kept, uri = field(head, "WARC-X-Original-URI"), field(head, "WARC-Target-URI")
+    url = F.when(kept != "", F.unbase64(kept).cast("string")).otherwise(uri)
+    return F.when(good, F.struct(url.alias("url"), body.cast("string").alias("html")))
+
+
+def write_archive(records: DataFrame, folder: str, per_file: int = SEGMENT) -> None:
+    """The records' bytes ``raw`` as files of at most ``per_file`` records, one
+    behind the other in order of page_id; ``folder`` must be new.
+
+    A record's bytes are UTF-8 and end with the two empty lines, which are the
+    separator Spark puts behind each of its text rows.
+    """
+    text = F.col("raw").cast("string")
+    (records.repartitionByRange("page_id", F.xxhash64("raw")).sortWithinPartitions("page_id", F.xxhash64("raw"))
+     .select(F.expr(f"left(raw, length(raw) - {len(_END)})").alias("raw")).select(text.alias("value"))
+     .write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(folder))
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of files, found by their stated lengths."""
+    stated = re.compile(rb"WARC/1\.1\r\n(?:[^\r\n]+\r\n)*?Content-Length: ([0-9]+)\r\n\r\n")
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            data, at, rows = content.as_buffer().to_pybytes(), 0, []
+            while at < len(data):
+                head = stated.match(data, at)
+                end = head.end() + int(head[1]) + len(_END) if head else len(data) + 1
+                if end > len(data) or data[end - len(_END):end] != _END.encode():
+                    # Not a record as stated: it lasts until the next one begins.
+                    begun = data.find(b"\r\n\r\nWARC/1.1\r\n", at + 1)
+                    end = begun + len(_END) if begun >= 0 else len(data)
+                rows.append((path, at, data[at:end]))
+                at = end
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(("file", "start", "raw"), r)) for r in rows], _FILED)
+
+
+_FILED = pa.schema([("file", pa.string()), ("start", pa.int64()), ("raw", pa.binary())])
+
+
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, start, raw): every record of the files in ``folder`` with its offset.
+    A damaged stretch without a readable header or length is one row, up to the next
+    record; no byte is left out. A task holds one file at a time."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "content")
+    return files.mapInArrow(_records, "file string, start bigint, raw binary")
 
 
 def manifest(records: DataFrame) -> DataFrame:
@@ -148,6 +230,49 @@ def tree(records: DataFrame) -> list[DataFrame]:
     return levels
 
 
+def _crown(roots: DataFrame, steps: list[str]) -> list[DataFrame]:
+    """The levels above all segments' roots, up to one node: each step joins up to
+    ``FANOUT`` neighbouring parts of a segment, or segments; the last one all."""
+    levels = [roots.select(*_ADDRESS, "digest")]
+    for step in steps:
+        above = [(F.lit(0).cast("bigint") if step == "all" else F.floor(F.col(c) / FANOUT).cast("bigint") if c == step
+                  else F.col(c)).alias(f"_{c}") for c in _ADDRESS]
+        children = F.sort_array(F.collect_list(F.struct(*_ADDRESS, "digest")))
+        level = (levels[-1].select(*_ADDRESS, "digest", *above).groupBy(*(f"_{c}" for c in _ADDRESS))
+                 .agg(_node(F.concat_ws(",", F.transform(children, lambda c: _node(*(c[x] for x in (*_ADDRESS, "digest"))))))
+                      .alias("digest")))
+        levels.append(stored(level.withColumnsRenamed({f"_{c}": c for c in _ADDRESS}), "crown"))
+    return levels
+
+
+def _open_segments(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(segment, part) of the roots that differ, found from the one node above all."""
+    ends = ours.select(*_ADDRESS).unionByName(theirs.select(*_ADDRESS)).agg(
+        F.max("part").alias("part"), F.max(F.greatest(F.abs("segment"), F.abs(F.col("segment") + 1))).alias("segment")).first()
+
+    def count(n: int | None) -> int:
+        steps = 0
+        while FANOUT ** steps <= (n or 0):
+            steps += 1
+        return steps
+
+    steps = ["part"] * count(ends.part) + ["segment"] * count(ends.segment) + ["all"]
+    a, b = _crown(ours, steps), _crown(theirs, steps)
+    open_ = None
+    for depth in range(len(steps), -1, -1):
+        mine, other = a[depth], b[depth]
+        if open_ is not None:
+            step = steps[depth]
+            above = [F.lit(0).cast("bigint") if step == "all" else F.floor(F.col(c) / FANOUT).cast("bigint") if c == step
+                     else F.col(c) for c in _ADDRESS]
+            at = open_.select(*(F.col(c).alias(f"_{c}") for c in _ADDRESS))
+            mine, other = (x.withColumns({f"_{c}": v for c, v in zip(_ADDRESS, above)})
+                           .join(at, [f"_{c}" for c in _ADDRESS], "left_semi").select(*_ADDRESS, "digest") for x in (mine, other))
+        met = mine.join(other.withColumnRenamed("digest", "digest2"), _ADDRESS, "full_outer")
+        open_ = met.where(~F.col("digest").eqNullSafe(F.col("digest2"))).select(*_ADDRESS)
+    return stored(open_, "open")
+
+
 def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     """(segment, part, name, number, status) of the records that differ.
 
@@ -155,7 +280,8 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     *moved* (the same bytes elsewhere in the segment), *missing* (not in theirs) or
     *added* (only in theirs, whose number it has). Records meet by name, so one
     that is lost or gained does not change what its neighbours are compared with.
-    Only children of differing nodes are compared; replicas with equal roots are done.
+    Only children of differing nodes are compared, from one node above all segments
+    downwards; replicas equal in it are done.
     """
     key = [*_ADDRESS, "name"]
     while len(ours) < len(theirs):  # a shorter tree's roots stand for themselves above
@@ -163,8 +289,11 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     while len(theirs) < len(ours):
         theirs = [*theirs, parents(theirs[-1])]
     open_ = None
+    differing = _open_segments(ours[-1], theirs[-1])
     for mine, other in zip(reversed(ours), reversed(theirs)):
-        if open_ is not None:
+        if open_ is None:
+            mine, other = (x.join(differing, _ADDRESS, "left_semi") for x in (mine, other))
+        else:
             above = open_.select(*_ADDRESS, F.coalesce("number1", "number2").alias("above"))
             mine, other = (x.join(above, [*_ADDRESS, "above"], "left_semi") for x in (mine, other))
         a, b = (x.select(*key, *(F.col(c).alias(f"{c}{i}") for c in ("number", "digest", "content", "copies")))
