@@ -7,6 +7,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,26 @@ def test_recall_of_neighbours(spark):
     assert recall(spark, sf, {r.vec_id: np.array(r.embedding, dtype=float) for r in rows}) >= 0.9
 
 
+@pytest.mark.parametrize("kind, most", [("given", .6), ("noise", .3), ("clusters", .05)])
+def test_few_vectors_are_verified(kind, most):
+    """Recall holds while windows, not distances, rule most vectors out."""
+    rng = np.random.default_rng(3)
+    if kind == "given":
+        vectors = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_pylist(), float)
+    elif kind == "noise":
+        vectors = rng.standard_normal((8000, 64))
+    else:
+        vectors = 4 * rng.standard_normal((100, 64))[rng.integers(0, 100, 8000)] + .3 * rng.standard_normal((8000, 64))
+    index = ann.Index(np.arange(len(vectors)), vectors)
+    asked = range(0, len(vectors), 100)
+    hits = 0
+    for q in asked:
+        want = np.sort(np.delete(np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1)), q))[:10]
+        hits += sum(d <= want[-1] + 1e-12 for d, _ in index.search(q, vectors[q], 10))
+    assert hits >= .93 * 10 * len(asked)
+    assert index.verified <= most * len(vectors) * len(asked)
+
+
 def test_odd_vectors(spark, tmp_path):
     rng = np.random.default_rng(0)
     good = {i: rng.integers(-2, 3, 4).astype(float) for i in range(0, 700, 7)}

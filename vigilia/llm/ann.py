@@ -23,9 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 PROJECTIONS = 96
-GROWTH = 1.25
+GROWTH = 1.08
 #: Standard deviations by which the threshold lies below the collisions expected at the radius.
-SLACK = 1.5
+SLACK = 1.0
+#: The first radius, as a share of the distance to the nearest of about ``PROBES``
+#: vectors spread over the block: windows narrower than that would be opened in vain.
+START, PROBES = 0.3, 256
 #: Vectors of a block, about, and queries of a block.
 BLOCK, QUERIES = 16_384, 1_024
 _SEED = 20240229
@@ -52,12 +55,15 @@ class Index:
         width = np.quantile(placed, 0.51, axis=0) - np.quantile(placed, 0.49, axis=0)
         self._radius = max(float(np.median(width)), self._reach * 1e-6)
         self._distinct = len(np.unique(ids))
+        self.verified = 0
+        self._probes = vectors[:: max(1, len(ids) // PROBES)]
 
     def _ends(self, at: np.ndarray, side: str) -> np.ndarray:
         return np.searchsorted(self._sorted, np.clip(at, -self._reach, self._reach) + self._moved, side)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k nearest found, (distance, id), without vectors of the query's id."""
+        """The k nearest found, (distance, id), without vectors of the query's id.
+        ``verified`` counts the vectors whose true distance was taken."""
         n = len(self.ids)
         own = self.ids == query_id
         want = min(k, self._distinct - bool(own.any()))
@@ -68,7 +74,8 @@ class Index:
         distance = np.where(own, np.inf, np.nan)
         low = self._ends(centre, "left")
         high = low.copy()
-        radius = self._radius
+        probed = np.sqrt(((self._probes - query) ** 2).sum(axis=1))
+        radius = max(self._radius, START * probed[probed > 0].min(initial=np.inf) if probed.any() else 0.0)
         chance = 0.6826894921370859  # that a normal value is within one standard deviation
         threshold = chance * PROJECTIONS - SLACK * np.sqrt(chance * (1 - chance) * PROJECTIONS)
         while True:
@@ -85,6 +92,7 @@ class Index:
                 break
             radius *= GROWTH
         known = np.flatnonzero(np.isfinite(distance))
+        self.verified += len(known)
         best = known[np.lexsort((self.ids[known], distance[known]))]
         ids, at = np.unique(self.ids[best], return_index=True)
         return [(float(distance[best[i]]), int(self.ids[best[i]])) for i in np.sort(at)[:k]]
