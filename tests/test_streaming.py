@@ -1,7 +1,11 @@
 """Streams over several files, with late rows and a replayed batch."""
 
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 import seed
 from vigilia.operators.suppress import suppress
 from vigilia.plans import alerts, reports, views
-from vigilia.sources import CARE, layout, load_tables, read_feed, write_table
+from vigilia.sources import CARE, layout, load_tables, read_feed, work, write_table
 from vigilia.sources.tables import day_range
 from vigilia.sources.work import shared_folder
 from vigilia.streaming import jobs, windows
@@ -58,6 +62,31 @@ def test_quiet_period_across_batches(spark, feed):
     assert {r.id_ping for r in batch.collect()} == {1, 3, 5, 8, 9}
 
 
+def test_alert_state_is_folded_and_earlier_batches_are_not_read(spark, feed):
+    r = random.Random(4)
+    rows = [(i, r.choice([1, 1, 1, 2, 3, 40 + i]), 3 * i + r.randint(0, 2)) for i in range(60)]
+
+    def run(some):
+        for i in range(0, len(some), 6):
+            feed.add(*some[i:i + 6])
+        jobs.fire_quietly(feed.stream(), ["id_residente"], "registrado_en", "id_ping", 86_400,
+                          feed.out, feed.log, fold=3).awaitTermination()
+
+    run(rows[:48])
+    held = [{x.id_residente for x in spark.read.parquet(f"{feed.out}/_latest/batch={b}").collect()} for b in range(8)]
+    fired = [{x.id_residente for x in spark.read.parquet(f"{feed.out}/batch={b}").collect()} for b in range(8)]
+    for b in range(8):
+        assert held[b] == (set().union(*fired[:b + 1]) if b % 3 == 0 else fired[b])
+    # What a batch before the last fold says now changes nothing.
+    spark.createDataFrame([(k, T0 + dt.timedelta(days=99)) for k in range(4)],
+                          "id_residente long, registrado_en timestamp_ntz").write.mode("overwrite").parquet(
+        f"{feed.out}/_latest/batch=2")
+    run(rows[48:])
+    everything = spark.read.schema(feed.schema).parquet(feed.path)
+    want = suppress(everything, ["id_residente"], "registrado_en", "id_ping", 86_400)
+    assert {x.id_ping for x in spark.read.parquet(feed.out).collect()} == {x.id_ping for x in want.collect()}
+
+
 def test_closing_reopens_the_gate(spark, feed):
     closed = spark.createDataFrame([(1, T0 + dt.timedelta(hours=5))],
                                    "id_residente long, registrado_en timestamp_ntz")
@@ -218,3 +247,29 @@ def test_time_filters_prune_day_folders(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_scratch_removes_what_was_begun_inside(spark):
+    kept = work.new_folder(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    with pytest.raises(KeyError), work.scratch(spark):
+        inside = work.written(spark.range(5), "inside")
+        files = [f.removeprefix("file:") for f in inside.inputFiles()]
+        assert inside.count() == 5 and all(os.path.exists(f) for f in files)
+        raise KeyError
+    assert not any(os.path.exists(os.path.dirname(f)) for f in files)
+    assert spark.read.parquet(kept).count() == 3
+
+
+def test_an_application_leaves_no_intermediate_tables(tmp_path):
+    code = ("from pyspark.sql import SparkSession; from vigilia.sources.work import written;"
+            f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', '{tmp_path}').getOrCreate();"
+            "print('rows', written(s.range(7), 'x').count())")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert "rows 7" in done.stdout
+    for _ in range(100):  # the JVM ends a little after the driver's Python
+        if not list(tmp_path.glob("*/x-*")):
+            break
+        time.sleep(0.2)
+    assert not list(tmp_path.glob("*/x-*"))

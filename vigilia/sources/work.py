@@ -1,8 +1,15 @@
-"""Where intermediate tables go: the cluster's shared checkpoint folder."""
+"""Where intermediate tables go: the cluster's shared checkpoint folder.
+
+Every application has a folder of its own there, which goes when its driver
+ends. A long-running one frees what a job wrote with `scratch`.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +30,52 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
+_leaving: set[str] = set()
+_begun: ContextVar[list[str] | None] = ContextVar("begun", default=None)
+
+
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder, marked to be removed when the driver's JVM ends."""
+    own = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _leaving:
+        files, place = _file_system(spark, own)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _leaving.add(own)
+    return own
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    begun = _begun.get()
+    if begun is not None:
+        begun.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders begun inside are removed at the end, whether it comes by an error
+    or not. Results are lazy and read those folders: write them inside.
+
+    Checkpoints of `materialise` are Spark's own; it removes them once nothing refers
+    to them if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    token = _begun.set([])
+    try:
+        yield
+    finally:
+        begun = _begun.get() or []
+        _begun.reset(token)
+        for path in begun:
+            files, place = _file_system(spark, path)
+            files.delete(place, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

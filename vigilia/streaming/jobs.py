@@ -101,9 +101,15 @@ def keep_counts(counts: DataFrame, out: str, checkpoint: str,
 def fire_quietly(candidates: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet: int,
                  out: str, checkpoint: str, closed: Callable[[], DataFrame] | None = None,
                  every: str | None = None,
-                 also: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
+                 also: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
+                 fold: int = FOLD) -> StreamingQuery:
     """Write the candidates that fire, given the alerts already written.
 
+    What a batch needs to know of earlier ones is the latest alert per key. It lies
+    in ``_latest`` under ``out``, which readers of ``out`` pass over: batch n's own
+    keys, and every ``fold``-th batch those of all so far, so a batch reads at most
+    ``fold`` folders however many came before.
+
     ``closed`` re-reads the closing times (keys + ``ts``) for every batch. A
     candidate older than an active alert stays silent, as in the database.
 
@@ -115,15 +121,14 @@ def fire_quietly(candidates: DataFrame, keys: Sequence[str], ts: str, tie: str,
 
     def work(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        carry = None
-        # Only alerts still within the quiet period of this batch can matter.
+        carry = earlier = None
+        state = StructType([rows.schema[c] for c in (*keys, ts)])
         if batch > 0:
-            written = spark.read.schema(StructType([*rows.schema, BATCH])).parquet(out)
+            since = range((batch - 1) // fold * fold, batch)
+            earlier = spark.read.schema(state).parquet(*[_folder(latest, b) for b in since])
+            # Only alerts still within the quiet period of this batch can matter.
             first = rows.agg((F.min(ts) - F.make_dt_interval(secs=F.lit(quiet))).alias("t"))
-            carry = (
-                written.where((F.col("batch") < batch) & (F.col(ts) >= first.scalar()))
-                .groupBy(*keys).agg(F.max(ts).alias(ts))
-            )
+            carry = earlier.groupBy(*keys).agg(F.max(ts).alias(ts)).where(F.col(ts) >= first.scalar())
         fired = suppress(rows, keys, ts, tie, quiet, closed=closed() if closed else None,
                          carry=carry)
         if also:
@@ -131,7 +136,12 @@ def fire_quietly(candidates: DataFrame, keys: Sequence[str], ts: str, tie: str,
         for folder, derived in (also or {}).items():
             derived(fired).write.mode("overwrite").parquet(_folder(folder, batch))
         fired.write.mode("overwrite").parquet(_folder(out, batch))
+        known = spark.read.schema(rows.schema).parquet(_folder(out, batch)).select(*keys, ts)
+        if earlier is not None and batch % fold == 0:
+            known = known.unionByName(earlier)
+        known.groupBy(*keys).agg(F.max(ts).alias(ts)).write.mode("overwrite").parquet(_folder(latest, batch))
 
+    latest = f"{out}/_latest"
     return each_batch(candidates, work, checkpoint, every)
 
 
