@@ -20,6 +20,7 @@ def equal_to_sql(spark, folder, name, **tables):
     cursor = con.execute(queries.ORACLES[name])
     columns = sorted(c[0] for c in cursor.description)
     want = [dict(zip([c[0] for c in cursor.description], r)) for r in cursor.fetchall()]
+    assert sorted(got.columns) == columns
     rows = got.collect()
     assert rows_of(rows, columns) == rows_of(want, columns)
     return rows

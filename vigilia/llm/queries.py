@@ -92,7 +92,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    """Without the nodes' names, which SQL has no way to give."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("node_id")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
